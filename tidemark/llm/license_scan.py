@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-4
 
 # Notices by which texts name their license.
@@ -81,21 +83,24 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """
     spark, classes = docs.sparkSession, by_class(templates)
     table = [(size, name, sh) for size, group in classes.items() for name, sh in group.items()]
-    known = spark.createDataFrame(table, "size int, license string, shingles array<string>")
+    known = spark.createDataFrame(table, "size int, license string, shingles array<string>").coalesce(1)
     split = "transform(shingles, s -> split(s, ' '))"
     hashes = known.selectExpr("size", "license", "shingles", f"transform({split}, w -> xxhash64(w[0], w[1], w[2], w[3], w[4])) as hashes")
-    of_class = {size: sorted({h for r in hashes.where(F.col("size") == size).select("hashes").collect() for h in r[0]}) for size in classes}  # the parameter's own
+    parameter = hashes.select("size", "hashes").collect()  # one row a template
+    of_class = {size: sorted({h for r in parameter if r["size"] == size for h in r["hashes"]}) for size in classes}
     n_bands = {size: max(bands(len(sh), size) for sh in group.values()) for size, group in classes.items()}
     everything = sorted({h for hs in of_class.values() for h in hs})
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("w")).where(F.size("w") >= SHINGLE)
-    places = F.sequence(F.lit(0), F.size("w") - SHINGLE)
-    rows = rows.withColumn("hits", F.filter(places, lambda i: _hash_at(F.col("w"), i).isin(everything))).where(F.size("hits") > 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("w"))
+    places = F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))
+    hits = F.filter(places, lambda i: _hash_at(F.col("w"), i).isin(everything))
+    # the id keeps the filter from being moved below the split, which would then be done again for every word; written once for all classes
+    rows = materialize(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "w", hits.alias("hits")).where(F.size("hits") > 0))
     found = None
     for size, group in classes.items():
         own = F.filter(F.col("hits"), lambda i: _hash_at(F.col("w"), i).isin(of_class[size]))
         starts = F.array_distinct(F.flatten(F.transform(own, lambda i: F.array(F.floor(i / size), F.floor(i / size) - 1))))
-        windows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "w", F.explode(F.filter(starts, lambda k: k >= 0)).alias("k"))
+        windows = rows.select("doc_id", "row", "w", F.explode(F.filter(starts, lambda k: k >= 0)).alias("k"))
         first = F.col("k") * size
         windows = windows.select("doc_id", "row", (first).cast("int").alias("first"), F.slice("w", (first + 1).cast("int"), 2 * size).alias("w")).where(F.size("w") >= SHINGLE)
         inside = F.sequence(F.lit(0), F.size("w") - SHINGLE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import lm, mixing, packing, quality_model, quality_rules, simhash, url_filter, warc
+from tidemark.llm import image_match, license_scan, lm, mixing, packing, quality_model, quality_rules, simhash, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a media column drawn from the vectors of embeddings, as no table has images."""
+    return image_match.find_copies(image_match.media(table(spark, sf_dir, "embeddings")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
 
@@ -53,6 +62,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc_zip": op2_warc_zip,
+    "op3_license_scan": op3_license_scan,
+    "op4_image_copies": op4_image_copies,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_pfair_mixing": op7_pfair_mixing,
@@ -60,4 +71,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLE_SQL = {"op1_quality_rules": quality_rules.ORACLE, "op2_warc_zip": warc.ORACLE}
+ORACLE_SQL = {"op1_quality_rules": quality_rules.ORACLE, "op2_warc_zip": warc.ORACLE, "op3_license_scan": license_scan.oracle()}
