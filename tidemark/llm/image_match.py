@@ -13,14 +13,21 @@ from tidemark.llm.common import materialize
 
 #: Width and height of an image in the media column (8-bit grey, row by row); others give no descriptors.
 SIDE = 64
-SCALES = (1.0, 0.75, 0.5)
+SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
 RADIUS = 9
-#: Tables, and the descriptor bits each takes as its key; most differing bits of a match; matches that must agree on one placing.
-TABLES, KEY_BITS, MAX_BITS, VOTES = 8, 22, 24, 5
+#: First bit (in its half of the descriptor) of the bits that a table takes as its key, for each half; most differing bits of a match; matches that must
+#: agree on one placing.
+STARTS, KEY_BITS, MAX_BITS, VOTES = (0, 19, 38), 26, 24, 6
 
-_RNG = np.random.default_rng(11)
-_TESTS = np.clip(_RNG.normal(0, 3.2, (128, 4)), -6, 6)  # points of the 128 binary tests, before turning
-_KEYS = [np.sort(_RNG.choice(128, KEY_BITS, replace=False)) for _ in range(TABLES)]
+
+def _tests(n: int = 128) -> np.ndarray:
+    """Ends (x, y) and (x, y) of the binary tests, before turning. Both ends lie about equally far along the direction of the patch, as a patch is
+    brighter ahead and the outcome would be known beforehand; so the bits are close to even and keys tell patches apart."""
+    t = np.clip(np.random.default_rng(11).normal(0, 4, (20_000, 4)), -6.3, 6.3)
+    return t[(abs(t[:, 0] - t[:, 2]) <= 1.2) & (abs(t[:, 1] - t[:, 3]) >= 2)][:n]
+
+
+_TESTS = _tests()
 
 
 def _blur(a: np.ndarray) -> np.ndarray:
@@ -56,7 +63,7 @@ _DY, _DX = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_DY**2 + _DX**2 <= RADIUS**2).astype(float)
 
 
-def describe(a: np.ndarray, most: int = 24) -> list[tuple[float, float, float, float, bytes]]:
+def describe(a: np.ndarray, most: int = 16) -> list[tuple[float, float, float, float, bytes]]:
     """(x, y, angle, scale, 128-bit descriptor) of an image's corners over all scales, in the image's own coordinates."""
     out = []
     for s in SCALES:
@@ -73,11 +80,11 @@ def describe(a: np.ndarray, most: int = 24) -> list[tuple[float, float, float, f
     return out
 
 
-FEATURES = "id long, x double, y double, angle double, scale double, hi long, lo long, keys array<long>"
+FEATURES = "id long, x float, y float, angle float, scale float, hi long, lo long"
 
 
 def features(images: DataFrame) -> DataFrame:
-    """Descriptors of images (id, pixels), with the key of each table."""
+    """Descriptors of images (id, pixels), in two halves of 64 bits."""
 
     def run(batches):
         for b in batches:
@@ -86,16 +93,21 @@ def features(images: DataFrame) -> DataFrame:
                 if raw is None or len(raw) != SIDE * SIDE:
                     continue
                 for x, y, angle, scale, d in describe(np.frombuffer(raw, np.uint8).reshape(SIDE, SIDE).astype(float)):
-                    bits = np.unpackbits(np.frombuffer(d, np.uint8))
-                    keys = [(t << KEY_BITS) | int("".join(map(str, bits[k])), 2) for t, k in enumerate(_KEYS)]
-                    rows.append((i, x, y, angle, scale, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), keys))
-            cols = list(zip(*rows)) if rows else [()] * 8
-            kinds = [pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "x", "y", "angle", "scale", "hi", "lo", "keys"])
+                    rows.append((i, x, y, angle, scale, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = [pa.int64(), *[pa.float32()] * 4, pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "x", "y", "angle", "scale", "hi", "lo"])
 
     return images.select("id", "pixels").mapInArrow(run, FEATURES)
 
 
+def _entries(feats: DataFrame) -> DataFrame:
+    """A row for each table: its key (table and bits), the half of the descriptor without them, and the feature's uid."""
+    tables = [(h, s) for h in ("hi", "lo") for s in STARTS]
+    keys = [F.struct((F.shiftrightunsigned(h, s).bitwiseAND(F.lit((1 << KEY_BITS) - 1)) + F.lit(t << KEY_BITS)).alias("key"), F.col("lo" if h == "hi" else "hi").alias("other")) for t, (h, s) in enumerate(tables)]
+    return feats.select("uid", F.explode(F.array(*keys)).alias("e")).select("uid", "e.key", "e.other")
+
+
 def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
     """Copies of the query images (ids divisible by ``every``) among all images (image_id, pixels).
 
@@ -109,15 +121,17 @@ def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
     classes = materialize(keys.groupBy("digest").agg(F.min("image_id").alias("id"), F.max(F.col("image_id") % every == 0).alias("query")))
     members = keys.join(classes, "digest").select(F.lit("member").alias("kind"), "image_id", F.col("id").alias("other_id"), F.lit(None).cast("long").alias("votes"))
     one = src.groupBy("digest").agg(F.min_by("pixels", "image_id").alias("pixels"), F.min("image_id").alias("id"))
-    feats = materialize(features(one))
-    rows = feats.select("id", "x", "y", "angle", "scale", "hi", "lo", F.explode("keys").alias("key"))
-    asked = rows.join(classes.where("query").select("id"), "id", "left_semi")
-    asked = asked.select("key", *[F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", "angle", "scale", "hi", "lo")])
-    near = asked.join(rows, "key").where("q_id <> id").where(F.bit_count(F.col("q_hi").bitwiseXOR(F.col("hi"))) + F.bit_count(F.col("q_lo").bitwiseXOR(F.col("lo"))) <= MAX_BITS)
+    feats = materialize(features(one).withColumn("uid", F.monotonically_increasing_id()))
+    asked = materialize(feats.join(classes.where("query").select("id").distinct(), "id", "left_semi"))
+    # in the join itself, the other half of the descriptor rules out most pairs that share a key by chance
+    own = _entries(asked).select("key", F.col("uid").alias("q_uid"), F.col("other").alias("q_other"))
+    met = own.join(_entries(feats), "key").where(F.bit_count(F.col("q_other").bitwiseXOR(F.col("other"))) <= MAX_BITS).select("q_uid", "uid").distinct()
+    q = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
+    near = met.join(q, "q_uid").join(feats, "uid").where("q_id <> id").where(F.bit_count(F.col("q_hi").bitwiseXOR(F.col("hi"))) + F.bit_count(F.col("q_lo").bitwiseXOR(F.col("lo"))) <= MAX_BITS)
     turn, grow = F.col("angle") - F.col("q_angle"), F.col("scale") / F.col("q_scale")
     tx = F.col("x") - grow * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     ty = F.col("y") - grow * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
-    placed = near.select("q_id", "id", "q_x", "q_y", "x", "y", F.pmod(turn, F.lit(2 * math.pi)).alias("turn"), F.log2(grow).alias("grow"), tx.alias("tx"), ty.alias("ty")).distinct()
+    placed = near.select("q_id", "id", "q_x", "q_y", F.pmod(turn, F.lit(2 * math.pi)).alias("turn"), F.log2(grow).alias("grow"), tx.alias("tx"), ty.alias("ty"))
     half = F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("o")  # bins are laid twice, half a bin apart
     bins = placed.select("*", half).select("q_id", "id", "q_x", "q_y", "o", *[F.floor(F.col(c) / step + F.col("o")).alias(f"b_{c}") for c, step in (("turn", 0.7), ("grow", 0.6), ("tx", 10.0), ("ty", 10.0))])
     votes = bins.groupBy("q_id", "id", "o", "b_turn", "b_grow", "b_tx", "b_ty").agg(F.count_distinct("q_x", "q_y").alias("votes")).groupBy("q_id", "id").agg(F.max("votes").alias("votes")).where(F.col("votes") >= VOTES)
@@ -125,14 +139,16 @@ def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
 
 
 def drawn(vector: np.ndarray) -> np.ndarray:
-    """A picture of SIDE x SIDE grey pixels for a vector: rectangles whose place, size and shade come from its values."""
+    """A picture of SIDE x SIDE grey pixels for a vector: rectangles under smooth noise, all of whose figures come from its values."""
     v = np.resize(np.nan_to_num(np.asarray(vector, float)), 64) if len(vector) else np.zeros(64)
     r = np.random.default_rng(np.frombuffer(v.astype("<f4").tobytes(), np.uint8))
     a = np.full((SIDE, SIDE), 128.0)
     for _ in range(40):
         y, x, h, w = (*r.integers(0, SIDE - 6, 2), *r.integers(5, 22, 2))
         a[y : y + h, x : x + w] = r.integers(0, 256)
-    return a.astype(np.uint8)
+    for n, w in ((5, 17.0), (9, 25.0), (17, 35.0), (33, 25.0)):
+        a += w * _resized(r.normal(0, 1, (n, n)), SIDE)
+    return a.clip(0, 255).astype(np.uint8)
 
 
 def edited(a: np.ndarray, kind: int) -> np.ndarray:
