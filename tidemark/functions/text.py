@@ -44,7 +44,7 @@ def terms_in(text: Column, terms: tuple[str, ...] = RED_FLAGS) -> Column:
 
 def split_items(text: Column) -> Column:
     """Parts of a comma-separated field, trimmed, without empty ones; none for null."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def padded(number: Column, width: int = 10) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +37,10 @@ def changes(current: DataFrame, prior: DataFrame, pair: str, carry: float = CARR
     added or dropped, without similarity. Each pair's blocks are compared as one matrix in a task; a filing has hundreds of them.
     """
 
-    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def compare(key, rows: pa.Table) -> pa.Table:
         sides = []
-        for t in (left, right):
-            t = t.sort_by("block_index")
+        for side in (0, 1):
+            t = rows.filter(pc.equal(rows["side"], side)).sort_by("block_index")
             v = np.array(t["embedding"].to_pylist(), float).reshape(t.num_rows, -1)
             n = np.linalg.norm(v, axis=1, keepdims=True) if t.num_rows else v
             sides.append((t["block_index"].to_pylist(), v / np.where(n == 0, 1, n) if t.num_rows else v))
@@ -60,9 +61,9 @@ def changes(current: DataFrame, prior: DataFrame, pair: str, carry: float = CARR
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array([value.as_py()] * len(out), value.type), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["pair", "change_type", "current_index", "prior_index", "similarity"])
 
-    pick = lambda d: d.select(F.col(pair).alias("pair"), F.col("block_index").cast("long").alias("block_index"), "embedding")
+    pick = lambda d, side: d.select(F.col(pair).alias("pair"), F.col("block_index").cast("long").alias("block_index"), "embedding", F.lit(side).alias("side"))
     kind = dict(current.dtypes)[pair]
-    return pick(current).groupBy("pair").cogroup(pick(prior).groupBy("pair")).applyInArrow(compare, f"pair {kind}, change_type string, current_index long, prior_index long, similarity double")
+    return pick(current, 0).unionByName(pick(prior, 1)).groupBy("pair").applyInArrow(compare, f"pair {kind}, change_type string, current_index long, prior_index long, similarity double")
 
 
 def change_counts(rows: DataFrame) -> DataFrame:

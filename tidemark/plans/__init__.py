@@ -1,0 +1 @@
+"""Queries of the reference's operators on the provided tables."""
