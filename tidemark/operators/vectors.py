@@ -37,7 +37,7 @@ def changes(current: DataFrame, prior: DataFrame, pair: str, carry: float = CARR
     added or dropped, without similarity. Each pair's blocks are compared as one matrix in a task; a filing has hundreds of them.
     """
 
-    def compare(key, rows: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         sides = []
         for side in (0, 1):
             t = rows.filter(pc.equal(rows["side"], side)).sort_by("block_index")
