@@ -102,11 +102,44 @@ def features(images: DataFrame) -> DataFrame:
     return images.select("id", "pixels").mapInArrow(run, FEATURES)
 
 
-def _entries(feats: DataFrame) -> DataFrame:
-    """A row for each table: its key (table and bits), the half of the descriptor without them, and the feature's uid."""
-    tables = [(h, s) for h in ("hi", "lo") for s in STARTS]
-    keys = [F.struct((F.shiftrightunsigned(h, s).bitwiseAND(F.lit((1 << KEY_BITS) - 1)) + F.lit(t << KEY_BITS)).alias("key"), F.col("lo" if h == "hi" else "hi").alias("other")) for t, (h, s) in enumerate(tables)]
-    return feats.select("uid", F.explode(F.array(*keys)).alias("e")).select("uid", "e.key", "e.other")
+_MASK, _TABLES = (1 << KEY_BITS) - 1, [(h, s) for h in (0, 1) for s in STARTS]
+#: Bits of the filter of the queries' keys, a fixed 2 MB; 2**15 of them to a row of Spark's bitmaps.
+FILTER_BITS, _ROW = 1 << 24, 1 << 15
+
+
+def _entries(feats: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
+    """A row for each table: its key (table and bits), the half of the descriptor without them, and the feature's uid.
+
+    With a filter (bits, at the keys' place modulo FILTER_BITS), entries whose key no query has mostly stay behind; those that some query has never do.
+    """
+    bits = None if asked is None else feats.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        for b in batches:
+            uid, halves = np.array(b.column(0), np.int64), [np.array(b.column(i), np.int64).view(np.uint64) for i in (1, 2)]
+            for t, (h, s) in enumerate(_TABLES):
+                key = (((halves[h] >> np.uint64(s)) & np.uint64(_MASK)) | np.uint64(t << KEY_BITS)).astype(np.int64)
+                keep = slice(None)
+                if bits is not None:
+                    at = _place(key)
+                    keep = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                yield pa.record_batch([pa.array(x) for x in (uid[keep], key[keep], halves[1 - h].view(np.int64)[keep])], names=["uid", "key", "other"])
+
+    return feats.select("uid", "hi", "lo").mapInArrow(run, "uid long, key long, other long")
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    return (key * 0x9E3779B1 >> 7) % FILTER_BITS
+
+
+def key_filter(entries: DataFrame) -> np.ndarray:
+    """One bit for each key modulo FILTER_BITS. Tasks send at most the filter's own rows; the driver gets FILTER_BITS / _ROW rows of 4 KB."""
+    at = (F.shiftright(F.col("key") * 0x9E3779B1, 7) % FILTER_BITS).alias("at")
+    rows = entries.select(at).groupBy(F.expr(f"at div {_ROW}").alias("row")).agg(F.bitmap_construct_agg((F.col("at") % _ROW).cast("long")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        out[r["row"] * (_ROW // 8) :][: _ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
@@ -125,8 +158,9 @@ def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
     feats = materialize(features(one).withColumn("uid", F.monotonically_increasing_id()))
     asked = materialize(feats.join(classes.where("query").select("id").distinct(), "id", "left_semi"))
     # in the join itself, the other half of the descriptor rules out most pairs that share a key by chance
-    own = _entries(asked).select("key", F.col("uid").alias("q_uid"), F.col("other").alias("q_other"))
-    met = own.join(_entries(feats), "key").where(F.bit_count(F.col("q_other").bitwiseXOR(F.col("other"))) <= MAX_BITS).select("q_uid", "uid").distinct()
+    wanted = materialize(_entries(asked))
+    own = wanted.select("key", F.col("uid").alias("q_uid"), F.col("other").alias("q_other"))
+    met = own.join(_entries(feats, key_filter(wanted)), "key").where(F.bit_count(F.col("q_other").bitwiseXOR(F.col("other"))) <= MAX_BITS).select("q_uid", "uid").distinct()
     q = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
     near = met.join(q, "q_uid").join(feats, "uid").where("q_id <> id").where(F.bit_count(F.col("q_hi").bitwiseXOR(F.col("hi"))) + F.bit_count(F.col("q_lo").bitwiseXOR(F.col("lo"))) <= MAX_BITS)
     turn, grow = F.col("angle") - F.col("q_angle"), F.col("scale") / F.col("q_scale")
