@@ -17,7 +17,7 @@ SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
 RADIUS = 9
 #: First bit (in its half of the descriptor) of the bits that a table takes as its key, for each half; most differing bits of a match; matches that must
 #: agree on one placing.
-STARTS, KEY_BITS, MAX_BITS, VOTES = (0, 13, 27, 40), 24, 24, 8
+STARTS, KEY_BITS, MAX_BITS, VOTES = (0, 13, 27, 40), 24, 9, 6
 
 
 def _tests(n: int = 128) -> np.ndarray:
@@ -108,7 +108,7 @@ FILTER_BITS, _ROW = 1 << 24, 1 << 15
 
 
 def _entries(feats: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
-    """A row for each table: its key (table and bits), the half of the descriptor without them, and the feature's uid.
+    """A row for each table: its key (table and bits), the whole descriptor, and the feature's uid.
 
     With a filter (bits, at the keys' place modulo FILTER_BITS), entries whose key no query has mostly stay behind; those that some query has never do.
     """
@@ -123,9 +123,9 @@ def _entries(feats: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
                 if bits is not None:
                     at = _place(key)
                     keep = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                yield pa.record_batch([pa.array(x) for x in (uid[keep], key[keep], halves[1 - h].view(np.int64)[keep])], names=["uid", "key", "other"])
+                yield pa.record_batch([pa.array(x) for x in (uid[keep], key[keep], halves[0].view(np.int64)[keep], halves[1].view(np.int64)[keep])], names=["uid", "key", "hi", "lo"])
 
-    return feats.select("uid", "hi", "lo").mapInArrow(run, "uid long, key long, other long")
+    return feats.select("uid", "hi", "lo").mapInArrow(run, "uid long, key long, hi long, lo long")
 
 
 def _place(key: np.ndarray) -> np.ndarray:
@@ -157,12 +157,13 @@ def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
     one = src.groupBy("digest").agg(F.min_by("pixels", "image_id").alias("pixels"), F.min("image_id").alias("id"))
     feats = materialize(features(one).withColumn("uid", F.monotonically_increasing_id()))
     asked = materialize(feats.join(classes.where("query").select("id").distinct(), "id", "left_semi"))
-    # in the join itself, the other half of the descriptor rules out most pairs that share a key by chance
     wanted = materialize(_entries(asked))
-    own = wanted.select("key", F.col("uid").alias("q_uid"), F.col("other").alias("q_other"))
-    met = own.join(_entries(feats, key_filter(wanted)), "key").where(F.bit_count(F.col("q_other").bitwiseXOR(F.col("other"))) <= MAX_BITS).select("q_uid", "uid").distinct()
-    q = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
-    near = met.join(q, "q_uid").join(feats, "uid").where("q_id <> id").where(F.bit_count(F.col("q_hi").bitwiseXOR(F.col("hi"))) + F.bit_count(F.col("q_lo").bitwiseXOR(F.col("lo"))) <= MAX_BITS)
+    own = wanted.select("key", *[F.col(c).alias(f"q_{c}") for c in ("uid", "hi", "lo")])
+    # in the join itself, the whole descriptor rules out pairs that share a key by chance
+    met = own.join(_entries(feats, key_filter(wanted)), "key").where(F.bit_count(F.col("q_hi").bitwiseXOR(F.col("hi"))) + F.bit_count(F.col("q_lo").bitwiseXOR(F.col("lo"))) <= MAX_BITS)
+    place = ("id", "x", "y", "angle", "scale")
+    q = asked.select(F.col("uid").alias("q_uid"), *[F.col(c).alias(f"q_{c}") for c in place])
+    near = met.select("q_uid", "uid").distinct().join(q, "q_uid").join(feats.select("uid", *place), "uid").where("q_id <> id")
     turn, grow = F.col("angle") - F.col("q_angle"), F.col("scale") / F.col("q_scale")
     tx = F.col("x") - grow * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     ty = F.col("y") - grow * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
