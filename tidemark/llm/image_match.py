@@ -17,7 +17,7 @@ SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
 RADIUS = 9
 #: First bit (in its half of the descriptor) of the bits that a table takes as its key, for each half; most differing bits of a match; matches that must
 #: agree on one placing.
-STARTS, KEY_BITS, MAX_BITS, VOTES = (0, 13, 27, 40), 24, 9, 6
+STARTS, KEY_BITS, MAX_BITS, VOTES = (0, 13, 27, 40), 24, 11, 6
 
 
 def _tests(n: int = 128) -> np.ndarray:
