@@ -1,53 +1,52 @@
-"""Mixing sources to target weights by Pfair scheduling: blocks get release times and deadlines, earliest deadline first."""
+"""Mixing sources to exact target weights by Pfair scheduling: blocks get release times and deadlines, earliest deadline first."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
-#: Slots of one period of the schedule; target weights are rounded to this many parts.
-PERIOD = 1000
 #: Ranges of the order's hash that are numbered on their own; their totals are summed up in the second pass.
 BUCKETS = 4096
 
 
-def shares(weights: dict[str | None, float], period: int) -> dict:
-    """Whole parts of the period by largest remainder, at least one for each source."""
-    if not weights:
-        return {}
-    if len(weights) > period or min(weights.values()) <= 0:
-        raise ValueError("weights must be positive and no more than the period has slots")
-    spare, total = period - len(weights), sum(weights.values())
-    names = sorted(weights, key=lambda s: (s is None, s or ""))
-    part = {s: 1 + int(weights[s] / total * spare) for s in names}
-    rest = sorted(names, key=lambda s: int(weights[s] / total * spare) - weights[s] / total * spare)
-    for s in rest[: period - sum(part.values())]:
-        part[s] += 1
-    return part
+def parts(weights: dict) -> dict:
+    """Whole numbers in exactly the weights' proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
 
 
-def schedule(part: dict, period: int) -> list[tuple]:
-    """(source, number in the period, release, deadline, slot) of one period by earliest deadline first.
+def schedule(part: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, number, release, deadline, slot) of all blocks by earliest deadline first; sources are their places in the lists.
 
-    The j-th block (from 0) of a source with c of p slots is released at floor(j * p / c) and due by ceil((j + 1) * p / c); with all slots
-    given out every block meets its deadline, so after any number of slots a source is less than one block off its share.
-    The next period repeats the pattern.
+    With w a source's exact share, its j-th block (from 0) is released at floor(j / w) and due by ceil((j + 1) / w). The shares add up to 1, so every
+    block meets its deadline: after any number of slots a source that has blocks left is less than one block off its share. Slots of sources that
+    have run out stay empty and take no time here. Held at once: one block of each source.
     """
-    jobs = sorted((j * period // c, -(-(j + 1) * period // c), k, j) for k, c in enumerate(part.values()) for j in range(c))
-    names, ready, out, at = list(part), [], [], 0
-    for slot in range(period if part else 0):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            release, due, k, j = jobs[at]
-            heapq.heappush(ready, (due, k, j, release))
-            at += 1
-        if ready:
-            due, k, j, release = heapq.heappop(ready)
-            out.append((names[k], j, release, due, slot))
-    return out
+    total, ready, at = sum(part), [], 0
+    coming = [(0, k, 0) for k, n in enumerate(blocks) if n]
+    heapq.heapify(coming)
+    while coming or ready:
+        if not ready:
+            at = max(at, coming[0][0])
+        while coming and coming[0][0] <= at:
+            release, k, j = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(j + 1) * total // part[k]), k, j, release))
+        due, k, j, release = heapq.heappop(ready)
+        yield k, j, release, due, at
+        at += 1
+        if j + 1 < blocks[k]:
+            heapq.heappush(coming, ((j + 1) * total // part[k], k, j + 1))
 
 
 def numbered(rows: DataFrame, group: str, order: list) -> DataFrame:
@@ -60,40 +59,67 @@ def numbered(rows: DataFrame, group: str, order: list) -> DataFrame:
     return local.join(base, local[group].eqNullSafe(base["_g"]) & (local["_bucket"] == base["_b"])).withColumn("n", F.col("_base") + F.col("_local"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float], block: int = 16, period: int = PERIOD, other: float = 1.0) -> DataFrame:
+def planned(pools: DataFrame, batch: int = 1 << 16) -> DataFrame:
+    """p (pool), j, r, d and t (release, deadline and slot) of every block of pools (p, part: a whole number as text, blocks).
+
+    One task writes the schedule as a stream, a row for each block; it holds a row for each pool.
+    """
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
+        out = []
+
+        def written():
+            k, *rest = zip(*out)
+            return pa.record_batch([pa.array([rows[i][0] for i in k], pa.string()), *(pa.array(x, pa.int64()) for x in rest)], names=["p", "j", "r", "d", "t"])
+
+        for x in schedule([int(r[1]) for r in rows], [r[2] for r in rows]):
+            out.append(x)
+            if len(out) == batch:
+                yield written()
+                out = []
+        if out:
+            yield written()
+
+    return materialize(pools.select("p", "part", "blocks").coalesce(1).mapInArrow(run, "p string, j long, r long, d long, t long"))
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float], block: int = 16, other: float = 1.0) -> DataFrame:
     """doc_id, source, n (number in its source), block, release, deadline, slot and place (order within the mix) of every document.
 
     A source's documents are taken in the order of a hash of their id and put in blocks of ``block``. Sources that ``weights`` doesn't name, null
-    among them, share the weight ``other`` as one. When a source has no blocks left its slots stay empty, and the others go on at
-    their relative weights; nothing is dropped or repeated. Repeated rows have places of their own; null ids come in the order of
-    their hash; no rows give no rows; other columns are ignored.
+    among them, share the weight ``other`` as one. Shares are exact, of the weights of the sources that have documents. When a source has no
+    blocks left its slots stay empty, and the others go on at their relative weights; nothing is dropped or repeated. Repeated rows have places of
+    their own; null ids come in the order of their hash; no rows give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    names = [s for s in weights if s is not None]
-    pool = F.when(F.col("source").isin(names), F.col("source")) if names else F.lit(None).cast("string")
+    part = parts({**{s: weights[s] for s in weights if s is not None}, None: weights.get(None, other)})
+    given = spark.createDataFrame([(s, str(n)) for s, n in part.items()], "p string, part string")
+    named = given.where("p is not null").select("p")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    rows = rows.withColumns({"pool": pool, "h": F.xxhash64("doc_id")}).withColumn("_bucket", F.shiftrightunsigned("h", 52).cast("int"))
-    part = shares({**{s: float(weights[s]) for s in names}, None: float(weights.get(None, other))}, period)
-    plan = schedule(part, period)
-    table = spark.createDataFrame([(s, part[s], j, r, d, t) for s, j, r, d, t in plan], "p string, c long, j long, r long, d long, t long")  # at most one row a slot of the period
-    own = numbered(rows, "pool", ["h", "doc_id", "source"]).select("doc_id", "source", "pool", "n", F.expr(f"n div {block}").alias("block"))
-    sizes = F.broadcast(spark.createDataFrame(list(part.items()), "p2 string, c2 long"))
-    own = own.join(sizes, own["pool"].eqNullSafe(sizes["p2"])).withColumns({"round": F.expr("block div c2"), "j2": F.expr("block % c2")})
-    out = own.join(F.broadcast(table), own["pool"].eqNullSafe(table["p"]) & (own["j2"] == table["j"]))
-    at = lambda c: F.col("round") * period + F.col(c)
-    return out.select("doc_id", "source", "n", "block", at("r").alias("release"), at("d").alias("deadline"), at("t").alias("slot"), (at("t") * block + F.col("n") % block).alias("place"))
+    rows = rows.join(F.broadcast(named), rows["source"] == named["p"], "left").withColumnRenamed("p", "pool")
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("_bucket", F.shiftrightunsigned("h", 52).cast("int"))
+    own = materialize(numbered(rows, "pool", ["h", "doc_id", "source"]).select("doc_id", "source", "pool", "n", F.expr(f"n div {block}").alias("block")))
+    sizes = own.groupBy("pool").agg((F.max("block") + 1).alias("blocks"))
+    plan = planned(sizes.join(given, sizes["pool"].eqNullSafe(given["p"])))
+    out = own.join(plan, own["pool"].eqNullSafe(plan["p"]) & (own["block"] == plan["j"]))
+    return out.select("doc_id", "source", "n", "block", F.col("r").alias("release"), F.col("d").alias("deadline"), F.col("t").alias("slot"), (F.col("t") * block + F.col("n") % block).alias("place"))
+
+
+def _sizes(docs: DataFrame) -> dict[str, int]:
+    """Documents of each source; the driver holds a row for each source."""
+    return {r["source"]: r["count"] for r in docs.where("source is not null").groupBy(F.col("source").cast("string").alias("source")).count().collect()}
 
 
 def equal_weights(docs: DataFrame) -> dict[str | None, float]:
-    """Weight 1 for each of at most PERIOD - 1 sources, the largest first; the rest share one weight."""
-    top = docs.where("source is not null").groupBy(F.col("source").cast("string").alias("source")).count().orderBy(F.desc("count"), "source").limit(PERIOD - 1)
-    return {r["source"]: 1.0 for r in top.collect()}
+    """Weight 1 for each source."""
+    return dict.fromkeys(_sizes(docs), 1.0)
 
 
 def root_weights(docs: DataFrame) -> dict[str | None, float]:
-    """Square roots of the sources' numbers of documents, for at most PERIOD - 1 sources, the largest first; the rest share one weight."""
-    top = docs.where("source is not null").groupBy(F.col("source").cast("string").alias("source")).count().orderBy(F.desc("count"), "source").limit(PERIOD - 1)
-    return {r["source"]: float(r["count"]) ** 0.5 for r in top.collect()}
+    """Square roots of the sources' numbers of documents."""
+    return {s: float(n) ** 0.5 for s, n in _sizes(docs).items()}
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, float], block: int = 16) -> DataFrame:
