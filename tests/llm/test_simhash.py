@@ -115,3 +115,21 @@ def test_keep_one_against_jaccard(spark):
 
 def test_query_covers_all_documents(spark, docs):
     assert queries.op5_simhash(spark, DATA).count() == docs.count()
+
+
+def test_wide_links_compares_large_nodes_whole(spark):
+    """One node of 5,000 fingerprints, cut into many blocks, whose only links are between distant ranks."""
+    r = np.random.default_rng(8)
+    fps = r.integers(0, 256, (5000, 32), np.uint8)
+    mask = np.random.default_rng(1000).choice(256, 8, replace=False)
+    for i in mask.tolist():
+        fps[:, i // 8] &= 255 - (128 >> i % 8)
+    free = np.setdiff1d(np.arange(256), mask)
+    fps[2500:] = fps[:2500]
+    for row in range(2500, 5000):
+        for i in r.choice(free, 30, replace=False).tolist():
+            fps[row, i // 8] ^= 128 >> i % 8
+    reps = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(fps)], "id long, fp binary")
+    got = [(e["a"], e["b"]) for e in simhash.wide_links(reps, 256, 48, 1, 8, chunk=300).collect()]
+    assert sorted(got) == [(i, i + 2500) for i in range(2500)]
+    assert sorted((e["a"], e["b"]) for e in simhash.wide_links(reps.where("id % 5 = 0"), 256, 48, 3, 8).collect()) == [(i, i + 2500) for i in range(0, 2500, 5)]

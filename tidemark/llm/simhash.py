@@ -5,7 +5,7 @@ share those bits next to each other: the shared bits are an upper node, held onc
 further bits are nodes of the next level; pairs of nodes whose own bits differ too much are pruned as groups, and what is
 left of the budget goes down to the leaves. For a radius of up to 2 the tables (all pairs of 8 bytes left unmasked) find
 every link, and an upper node has at most 2**16 leaves. For wider radii of longer fingerprints, random masks
-find a link with high probability, and range partitions in Gray order split nodes that hold many leaves.
+propose a pair with high probability, and nodes that hold many leaves are compared block by block.
 """
 
 from __future__ import annotations
@@ -164,13 +164,17 @@ def exact_links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits: int, chunk: int = 2048) -> DataFrame:
-    """Edges (a, b) between ids of fingerprints (columns id, fp) at ``radius`` or fewer bits that agree on a table's mask.
+    """All pairs (a, b) of ids, a < b, of fingerprints (columns id, fp) at ``radius`` or fewer bits that agree on a table's mask, each from the first such table.
 
-    Each table takes mask_bits random bits as the leading bits of the Gray rank. Ranges of ranks, not single keys, are dealt to
-    tasks. In a task, fingerprints with the same masked bits are compared in blocks of at most ``chunk`` leaves, a block overlapping
-    the next by one, and the nearest links form a spanning tree for each block: large groups give as many edges as they have members.
+    Each table takes mask_bits random bits as the leading bits of the Gray rank, and
+    fingerprints that share them are an upper node. A node is cut into blocks of at most ``chunk`` fingerprints, and every two of its blocks meet
+    in a task of their own, so a node of any size is compared whole while a task holds two blocks.
     """
-    masks = [np.random.default_rng(1000 + t).choice(bits, 48, replace=False) for t in range(tables)]
+    masks = [np.random.default_rng(1000 + t).choice(bits, mask_bits, replace=False) for t in range(tables)]
+    masked = np.zeros((tables, bits), np.uint8)
+    for t, mask in enumerate(masks):
+        masked[t, mask] = 1
+    masked = np.packbits(masked, axis=1).view(np.uint64)
 
     def entries(batches):
         for b in batches:
@@ -180,62 +184,65 @@ def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits:
                 v = np.zeros(b.num_rows, np.uint64)
                 for i in mask:
                     v = (v << np.uint64(1)) | one[:, i].astype(np.uint64)
-                rank = gray_rank(v).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(b.num_rows, t, np.int16)), pa.array(rank), b.column(0), b.column(1)], names=["t", "rank", "id", "fp"])
+                upper = gray_rank(v).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(b.num_rows, t, np.int16)), pa.array(upper), b.column(0), b.column(1)], names=["t", "upper", "id", "fp"])
 
-    drop = 48 - mask_bits
-
-    def block(ids, raw):
-        words = raw.view(np.uint64)
-        n = len(ids)
-        best, near = np.full(n, 1 << 30), np.zeros(n, np.int64)
-        inside = np.zeros(n, bool)
+    def pairs(t, own, ids, words, n):
+        """Pairs within one block, or of the first n with the others, of another block."""
         left, right = [], []
-        now = 0
-        inside[0] = True
-        for _ in range(n - 1):  # Prim's spanning tree; links beyond the radius aren't written
-            d = sum(_bits(words[:, k] ^ words[now, k]) for k in range(words.shape[1]))
-            closer = ~inside & (d < best)
-            best[closer], near[closer] = d[closer], now
-            now = int(np.where(inside, 1 << 31, best).argmin())
-            inside[now] = True
-            if best[now] <= radius:
-                left.append(ids[now])
-                right.append(ids[near[now]])
+        for lo in range(0, n, 256):
+            hi, first = min(n, lo + 256), lo if own else n
+            d = np.zeros((hi - lo, len(ids) - first), np.uint16)
+            for k in range(words.shape[1]):
+                d += np.bitwise_count(words[lo:hi, k][:, None] ^ words[first:, k][None, :])
+            i, j = np.nonzero(d <= radius)
+            i, j = i + lo, j + first
+            new = i < j
+            if t:
+                differing = words[i] ^ words[j]
+                for m in masked[:t]:
+                    new &= (differing & m).any(1)
+            i, j = i[new], j[new]
+            left.append(np.minimum(ids[i], ids[j]))
+            right.append(np.maximum(ids[i], ids[j]))
         return left, right
 
     def nodes(cols):
-        left, right = [], []
-        t, rank, ids, fp = cols
-        if len(t):
-            upper = rank >> drop
-            head = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (upper[1:] != upper[:-1])))
-            for h, n in zip(head.tolist(), np.diff(np.append(head, len(t))).tolist()):
-                for lo in range(h, h + n - 1, chunk - 1):
-                    hi = min(h + n, lo + chunk)
-                    raw = np.frombuffer(b"".join(fp[lo:hi]), np.uint8).reshape(hi - lo, bits // 8)
-                    a, b = block(ids[lo:hi], raw)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        key, second, ids, fp = cols
+        if len(ids):
+            words = np.frombuffer(b"".join(fp), np.uint64).reshape(len(ids), -1)
+            head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            for h, n in zip(head.tolist(), np.diff(np.append(head, len(ids))).tolist()):
+                firsts = n - int(second[h : h + n].sum())
+                if n > 1 and firsts:
+                    a, b = pairs(int(key[h, 0]), key[h, 2] == key[h, 3], ids[h : h + n], words[h : h + n], firsts)
                     left += a
                     right += b
-        return pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        return pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     def search(batches):
         rest = None
         for b in batches:
-            cols = [np.array(b.column(0)), np.array(b.column(1)), np.array(b.column(2)), np.array(b.column(3).to_pylist(), object)]
+            cols = [np.stack([np.array(b.column(i), np.int64) for i in range(4)], 1), *(np.array(b.column(i)) for i in (4, 5)), np.array(b.column(6).to_pylist(), object)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
-            upper = cols[1] >> drop
-            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (upper[1:] != upper[:-1])) + 1
+            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]).any(1)) + 1
             cutoff = int(new[-1]) if len(new) else 0
             rest = [c[cutoff:] for c in cols]
             yield nodes([c[:cutoff] for c in cols])
         if rest is not None:
             yield nodes(rest)
 
-    index = reps.select("id", "fp").mapInArrow(entries, "t short, rank long, id long, fp binary")
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = index.repartitionByRange(n, "t", "rank").sortWithinPartitions("t", "rank")
+    index = reps.select("id", "fp").mapInArrow(entries, "t short, upper long, id long, fp binary")
+    # the blocks of large nodes: few nodes, so their number of blocks is joined to all entries
+    sizes = index.groupBy("t", "upper").count().where(F.col("count") > chunk).select("t", "upper", F.ceil(F.col("count") / chunk).cast("int").alias("blocks"))
+    index = index.join(materialize(sizes), ["t", "upper"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    index = index.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # block k meets itself and all others, the lower number first
+    index = index.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    index = index.select("t", "upper", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("byte").alias("second"), "id", "fp")
+    index = index.repartition("t", "upper", "i", "j").sortWithinPartitions("t", "upper", "i", "j", "second")
     return index.mapInArrow(search, "a long, b long")
 
 
