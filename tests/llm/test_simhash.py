@@ -133,3 +133,28 @@ def test_wide_links_compares_large_nodes_whole(spark):
     got = [(e["a"], e["b"]) for e in simhash.wide_links(reps, 256, 48, 1, 8, chunk=300).collect()]
     assert sorted(got) == [(i, i + 2500) for i in range(2500)]
     assert sorted((e["a"], e["b"]) for e in simhash.wide_links(reps.where("id % 5 = 0"), 256, 48, 3, 8).collect()) == [(i, i + 2500) for i in range(0, 2500, 5)]
+
+
+def test_keep_one_decides_by_exact_sets(spark):
+    """Copies at 0.76 to 0.84: just those at 0.8 or more go, also where a passage often repeated makes fingerprints of all shingles alike or unlike."""
+    r = np.random.default_rng(5)
+    sh = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    rows, want = [], set()
+    for i in range(120):
+        w = [f"w{x}" for x in r.integers(0, 9000, 300)]
+        edits = 5 + i % 4
+        close = list(w)
+        for p in range(20, 20 + 30 * edits, 30):
+            close[p] = f"z{p}"
+        if i % 3 == 0:
+            close += [f"p{x}" for x in range(6)] * 100
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(close))]
+        want |= {i} | ({1000 + i} if jaccard(sh(w), sh(close)) < 0.8 else set())
+    for i in range(40):
+        passage = [f"q{i}x{x}" for x in range(9)] * 60
+        a, b = ([f"{i}{c}{x}" for x in range(80)] for c in "ab")
+        rows += [(2000 + i, " ".join(passage + a)), (3000 + i, " ".join(passage + b))]
+        want |= {2000 + i, 3000 + i}
+    assert 120 < len(want & set(range(2000))) < 240
+    kept = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == want

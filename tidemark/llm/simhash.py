@@ -10,7 +10,9 @@ propose a pair with high probability, and nodes that hold many leaves are compar
 
 from __future__ import annotations
 
-from itertools import combinations
+from fractions import Fraction
+from itertools import combinations, count
+from math import acos, comb, pi, prod
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,9 @@ def shingle_hashes(text: bytes, k: int) -> list[int]:
     return [digest(join(x), 42) for x in zip(*(w[i:] for i in range(k)))]
 
 
-def majority(hashes: list[int], parts: int) -> bytes:
+def majority(hashes: list[int] | np.ndarray, parts: int) -> bytes:
     """Little-endian fingerprint of 64 * parts bits; a bit is 1 if set in over half the hashes. Part 0 uses the hashes as they are."""
-    if not hashes:
+    if not len(hashes):
         return bytes(8 * parts)
     ones, h = np.zeros((parts, 64), np.int64), np.array(hashes, "<u8")
     for lo in range(0, len(h), 1 << 15):
@@ -265,32 +267,71 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", "fingerprint", "component_id")
 
 
-def confirmed(edges: DataFrame, reps: DataFrame, radius: int) -> DataFrame:
-    """The edges (a, b) whose whole fingerprints (reps: id, fp) differ in at most ``radius`` bits."""
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and the distinct k-word shingles' hashes (sorted, 8 bytes each) of every document."""
 
-    def near(left: pa.Array, right: pa.Array) -> pa.Array:
-        n = len(left)
-        words = [np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(n, -1) for x in (left, right)] if n else [np.zeros((0, 1), np.uint64)] * 2
-        return pa.array(_bits(words[0] ^ words[1]).sum(1) <= radius, pa.bool_())
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, k), np.uint64)).tobytes() for t in byte_texts(b.column(1))]
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
 
-    left, right = reps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), reps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-    return edges.distinct().join(left, "a").join(right, "b").where(F.arrow_udf(near, "boolean")("fa", "fb")).select("a", "b")
 
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (sets: id, shingles) have a Jaccard similarity of ``similarity`` or more."""
+    least = Fraction(str(similarity))
 
-def keep_one(docs: DataFrame, k: int = 5, bits: int = 256, radius: int = 48, tables: int = 56, mask_bits: int = 18, whole_bits: int = 1024, whole_radius: int = 158) -> DataFrame:
+    def near(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left.to_pylist(), right.to_pylist()):
+            n, m = len(x) // 8, len(y) // 8
+            if min(n, m) < least * max(n, m):
+                out.append(False)
+                continue
+            both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            out.append(both >= least * (n + m - both))
+        return pa.array(out, pa.bool_())
+
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").where(F.arrow_udf(near, "boolean")("sa", "sb")).select("a", "b")
+
+
+def recall(share: float, bits: int, radius: int, tables: int, mask_bits: int) -> float:
+    """Probability that fingerprints whose bits differ with probability ``share`` are within the radius and agree on a table's mask."""
+    out = 0.0
+    for d in range(radius + 1):
+        agree = prod((bits - d - i) / (bits - i) for i in range(mask_bits))
+        out += comb(bits, d) * share**d * (1 - share) ** (bits - d) * (1 - (1 - agree) ** tables)
+    return out
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 256, radius: int = 72, sure: float = 0.999, node: int = 1024) -> DataFrame:
     """The documents without near copies of an earlier one: of each group, that with the smallest doc_id stays, with all its columns.
 
-    By default five-word shingles and a similarity of 0.8 or more: sets of that Jaccard similarity have a cosine of 0.89, whose
-    fingerprints of 256 bits differ in 39 bits on average (standard deviation 6), which the radius of 48 takes in. A mask of 18 bits is shared
-    with probability 0.052 at 0.8, by one of 56 tables or more with 0.95 (0.85: 0.99). What the index finds is then held against fingerprints
-    of 1024 bits, the first 256 among them: 155 bits differ on average at 0.8 (standard deviation 12), 134 at 0.85 and 197 at 0.7, so
-    documents that are less alike stay. Texts without words are one group. Of rows with the same doc_id one stays; null ids stay as they are.
+    Near copies have sets of k-word shingles of a Jaccard similarity of ``similarity`` or more, counted exactly; fingerprints of the sets only propose
+    pairs. Equal sets are one class from the start. Sets of similarity 0.8 have a cosine of 0.89, whose fingerprints of 256 bits differ in 39 bits on
+    average (standard deviation 6). Masks grow with the documents, so that an upper node has about ``node`` fingerprints if bits are even, and there are as
+    many tables as propose a pair at the similarity with probability ``sure`` by that model. Texts without words are one group. Of rows with the same doc_id one stays;
+    null ids stay as they are.
     """
-    fps = fingerprints(docs, k, whole_bits // 64)
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"))
-    found = wide_links(reps.select("id", F.substring("fp", 1, bits // 8).alias("fp")), bits, radius, tables, mask_bits)
-    labels = components(confirmed(found, reps, whole_radius))
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in byte_texts(b.column(1))]
+            yield pa.record_batch([b.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([majority(x, bits // 64) for x in sets], pa.binary())], names=["doc_id", "digest", "fp"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    reps = texts.mapInArrow(run, "doc_id long, digest binary, fp binary")
+    reps = materialize(reps.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+    mask_bits = max(8, (reps.count() // node).bit_length())
+    differ = acos(2 * similarity / (1 + similarity)) / pi
+    tables = next(t for t in count(1) if recall(differ, bits, radius, t, mask_bits) >= sure)
+    pairs = materialize(wide_links(reps, bits, radius, tables, mask_bits).where("a <> b").distinct())
+    asked = pairs.selectExpr("stack(2, a, b) as doc_id").distinct()
+    sets = materialize(shingle_sets(texts.join(asked, "doc_id", "left_semi"), k).select(F.col("doc_id").alias("id"), "shingles").distinct())
+    labels = components(confirmed(pairs, sets, similarity).distinct())
     stay = reps.select("id").join(labels.where("node <> label").select(F.col("node").alias("id")), "id", "left_anti")
-    stay = materialize(stay.withColumnRenamed("id", "doc_id"))
+    stay = materialize(stay.withColumnRenamed("id", "doc_id").distinct())
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
