@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_texts, crc_mod, materialize
 
 #: Words that every task looks up itself (their counts are broadcast); others are joined. Words that the network knows one by one.
-HEAD, KNOWN, CLASSES, HIDDEN = 1 << 17, 256, 16, 12
+HEAD, KNOWN, CLASSES, HIDDEN = 1 << 17, 1024, 32, 16
 #: Most documents that the common start is trained on, before all partitions train on all of theirs.
 WARM_DOCS = 1500
 SEGMENT = 1024
