@@ -26,3 +26,13 @@ def test_media_of_null_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0] * 64, 1), (1, None, 1), (2, [], 1), (None, [float("nan")], 1)], "vec_id long, embedding array<float>, label int")
     got = m.media(rows).collect()
     assert len(got) == 5 and sum(r["pixels"] is None for r in got) == 1
+
+
+def test_consensus_of_unturned_copies_with_noise_of_both_signs(spark):
+    """Six matches: three on each side of a turn of zero; at the edge of one axis in one grid and of another in the other; and six that disagree."""
+    full = 2 * np.pi
+    near = [(1, 2, float(k), 0.0, full - 0.05 if k % 2 else 0.05, 0.1, 3.0, 3.0) for k in range(6)]
+    edges = [(1, 3, float(k), 0.0, 1.0, 0.1, 9.9 + k % 2 * 0.2, 4.9 + k % 2 * 0.2) for k in range(6)]
+    far = [(1, 4, float(k), 0.0, 1.0 + k, 0.1, 3.0, 3.0) for k in range(6)]
+    placed = spark.createDataFrame(near + edges + far, "q_id long, id long, q_x double, q_y double, turn double, grow double, tx double, ty double")
+    assert {(r["id"], r["votes"]) for r in m.consensus(placed).collect()} == {(2, 6), (3, 6)}

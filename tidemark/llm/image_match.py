@@ -142,6 +142,24 @@ def key_filter(entries: DataFrame) -> np.ndarray:
     return out
 
 
+#: Bins of the turn in a full circle.
+TURNS = 9
+
+
+def consensus(placed: DataFrame) -> DataFrame:
+    """q_id, id and votes of the pairs that have VOTES or more matched corners (q_x, q_y) in one bin of turn, grow, tx and ty.
+
+    Each axis's bins are laid twice, half a bin apart, independently of the other axes' (16 grids); those of the turn close at a full circle.
+    """
+    axes = {"turn": 2 * math.pi / TURNS, "grow": 0.6, "tx": 10.0, "ty": 10.0}
+    bins = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    for k, (c, step) in enumerate(axes.items()):
+        at = F.floor(F.col(c) / step + F.shiftright("o", k).bitwiseAND(F.lit(1)) * 0.5)
+        bins = bins.withColumn(f"b_{c}", F.pmod(at, F.lit(TURNS)) if c == "turn" else at)
+    votes = bins.groupBy("q_id", "id", "o", *[f"b_{c}" for c in axes]).agg(F.count_distinct("q_x", "q_y").alias("votes"))
+    return votes.groupBy("q_id", "id").agg(F.max("votes").alias("votes")).where(F.col("votes") >= VOTES)
+
+
 def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
     """Copies of the query images (ids divisible by ``every``) among all images (image_id, pixels).
 
@@ -168,9 +186,7 @@ def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
     tx = F.col("x") - grow * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     ty = F.col("y") - grow * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
     placed = near.select("q_id", "id", "q_x", "q_y", F.pmod(turn, F.lit(2 * math.pi)).alias("turn"), F.log2(grow).alias("grow"), tx.alias("tx"), ty.alias("ty"))
-    half = F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("o")  # bins are laid twice, half a bin apart
-    bins = placed.select("*", half).select("q_id", "id", "q_x", "q_y", "o", *[F.floor(F.col(c) / step + F.col("o")).alias(f"b_{c}") for c, step in (("turn", 0.7), ("grow", 0.6), ("tx", 10.0), ("ty", 10.0))])
-    votes = bins.groupBy("q_id", "id", "o", "b_turn", "b_grow", "b_tx", "b_ty").agg(F.count_distinct("q_x", "q_y").alias("votes")).groupBy("q_id", "id").agg(F.max("votes").alias("votes")).where(F.col("votes") >= VOTES)
+    votes = consensus(placed)
     return members.unionByName(votes.select(F.lit("copy").alias("kind"), F.col("q_id").alias("image_id"), F.col("id").alias("other_id"), "votes"))
 
 
