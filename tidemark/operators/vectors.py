@@ -28,42 +28,51 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x / n)
 
 
-def changes(current: DataFrame, prior: DataFrame, pair: str, carry: float = CARRY, change: float = CHANGE) -> DataFrame:
+def changes(current: DataFrame, prior: DataFrame, pair: str, carry: float = CARRY, change: float = CHANGE, size: int = 1024) -> DataFrame:
     """pair, change_type, current_index, prior_index, similarity of all blocks added, changed or dropped, and those carried.
 
     current and prior: pair, block_index, embedding. For a current block the best prior decides: at least ``carry`` is carried, at least ``change``
     is changed (against that prior, the lowest index of equals), else it is added. A prior block whose best is below ``change`` is dropped. Several
     current blocks may match one prior. Thresholds hold for the exact value, the output is rounded to 4 places. With one side empty all is
-    added or dropped, without similarity. Each pair's blocks are compared as one matrix in a task; a filing has hundreds of them.
+    added or dropped, without similarity. Each side of a pair is cut into parts of about ``size`` blocks, and every two parts meet as one matrix
+    in a task of their own; the best of each block over all parts decides.
     """
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         sides = []
         for side in (0, 1):
             t = rows.filter(pc.equal(rows["side"], side)).sort_by("block_index")
-            v = np.array(t["embedding"].to_pylist(), float).reshape(t.num_rows, -1)
+            v = np.array(t["embedding"].to_pylist(), float).reshape(t.num_rows, -1 if t.num_rows else 0)
             n = np.linalg.norm(v, axis=1, keepdims=True) if t.num_rows else v
-            sides.append((t["block_index"].to_pylist(), v / np.where(n == 0, 1, n) if t.num_rows else v))
-        (ci, cv), (pi, pv) = sides
-        out = []
-        if not pi or not ci:
-            out = [("added", i, None, None) for i in ci] + [("dropped", None, i, None) for i in pi]
+            sides.append((t["uid"].to_pylist(), t["block_index"].to_pylist(), v / np.where(n == 0, 1, n) if t.num_rows else v))
+        (cu, ci, cv), (pu, pi, pv) = sides
+        if not cu or not pu:
+            out = [(0, u, i, None, None) for u, i in zip(cu, ci)] + [(1, u, i, None, None) for u, i in zip(pu, pi)]
         else:
             sim = cv @ pv.T
-            for i, row in zip(ci, sim):
-                j = int(row.argmax())
-                best = float(row[j])
-                kind = "carried" if best >= carry else "changed" if best >= change else "added"
-                out.append((kind, i, pi[j] if kind != "added" else None, round(best, 4)))
-            out += [("dropped", None, i, round(float(b), 4)) for i, b in zip(pi, sim.max(0)) if b < change]
-        cols = list(zip(*out)) if out else [()] * 4
-        value = key[0]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array([value.as_py()] * len(out), value.type), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["pair", "change_type", "current_index", "prior_index", "similarity"])
+            out = [(0, u, i, pi[int(row.argmax())], float(row.max())) for u, i, row in zip(cu, ci, sim)]
+            out += [(1, u, i, None, float(x)) for u, i, x in zip(pu, pi, sim.max(0))]
+        cols = list(zip(*out)) if out else [()] * 5
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array([key[0].as_py()] * len(out), key[0].type), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["pair", "side", "uid", "own", "match", "best"])
 
     pick = lambda d, side: d.select(F.col(pair).alias("pair"), F.col("block_index").cast("long").alias("block_index"), "embedding", F.lit(side).alias("side"))
     kind = dict(current.dtypes)[pair]
-    return pick(current, 0).unionByName(pick(prior, 1)).groupBy("pair").applyInArrow(compare, f"pair {kind}, change_type string, current_index long, prior_index long, similarity double")
+    rows = pick(current, 0).unionByName(pick(prior, 1)).withColumn("uid", F.monotonically_increasing_id())
+    parts = rows.groupBy(F.col("pair").alias("_pair")).agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == k) / size)).cast("int").alias(f"_n{k}") for k in (0, 1)])
+    rows = rows.join(parts, rows["pair"].eqNullSafe(parts["_pair"]))
+    own = lambda k: F.pmod(F.xxhash64("block_index", "embedding"), F.col(f"_n{k}")).cast("int")
+    every = lambda k: F.sequence(F.lit(0), F.col(f"_n{k}") - 1)
+    rows = rows.withColumn("_i", F.explode(F.when(F.col("side") == 0, F.array(own(0))).otherwise(every(0))))
+    rows = rows.withColumn("_j", F.explode(F.when(F.col("side") == 1, F.array(own(1))).otherwise(every(1))))
+    met = rows.select("pair", "_i", "_j", "block_index", "embedding", "side", "uid").groupBy("pair", "_i", "_j").applyInArrow(compare, f"pair {kind}, side int, uid long, own long, match long, best double")
+    top = F.max(F.when(F.col("best").isNotNull(), F.struct("best", (-F.col("match")).alias("m"))))
+    best = met.groupBy("pair", "side", "uid", "own").agg(top.alias("top")).select("pair", "side", "own", F.col("top.best").alias("best"), (-F.col("top.m")).alias("match"))
+    best = best.where((F.col("side") == 0) | F.col("best").isNull() | (F.col("best") < change))
+    label = F.when(F.col("side") == 1, "dropped").when(F.col("best") >= carry, "carried").when(F.col("best") >= change, "changed").otherwise("added")
+    best = best.withColumn("change_type", label)
+    current_index, prior_index = F.when(F.col("side") == 0, F.col("own")), F.when(F.col("side") == 1, F.col("own")).when(F.col("change_type") != "added", F.col("match"))
+    return best.select("pair", "change_type", current_index.alias("current_index"), prior_index.alias("prior_index"), F.round("best", 4).alias("similarity"))
 
 
 def change_counts(rows: DataFrame) -> DataFrame:
