@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", line_rules), ("simhash", near_duplicates), ("mixing", mix_sources), ("packing", pack)]
 
-#: The classifier and the fingerprints can't be expressed in SQL; tests compare with brute force.
+#: The classifier and the fingerprints can't be expressed in SQL. Tests compare near-duplicates and mixing with plain versions; the pipeline as a whole and the classifier have none.
 ORACLE_SQL = None
 
 
