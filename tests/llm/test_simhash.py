@@ -129,7 +129,7 @@ def test_wide_links_compares_large_nodes_whole(spark):
     for row in range(2500, 5000):
         for i in r.choice(free, 30, replace=False).tolist():
             fps[row, i // 8] ^= 128 >> i % 8
-    reps = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(fps)], "id long, fp binary")
+    reps = spark.createDataFrame([(i, x.tobytes(), None) for i, x in enumerate(fps)], "id long, fp binary, label long")
     got = [(e["a"], e["b"]) for e in simhash.wide_links(reps, 256, 48, 1, 8, chunk=300).collect()]
     assert sorted(got) == [(i, i + 2500) for i in range(2500)]
     assert sorted((e["a"], e["b"]) for e in simhash.wide_links(reps.where("id % 5 = 0"), 256, 48, 3, 8).collect()) == [(i, i + 2500) for i in range(0, 2500, 5)]
@@ -158,3 +158,39 @@ def test_keep_one_decides_by_exact_sets(spark):
     assert 120 < len(want & set(range(2000))) < 240
     kept = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == want
+
+
+def test_a_crowded_group_gives_few_pairs_and_loses_no_link(spark):
+    """A large group of near copies, a chain that hangs on it, and texts that are within the radius but not similar enough."""
+    r = np.random.default_rng(9)
+    sh = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    base = [f"w{x}" for x in r.integers(0, 9000, 200)]
+
+    def changed(w, n):
+        w = list(w)
+        for p in r.choice(np.arange(0, 200, 10), n, replace=False).tolist():
+            w[p] = f"z{r.integers(0, 10**9)}"
+        return w
+
+    texts = [changed(base, n) for n in [1] * 300 + [4] * 60 + [8] * 60]
+    for _ in range(5):
+        texts.append(changed(texts[-1], 2))
+    sets = [sh(w) for w in texts]
+    group = list(range(len(texts)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    want = {root(i) for i in range(len(texts))}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.keep_one(docs).collect()} == want and 1 < len(want) < 100
+    fps = spark.createDataFrame([(i, simhash.majority(simhash.shingle_hashes(" ".join(w).encode(), 5), 4), i) for i, w in enumerate(texts[:300])], "id long, fp binary, label long")
+    got = simhash.wide_links(fps, 256, 62, 28, 8, most=4).collect()
+    assert sum(x["a"] is not None for x in got) < 10_000 and any(x["t"] is not None for x in got)

@@ -165,12 +165,17 @@ def exact_links(fps: DataFrame, radius: int) -> DataFrame:
     return index.mapInArrow(search, "a long, b long")
 
 
-def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits: int, chunk: int = 2048) -> DataFrame:
-    """All pairs (a, b) of ids, a < b, of fingerprints (columns id, fp) at ``radius`` or fewer bits that agree on a table's mask, each from the first such table.
+def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits: int, chunk: int = 2048, most: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b) of ids, a < b, of fingerprints (columns id, fp, label) of different labels at ``radius`` or fewer bits that agree on a table's
+    mask, each from the first such table; the labels are any longs, or null for ids that differ from all others.
 
     Each table takes mask_bits random bits as the leading bits of the Gray rank, and
     fingerprints that share them are an upper node. A node is cut into blocks of at most ``chunk`` fingerprints, and every two of its blocks meet
     in a task of their own, so a node of any size is compared whole while a task holds two blocks.
+
+    With ``most``, two blocks that have more than ``most`` pairs for each fingerprint give each fingerprint's nearest pair alone, and their node is reported in
+    a row of its own (t and upper; null in other rows), so that a large group of copies doesn't give all its pairs. With
+    ``only`` (t, upper) no other nodes are compared.
     """
     masks = [np.random.default_rng(1000 + t).choice(bits, mask_bits, replace=False) for t in range(tables)]
     masked = np.zeros((tables, bits), np.uint8)
@@ -180,53 +185,73 @@ def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits:
 
     def entries(batches):
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, bits // 8)
+            raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, bits // 8)
             one = np.unpackbits(raw, axis=1)
             for t, mask in enumerate(masks):
                 v = np.zeros(b.num_rows, np.uint64)
                 for i in mask:
                     v = (v << np.uint64(1)) | one[:, i].astype(np.uint64)
                 upper = gray_rank(v).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(b.num_rows, t, np.int16)), pa.array(upper), b.column(0), b.column(1)], names=["t", "upper", "id", "fp"])
+                yield pa.record_batch([pa.array(np.full(b.num_rows, t, np.int64)), pa.array(upper), *b.columns], names=["t", "upper", "id", "label", "fp"])
 
-    def pairs(t, own, ids, words, n):
-        """Pairs within one block, or of the first n with the others, of another block."""
+    def pairs(t, own, ids, words, label, n):
+        """Pairs within one block, or of the first n with the others, of another block; whether only the nearest are given."""
         left, right = [], []
+        near = np.full(len(ids), radius + 1, np.uint16), np.zeros(len(ids), np.int64)
+        total = 0
         for lo in range(0, n, 256):
             hi, first = min(n, lo + 256), lo if own else n
             d = np.zeros((hi - lo, len(ids) - first), np.uint16)
             for k in range(words.shape[1]):
                 d += np.bitwise_count(words[lo:hi, k][:, None] ^ words[first:, k][None, :])
             i, j = np.nonzero(d <= radius)
-            i, j = i + lo, j + first
-            new = i < j
+            new = (i + lo < j + first) & (label[i + lo] != label[j + first])
+            i, j = i[new], j[new]
             if t:
-                differing = words[i] ^ words[j]
+                differing, new = words[i + lo] ^ words[j + first], np.ones(len(i), bool)
                 for m in masked[:t]:
                     new &= (differing & m).any(1)
-            i, j = i[new], j[new]
-            left.append(np.minimum(ids[i], ids[j]))
-            right.append(np.maximum(ids[i], ids[j]))
-        return left, right
+                i, j = i[new], j[new]
+            far, i, j = d[i, j], i + lo, j + first
+            total += len(i)
+            order = np.lexsort((far, j))
+            head = order[np.flatnonzero(np.append(True, np.diff(j[order]) != 0))] if len(order) else order
+            head = head[far[head] < near[0][j[head]]]
+            near[0][j[head]], near[1][j[head]] = far[head], i[head]
+            if most is None or total <= most * len(ids):
+                left.append(i)
+                right.append(j)
+            else:
+                left, right = [], []
+        thin = most is not None and total > most * len(ids)
+        if thin:
+            j = np.flatnonzero(near[0] <= radius)
+            left, right = [near[1][j]], [j]
+        i, j = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), thin
 
     def nodes(cols):
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        key, second, ids, fp = cols
+        key, second, ids, label, fp = cols
+        found, thinned = [np.zeros((0, 2), np.int64)], []
         if len(ids):
             words = np.frombuffer(b"".join(fp), np.uint64).reshape(len(ids), -1)
             head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
             for h, n in zip(head.tolist(), np.diff(np.append(head, len(ids))).tolist()):
                 firsts = n - int(second[h : h + n].sum())
                 if n > 1 and firsts:
-                    a, b = pairs(int(key[h, 0]), key[h, 2] == key[h, 3], ids[h : h + n], words[h : h + n], firsts)
-                    left += a
-                    right += b
-        return pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                    a, b, thin = pairs(int(key[h, 0]), key[h, 2] == key[h, 3], ids[h : h + n], words[h : h + n], label[h : h + n], firsts)
+                    found.append(np.stack([a, b], 1))
+                    thinned += [key[h, :2]] * thin
+        ab, none = np.concatenate(found), np.full(len(thinned), True)
+        rest = np.array(thinned, np.int64).reshape(-1, 2)
+        keep = np.append(np.zeros(len(ab), bool), none)
+        columns = [np.append(ab[:, k], np.zeros(len(rest), np.int64)) for k in (0, 1)] + [np.append(np.zeros(len(ab), np.int64), rest[:, k]) for k in (0, 1)]
+        return pa.record_batch([pa.array(c, pa.int64(), mask=keep if k < 2 else ~keep) for k, c in enumerate(columns)], names=["a", "b", "t", "upper"])
 
     def search(batches):
         rest = None
         for b in batches:
-            cols = [np.stack([np.array(b.column(i), np.int64) for i in range(4)], 1), *(np.array(b.column(i)) for i in (4, 5)), np.array(b.column(6).to_pylist(), object)]
+            cols = [np.stack([np.array(b.column(i), np.int64) for i in range(4)], 1), *(np.array(b.column(i)) for i in (4, 5, 6)), np.array(b.column(7).to_pylist(), object)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             new = np.flatnonzero((cols[0][1:] != cols[0][:-1]).any(1)) + 1
@@ -236,16 +261,18 @@ def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits:
         if rest is not None:
             yield nodes(rest)
 
-    index = reps.select("id", "fp").mapInArrow(entries, "t short, upper long, id long, fp binary")
+    index = reps.select("id", F.coalesce("label", "id").alias("label"), "fp").mapInArrow(entries, "t long, upper long, id long, label long, fp binary")
+    if only is not None:
+        index = index.join(only, ["t", "upper"], "left_semi")
     # the blocks of large nodes: few nodes, so their number of blocks is joined to all entries
     sizes = index.groupBy("t", "upper").count().where(F.col("count") > chunk).select("t", "upper", F.ceil(F.col("count") / chunk).cast("int").alias("blocks"))
     index = index.join(materialize(sizes), ["t", "upper"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     index = index.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block k meets itself and all others, the lower number first
     index = index.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    index = index.select("t", "upper", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("byte").alias("second"), "id", "fp")
+    index = index.select("t", "upper", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("byte").alias("second"), "id", "label", "fp")
     index = index.repartition("t", "upper", "i", "j").sortWithinPartitions("t", "upper", "i", "j", "second")
-    return index.mapInArrow(search, "a long, b long")
+    return index.mapInArrow(search, "a long, b long, t long, upper long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
@@ -306,14 +333,18 @@ def recall(share: float, bits: int, radius: int, tables: int, mask_bits: int) ->
     return out
 
 
-def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 256, radius: int = 72, sure: float = 0.999, node: int = 1024) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 256, radius: int = 62, sure: float = 0.999, node: int = 1024, most: int = 4) -> DataFrame:
     """The documents without near copies of an earlier one: of each group, that with the smallest doc_id stays, with all its columns.
 
     Near copies have sets of k-word shingles of a Jaccard similarity of ``similarity`` or more, counted exactly; fingerprints of the sets only propose
     pairs. Equal sets are one class from the start. Sets of similarity 0.8 have a cosine of 0.89, whose fingerprints of 256 bits differ in 39 bits on
     average (standard deviation 6). Masks grow with the documents, so that an upper node has about ``node`` fingerprints if bits are even, and there are as
-    many tables as propose a pair at the similarity with probability ``sure`` by that model. Texts without words are one group. Of rows with the same doc_id one stays;
-    null ids stay as they are.
+    many tables as propose a pair at the similarity with probability ``sure`` by that model.
+
+    Crowded nodes (more than ``most`` pairs for each fingerprint) propose the nearest pairs first; once those that hold have made groups, all pairs of these
+    nodes whose ends are still in different groups follow, so no link between groups is lost and a large group doesn't give all its pairs.
+
+    Texts without words are one group. Of rows with the same doc_id one stays; null ids stay as they are. No rows give no rows.
     """
 
     def run(batches):
@@ -323,14 +354,25 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 2
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     reps = texts.mapInArrow(run, "doc_id long, digest binary, fp binary")
-    reps = materialize(reps.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+    reps = materialize(reps.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")).withColumn("label", F.col("id")))
     mask_bits = max(8, (reps.count() // node).bit_length())
     differ = acos(2 * similarity / (1 + similarity)) / pi
     tables = next(t for t in count(1) if recall(differ, bits, radius, t, mask_bits) >= sure)
-    pairs = materialize(wide_links(reps, bits, radius, tables, mask_bits).where("a <> b").distinct())
-    asked = pairs.selectExpr("stack(2, a, b) as doc_id").distinct()
-    sets = materialize(shingle_sets(texts.join(asked, "doc_id", "left_semi"), k).select(F.col("doc_id").alias("id"), "shingles").distinct())
-    labels = components(confirmed(pairs, sets, similarity).distinct())
+
+    def holding(found: DataFrame) -> DataFrame:
+        pairs = materialize(found.where("a <> b").select("a", "b").distinct())
+        asked = pairs.selectExpr("stack(2, a, b) as doc_id").distinct()
+        sets = materialize(shingle_sets(texts.join(asked, "doc_id", "left_semi"), k).select(F.col("doc_id").alias("id"), "shingles").distinct())
+        return materialize(confirmed(pairs, sets, similarity))
+
+    found = materialize(wide_links(reps, bits, radius, tables, mask_bits, most=most))
+    links = holding(found)
+    crowded = found.where("t is not null").select("t", "upper").distinct()
+    if not crowded.isEmpty():
+        groups = components(links).select(F.col("node").alias("id"), F.col("label").alias("_group"))
+        grouped = materialize(reps.join(groups, "id", "left").select("id", "fp", F.coalesce("_group", "id").alias("label")))
+        links = links.unionByName(holding(wide_links(grouped, bits, radius, tables, mask_bits, only=materialize(crowded))))
+    labels = components(links.distinct())
     stay = reps.select("id").join(labels.where("node <> label").select(F.col("node").alias("id")), "id", "left_anti")
     stay = materialize(stay.withColumnRenamed("id", "doc_id").distinct())
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
