@@ -47,3 +47,38 @@ def test_more_sources_than_a_thousand_and_no_rows(spark):
     assert mixing.mix(none, {}).count() == 0 and mixing.in_mixed_order(none, {"a": 1.0}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"s1": 0.0})
+
+
+def test_ranges_of_slots_give_the_same_schedule():
+    """Every start: the state worked out from the weights is that of the schedule from the first slot on, also after sources have run out."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        for _ in range(6):
+            part = list(mixing.parts({i: float(x) for i, x in enumerate(r.choice([0.01, 0.2, 1.0, 3.7], n) * r.uniform(0.5, 1.5, n))}).values())
+            blocks = r.integers(0, 120, n).tolist()
+            whole = list(mixing.schedule(part, blocks))
+            assert len(whole) == sum(blocks) and all(release <= slot < due for _, _, release, due, slot in whole)
+            for at in {0, 1, 2, 3, 17, *r.integers(0, 1 + max((x[4] for x in whole), default=0), 12).tolist()}:
+                placed = [0] * n
+                for k, *_, slot in whole:
+                    placed[k] += slot < at
+                assert mixing.standing(part, blocks, at) == placed
+                assert list(mixing.schedule(part, blocks, at, at + 50)) == [x for x in whole if at <= x[4] < at + 50]
+
+
+def test_planned_in_ranges(spark):
+    part = mixing.parts({"a": 0.7, "b": 0.2, None: 0.1})
+    size = {"a": 300, "b": 20, None: 90}
+    one, many = ({tuple(r) for r in mixing.planned(spark, part, size, slots).collect()} for slots in (1 << 20, 37))
+    assert one == many and len(one) == 410
+
+
+def test_order_keeps_columns_of_any_name(spark):
+    """Columns named like the operator's own, null ids and sources, repeated rows; each comes once, in the order of the mix."""
+    rows = [(i if i % 5 else None, f"s{i % 3}" if i % 4 else None, i, -i, f"t{i % 7}", i) for i in range(300)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _n int, _place int, `a.b` string, place int")
+    out = mixing.in_mixed_order(docs, {"s0": 3.0, "s1": 1.0}, block=4)
+    got = out.collect()
+    assert out.columns == docs.columns and sorted(map(str, got)) == sorted(map(str, docs.collect()))
