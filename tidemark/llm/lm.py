@@ -1,7 +1,8 @@
 """Language-model scoring: a gated recurrent network in numpy with a class-factored output softmax.
 
 Word counts, classes and the shares of words outside the network's vocabulary come from all training tokens. The network is trained by
-truncated backpropagation on every partition's training documents from a common start, and the partitions' weights are averaged by tokens.
+truncated backpropagation on every shard's training documents from a common start, and the shards' weights are averaged by tokens. Shards are
+ranges of a hash of the documents' ids, as many as the training tokens ask for, so scores don't depend on how the table is laid out in files.
 A document's state is carried across windows from its first to its last token, so its score is the log-likelihood of the whole text.
 """
 
@@ -9,7 +10,8 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from itertools import repeat
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_texts, crc_mod, materialize
 
-#: Words that every task looks up itself (their counts are broadcast); others are joined. Words that the network knows one by one.
+#: Most words that every task looks up itself (their counts are broadcast); others are joined. Words that the network knows one by one.
 HEAD, KNOWN, CLASSES, HIDDEN = 1 << 17, 1024, 32, 16
 #: Most documents that the common start is trained on, before all partitions train on all of theirs.
 WARM_DOCS = 1500
 SEGMENT = 1024
+#: Documents that training runs side by side.
+LANES = 512
+#: Training tokens of a shard, about.
+SHARD_TOKENS = 2_000_000
 END = b""
 
 
@@ -48,8 +54,28 @@ def count_words(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, ``most`` or fewer, and their counts, by falling count and then by word.
+
+    Counts fall into 64 bins to a power of two; a first pass counts each bin's words, so that only words of the bins that fit come to the driver. Words of a
+    bin that doesn't fit whole are left out.
+    """
+    bin_of = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
+    sizes = sorted((r["bin"], r["n"]) for r in counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect())
+    lowest, n = None, 0
+    for b, size in reversed(sizes):
+        n += size
+        if n > most:
+            break
+        lowest = b
+    if lowest is None:
+        return [], np.zeros(0)
+    found = sorted(((r["c"], bytes(r["word"])) for r in counts.where(bin_of >= lowest).collect()), key=lambda x: (-x[0], x[1]))
+    return [w for _, w in found], np.array([c for c, _ in found], float)
+
+
 class Vocabulary:
-    """Ids of the HEAD most frequent words by count; the first KNOWN of them have classes of about equal mass."""
+    """Ids of the most frequent words by falling count; the first KNOWN of them have classes of about equal mass."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
         self.ids = {w: i for i, w in enumerate(words)}
@@ -84,10 +110,10 @@ def start_weights(v: Vocabulary) -> dict[str, np.ndarray]:
     return {k: x.astype(np.float32) for k, x in w.items()}
 
 
-def lanes(lens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def lanes(lens: np.ndarray, n_lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Lane and first step of each document; the lanes' loads are about equal and fall from the first to the last."""
-    heap = [(0, i) for i in range(width)]
-    lane, at, load = np.zeros(len(lens), np.int64), np.zeros(len(lens), np.int64), np.zeros(width, np.int64)
+    heap = [(0, i) for i in range(n_lanes)]
+    lane, at, load = np.zeros(len(lens), np.int64), np.zeros(len(lens), np.int64), np.zeros(n_lanes, np.int64)
     for d in np.argsort(-lens, kind="stable").tolist():
         n, i = heapq.heappop(heap)
         lane[d], at[d] = i, n
@@ -97,17 +123,23 @@ def lanes(lens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return place[lane], at
 
 
-def grid(ids: list[np.ndarray], v: Vocabulary, width: int) -> tuple[np.ndarray, ...]:
+def width(ids: list[np.ndarray], most: int, steps: int) -> int:
+    """Lanes for documents: ``most`` at most, so that about ``steps`` steps or more fill them, and no more than keep the grid within three times the tokens."""
+    tokens, longest = sum(map(len, ids)), max(map(len, ids))
+    return max(1, min(most, tokens // steps, len(ids), 2 * tokens // longest))
+
+
+def grid(ids: list[np.ndarray], v: Vocabulary, n_lanes: int) -> tuple[np.ndarray, ...]:
     """Steps by lanes: target ids (-1: none), input words, whether a document starts, its index."""
     lens = np.array([len(x) for x in ids])
-    lane, at = lanes(lens, width)
+    lane, at = lanes(lens, n_lanes)
     flat, doc = np.concatenate(ids), np.repeat(np.arange(len(ids)), lens)
     first = np.cumsum(lens) - lens
     step = np.arange(len(flat)) - np.repeat(first - at, lens)
     known = np.where(flat < v.known, flat, np.where(flat < v.n_words, v.known, v.known + 1))
     before = np.append(v.known + 2, known[:-1])
     before[first] = v.known + 2
-    shape = (int((at + lens).max()), width)
+    shape = (int((at + lens).max()), n_lanes)
     y, x, s, d = np.full(shape, -1, np.int32), np.full(shape, v.known + 2, np.int32), np.ones(shape, bool), np.zeros(shape, np.int32)
     cells = step, np.repeat(lane, lens)
     y[cells], x[cells], d[cells] = flat, before, doc
@@ -145,29 +177,38 @@ def _softmax(x):
 
 
 def outputs(w, v: Vocabulary, states, y, grads=None):
-    """log10 probability of each target by class and word within it; words beyond the known ones get their class alone. Adds to grads if given."""
+    """log10 probability of each target by class and word within it; words beyond the known ones get their class alone. Adds to grads if given.
+
+    Targets are worked off in the order of their classes, so that each class's are one slice."""
     cls = np.where(y < v.known, v.word_class[np.minimum(y, v.known - 1)] if v.known else 0, v.n_classes)
-    p = _softmax(states @ w["Wc"] + w["bc"])
-    rows = np.arange(len(y))
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    states, y, cls = states[order], y[order], cls[order]
+    p, rows = _softmax(states @ w["Wc"] + w["bc"]), np.arange(len(y))
     logp = np.log10(np.maximum(p[rows, cls], 1e-30)).astype(np.float64)
     if grads is not None:
         p[rows, cls] -= 1
         grads["Wc"] += states.T @ p
         grads["bc"] += p.sum(0)
         back = p @ w["Wc"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(v.n_classes + 1))
-    for c in range(v.n_classes):
-        own, lo, hi = order[bounds[c] : bounds[c + 1]], v.bounds[c], v.bounds[c + 1]
-        if len(own) and hi - lo > 1:
-            q, target, k = _softmax(states[own] @ w["Ww"][:, lo:hi] + w["bw"][lo:hi]), y[own] - lo, np.arange(len(own))
-            logp[own] += np.log10(np.maximum(q[k, target], 1e-30))
+    bounds = np.searchsorted(cls, np.arange(v.n_classes + 1)).tolist()
+    for c, (i, j) in enumerate(zip(bounds, bounds[1:])):
+        lo, hi = v.bounds[c], v.bounds[c + 1]
+        if j > i and hi - lo > 1:
+            h, words = states[i:j], w["Ww"][:, lo:hi]
+            q, target, k = _softmax(h @ words + w["bw"][lo:hi]), y[i:j] - lo, rows[: j - i]
+            logp[i:j] += np.log10(np.maximum(q[k, target], 1e-30))
             if grads is not None:
                 q[k, target] -= 1
-                grads["Ww"][:, lo:hi] += states[own].T @ q
+                grads["Ww"][:, lo:hi] += h.T @ q
                 grads["bw"][lo:hi] += q.sum(0)
-                back[own] += q @ w["Ww"][:, lo:hi].T
-    return logp, back if grads is not None else None
+                back[i:j] += q @ words.T
+    out = np.empty_like(logp)
+    out[order] = logp
+    if grads is None:
+        return out, None
+    d = np.empty_like(back)
+    d[order] = back
+    return out, d
 
 
 def backward(w, x, s, kept, d_states, grads):
@@ -191,7 +232,7 @@ def backward(w, x, s, kept, d_states, grads):
     grads["X"][at[order][head]] += np.add.reduceat(flat[order], head, axis=0)
 
 
-def train(w: dict, v: Vocabulary, groups, window: int = 16, rate: float = 0.004) -> tuple[dict, int]:
+def train(w: dict, v: Vocabulary, groups, window: int = 12, rate: float = 0.006) -> tuple[dict, int]:
     """Weights after one pass over groups of documents' ids (Adam steps, one a window), and the tokens seen.
 
     Training alone starts anew every SEGMENT tokens of a longer document, so that one long document doesn't leave most lanes idle.
@@ -200,8 +241,7 @@ def train(w: dict, v: Vocabulary, groups, window: int = 16, rate: float = 0.004)
     m, g2, step, seen = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0, 0
     for whole in groups:
         ids = [x[lo : lo + SEGMENT] for x in whole for lo in range(0, len(x), SEGMENT)]
-        tokens = sum(map(len, ids))
-        y, x, s, _ = grid(ids, v, max(1, min(256, tokens // 128, len(ids))))
+        y, x, s, _ = grid(ids, v, width(ids, LANES, 128))
         h = np.zeros((y.shape[1], HIDDEN), np.float32)
         for lo in range(0, len(y), window):
             live = int((y[lo] >= 0).sum())
@@ -225,8 +265,7 @@ def train(w: dict, v: Vocabulary, groups, window: int = 16, rate: float = 0.004)
 
 def score(w: dict, v: Vocabulary, ids: list[np.ndarray], window: int = 32) -> np.ndarray:
     """log10 likelihood of each document by the network; words beyond the known ones count with their class."""
-    tokens = sum(map(len, ids))
-    y, x, s, d = grid(ids, v, max(1, min(512, tokens // 64, len(ids))))
+    y, x, s, d = grid(ids, v, width(ids, 1024, 64))
     h, total = np.zeros((y.shape[1], HIDDEN), np.float32), np.zeros(len(ids))
     for lo in range(0, len(y), window):
         live = int((y[lo] >= 0).sum())
@@ -239,19 +278,21 @@ def score(w: dict, v: Vocabulary, ids: list[np.ndarray], window: int = 32) -> np
 
 
 def _groups(batches, column: int, v: Vocabulary, tokens: int = 1_000_000):
-    """Lists of ids of about ``tokens`` tokens each, with each document's words that must be joined."""
-    ids, tails, n = [], [], 0
+    """Lists of ids of about ``tokens`` tokens each, with each document's words that must be joined, and the rows' other columns."""
+    ids, tails, rows, n = [], [], [], 0
     for b in batches:
-        for t in byte_texts(b.column(column)):
+        others, start = [c for k, c in enumerate(b.columns) if k != column], 0
+        for at, t in enumerate(byte_texts(b.column(column)), 1):
             i, tail = v.encode(t)
             ids.append(i)
             tails.append(tail)
             n += len(i)
             if n >= tokens:
-                yield ids, tails
-                ids, tails, n = [], [], 0
+                yield ids, tails, rows + [[c.slice(start, at - start) for c in others]]
+                ids, tails, rows, n, start = [], [], [], 0, at
+        rows.append([c.slice(start) for c in others])
     if ids:
-        yield ids, tails
+        yield ids, tails, rows
 
 
 def _flat(w: dict) -> np.ndarray:
@@ -273,7 +314,7 @@ def fit(docs: DataFrame, v: Vocabulary) -> dict:
     first = start_weights(v)
 
     def trained(batches, w, share=1.0):
-        new, seen = train(w, vocabulary.value, (ids for ids, _ in _groups(batches, 0, vocabulary.value)))
+        new, seen = train(w, vocabulary.value, (g[0] for g in _groups(batches, 0, vocabulary.value)))
         flat = _flat(new).astype(np.float64) * seen
         yield pa.record_batch([pa.array(np.append(np.arange(len(flat)), -1), pa.int32()), pa.array(np.append(flat, float(seen)))], names=["slot", "sum"])
 
@@ -288,7 +329,25 @@ def fit(docs: DataFrame, v: Vocabulary) -> dict:
     some = texts.join(F.broadcast(sample), "doc_id", "left_semi").select("text").repartition(1).sortWithinPartitions("text")
     warm = mean(some.mapInArrow(lambda b: trained(b, first), "slot int, sum double"), first)
     shared = spark.sparkContext.broadcast(warm)
-    return mean(texts.select("text").mapInArrow(lambda b: trained(b, shared.value), "slot int, sum double"), warm)
+    shards = -(-v.total // SHARD_TOKENS) or 1
+    # rows without an id are told apart by their texts
+    key = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text"))
+    dealt = texts.withColumn("_shard", F.pmod(key, F.lit(shards))).repartition(shards, "_shard").sortWithinPartitions("_shard", "doc_id", F.xxhash64("text")).select("_shard", "text")
+
+    def by_shard(batches):
+        """A model for each shard; a task may hold several, or none."""
+        def parts():
+            for b in batches:
+                own, at = np.array(b.column(0)), 0
+                for cut in [*(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]:
+                    if cut > at:
+                        yield int(own[at]), b.slice(at, cut - at).select(["text"])
+                    at = cut
+
+        for _, own in groupby(parts(), key=itemgetter(0)):
+            yield from trained((b for _, b in own), shared.value)
+
+    return mean(dealt.mapInArrow(by_shard, "slot int, sum double"), warm)
 
 
 def lm_scores(docs: DataFrame, holdout: int = 5, held: int = 1) -> DataFrame:
@@ -303,17 +362,13 @@ def lm_scores(docs: DataFrame, holdout: int = 5, held: int = 1) -> DataFrame:
     counts = materialize(count_words(learn))
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    v = Vocabulary([bytes(x) for x in head["word"]], head["c"].to_numpy(float), total, distinct)
+    v = Vocabulary(*frequent(counts, HEAD), total, distinct)
     w = fit(learn, v)
     vocabulary, weights = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(w)
 
     def run(batches):
         v, w = vocabulary.value, weights.value
-        batches = list(batches)
-        cols = [pa.chunked_array([b.column(i) for b in batches]) for i in (0, 1, 2)] if batches else []
-        at = 0
-        for ids, tails in _groups(batches, 3, v):
+        for ids, tails, rows in _groups(batches, 3, v, 3_000_000):
             n = len(ids)
             flat, doc = np.concatenate(ids), np.repeat(np.arange(n), [len(x) for x in ids])
             logs = v.log_count[flat]
@@ -325,8 +380,7 @@ def lm_scores(docs: DataFrame, holdout: int = 5, held: int = 1) -> DataFrame:
             tail = [Counter(t) for t in tails]
             words = pa.array([list(t) for t in tail], pa.list_(pa.binary()))
             times = pa.array([list(t.values()) for t in tail], pa.list_(pa.int64()))
-            yield pa.record_batch([*(c.slice(at, n).combine_chunks() if c.num_chunks > 1 else c.slice(at, n).combine_chunks() for c in cols), pa.array(lens), pa.array(lens - joined), pa.array(base), pa.array(part), words, times], names=["uid", "doc_id", "held_out", "n_tokens", "own_known", "base", "part", "words", "times"])
-            at += n
+            yield pa.record_batch([*(pa.concat_arrays(c) for c in zip(*rows)), pa.array(lens), pa.array(lens - joined), pa.array(base), pa.array(part), words, times], names=["uid", "doc_id", "held_out", "n_tokens", "own_known", "base", "part", "words", "times"])
 
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, own_known long, base double, part double, words array<binary>, times array<long>"
     rows = materialize(src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(run, schema))
