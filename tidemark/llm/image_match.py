@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize
 
 #: Ratio of the pyramid's levels, and their number at most; pixels around a corner that describe it; corners of the first level at most.
-STEP, LEVELS, RADIUS, CORNERS = 0.84, 6, 13, 16
+STEP, LEVELS, RADIUS, CORNERS = 0.84, 6, 15, 20
 #: Bits of a descriptor, of a table's key (tables take bits that no other has), most differing bits of a match, matches that must agree on one placing.
 BITS, KEY_BITS, MAX_BITS, VOTES = 256, 28, 24, 6
 TABLES = BITS // KEY_BITS
@@ -220,10 +220,10 @@ def find_copies(images: DataFrame, every: int = 100) -> DataFrame:
     every_image = described(images)
     classes = materialize(every_image.groupBy("digest").agg(F.min("image_id").alias("id"), F.max(F.col("image_id") % every == 0).alias("query")))
     members = every_image.join(classes, "digest").select(F.lit("member").alias("kind"), "image_id", F.col("id").alias("other_id"), F.lit(None).cast("long").alias("votes"))
-    # only images that aren't the first of their class are looked for: where copies are few, a small table
-    later = every_image.select("image_id", "digest").join(classes, "digest").where("image_id <> id").select("image_id", "digest").distinct()
+    # both tables are written, so that their sizes are known and Spark broadcasts them below its threshold alone
+    later = materialize(every_image.select("image_id", "digest").join(classes, "digest").where("image_id <> id").select("image_id", "digest").distinct())
     reps = every_image.where("feats is not null").join(later, ["image_id", "digest"], "left_anti")
-    query = classes.where("query").select(F.col("id").alias("image_id"), "digest")
+    query = materialize(classes.where("query").select(F.col("id").alias("image_id"), "digest"))
     wanted = materialize(entries(reps.join(query, ["image_id", "digest"], "left_semi")))
     votes = consensus(matched(wanted, entries(reps, key_filter(wanted))))
     return members.unionByName(votes.select(F.lit("copy").alias("kind"), F.col("q_id").alias("image_id"), F.col("id").alias("other_id"), "votes"))
