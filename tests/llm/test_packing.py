@@ -2,28 +2,62 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tidemark.llm import packing
 from tidemark.llm.queries import tokenizer_path
 from tokenizers import Tokenizer
 
+SPECIAL = ["<|endoftext|> hi", "a<|startoftext|>b <|ENDOFTEXT|>", "<|endoftext|>", "x <| endoftext |> y"]
 
-def test_pieces_hold_every_id_once(spark, docs, odd, none):
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    rows = docs.select("doc_id", "text").unionByName(odd.where("doc_id is not null and length(text) < 20000").selectExpr("doc_id + 100000 as doc_id", "text"))
-    text = {r["doc_id"]: r["text"] or "" for r in rows.dropDuplicates(["doc_id"]).collect()}
-    seen, places = defaultdict(int), defaultdict(list)
-    for r in packing.pack(rows, tokenizer_path()).collect():
-        ids = np.array([*t.encode(text[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
-        assert len(ids) == r["doc_tokens"] and zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def ids_of(tokenizer, text):
+    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+
+
+def check(tokenizer, spark, rows):
+    """Every row's ids lie once in gapless sequences. Rows may repeat, so pieces are counted by (doc_id, start)."""
+    want, seen, places = defaultdict(int), defaultdict(int), defaultdict(list)
+    for i, t in rows:
+        ids = ids_of(tokenizer, t)
+        want[i] += len(ids)
+    by_id = {i: ids_of(tokenizer, t) for i, t in rows}
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).repartition(3), tokenizer_path()).collect():
+        if r["doc_id"] is not None:
+            ids = by_id[r["doc_id"]]
+            assert len(ids) == r["doc_tokens"] and zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
         seen[r["doc_id"]] += r["length"]
         places[r["sequence_id"]].append((r["offset"], r["length"]))
-    assert set(seen) == set(text)
-    last = max(places)
+    assert seen == want
     for seq, parts in places.items():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at == 4096 or seq == last
+        assert at == 4096 or seq == max(places)
+
+
+def test_pieces_hold_every_id_once(spark, tokenizer, docs, odd):
+    """Real texts, odd and long ones, null ids, repeated rows, spellings of special tokens as the tokenizer takes them."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rows += [(None if r["doc_id"] is None else r["doc_id"] + 100_000, r["text"]) for r in odd.collect()]
+    rows += [(200_000 + i, t) for i, t in enumerate([*SPECIAL, "ÀÉ naïve İstanbul ﬁ 12 3.4 it's", "word " * 9000, "y" * 3000])]
+    check(tokenizer, spark, rows)
+    assert ids_of(tokenizer, SPECIAL[0]).tolist() != [*packing.CachedTokenizer(tokenizer_path()).ids([b"hi"])[0].tolist(), 2]
+
+
+def test_sequences_are_the_pieces_put_together(spark, tokenizer):
+    rows = [(i, f"text {i} " * (i * 40)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["sequence_id"]: r["input_ids"] for r in packing.sequences(docs, tokenizer_path(), window=512).collect()}
+    flat = [x for k in sorted(got) for x in got[k]]
+    assert flat == [x for _, t in rows for x in ids_of(tokenizer, t).tolist()] and all(len(x) == 512 for k, x in got.items() if k < max(got))
+
+
+def test_no_rows(spark, none):
     assert packing.pack(none, tokenizer_path()).count() == 0

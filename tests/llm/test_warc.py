@@ -18,6 +18,29 @@ def test_payloads_come_back(spark):
         assert whole.decode() == rows[r["page_id"]][2]
 
 
+def test_small_packages_ranges_and_long_payloads(spark):
+    """A partition's pages over several packages, an index read in small chunks, repeated rows, a payload of a megabyte."""
+    rows = [(i, None, "x" * (1 << 20) if i == 7 else f"page {i} " * 40) for i in range(50)] + [(3, None, "page 3 " * 40)]
+    pages = warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    paths = warc.write_archives(pages.coalesce(2), package_bytes=700)
+    assert paths.count() > 4
+    index = warc.read_index(paths)
+    assert index.count() == 51 and warc.by_ranges(index, 256).rdd.getNumPartitions() > 8
+    got = warc.read_records(warc.by_ranges(index, 256)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == sorted((i, len(t)) for i, _, t in rows)
+    assert all(r["record_type"] == "response" for r in got)
+
+    class Text:
+        def __init__(self, raw):
+            self.raw = raw
+
+        def read_at(self, n, at):
+            return self.raw[at : at + n]
+
+    raw = b"head" + b"\n".join(b"line %d" % i for i in range(99))
+    assert list(warc.member_lines(Text(raw), 4, len(raw) - 4, 7)) == raw[4:].split(b"\n")
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -16,9 +16,11 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors and the driver share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """Folder that all executors and the driver share: ``spark.checkpoint.dir``, or a temporary one where it is unset and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

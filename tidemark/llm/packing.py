@@ -30,7 +30,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold the spelling of a special token are encoded whole
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a piece
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
@@ -88,9 +89,13 @@ class CachedTokenizer:
         """16-bit ids of each whole text."""
         if len(self.code) > self.max_parts:
             self.forget()
-        flat, counts = [], [0]
-        for t in texts:
-            flat += _PARTS.findall(t.lower())
+        flat, counts, whole = [], [0], []
+        for k, t in enumerate(texts):
+            low = t.lower()
+            if any(x in low for x in self.special):
+                whole.append(k)
+            else:
+                flat += _PARTS.findall(low)
             counts.append(len(flat))
         codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
         miss = np.flatnonzero(codes < 0).tolist()
@@ -103,8 +108,10 @@ class CachedTokenizer:
         ids = self.pool[np.repeat(self.starts[codes] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.append(0, ends)[counts]
         out = [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
-        for k in np.unique(np.searchsorted(counts, np.flatnonzero(lens == 0), side="right") - 1):
+        for k in np.unique(np.searchsorted(counts, np.flatnonzero(lens == 0), side="right") - 1).tolist():
             out[k] = self._by_words(texts[k])
+        for k in whole:
+            out[k] = np.array(self.encode(texts[k].decode()), np.uint16)
         return out
 
 

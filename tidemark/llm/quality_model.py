@@ -74,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, holdout: int = 4, held: int = 2, m
         order = np.random.default_rng(1).permutation(t.num_rows)
         texts, y = byte_texts(t["text"].combine_chunks()), t["quality"].to_pylist()
         w = train_shard([texts[i] for i in order], [y[i] for i in order])
-        slot = np.flatnonzero(w)
+        slot = np.union1d(np.flatnonzero(w), [BIAS])  # a shard reports its documents even if all its weights are zero
         return pa.table({"slot": pa.array(slot, pa.int32()), "sum": pa.array(w[slot] * t.num_rows), "n": pa.array(np.where(np.arange(len(slot)) == 0, t.num_rows, 0), pa.int64())})
 
     found = rows.groupBy("shard").applyInArrow(fit, "slot int, sum double, n long").groupBy("slot").agg(F.sum("sum").alias("s"), F.sum("n").alias("n")).toPandas()
@@ -114,5 +114,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, holdout
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that score threshold or more, with all their columns."""
+    """The documents that score threshold or more, with all their columns, rows and texts as they were; any column names.
+
+    Null and empty texts score by the intercept alone. No rows give no rows; without labels the score is 0.5, so that no document reaches the threshold.
+    """
     return docs.where(scorer(docs.sparkSession, train(docs, labels))(F.col("text")) >= threshold)

@@ -13,6 +13,7 @@ import struct
 import uuid
 import zipfile
 import zlib
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -110,37 +111,65 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes one package for each partition of pages (page_id, url, payload, digest, refers_to); returns their paths (column path).
+#: Bytes of records after which a package is closed and the next begun, which bounds what its index takes while it is written.
+PACKAGE_BYTES = 1 << 30
 
-    A task writes to a name of its own and reports it when the package is complete, so that a task that ran twice counts once.
+
+class _Package:
+    """One ZIP package while it is written."""
+
+    def __init__(self, path: str):
+        store, where = fs.FileSystem.from_uri(path)
+        store.create_dir(where.rpartition("/")[0], recursive=True)
+        self.path, self.stream, self.index, self.at = path, store.open_output_stream(where), io.BytesIO(), 0
+        self.zip = zipfile.ZipFile(_Counted(self.stream), "w", zipfile.ZIP_STORED, allowZip64=True)
+        self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
+
+    def add(self, raw: bytes) -> None:
+        self.data.write(raw)
+        self.index.write(json.dumps({"offset": self.at, "length": len(raw)}).encode() + b"\n")
+        self.at += len(raw)
+
+    def close(self) -> pa.RecordBatch:
+        self.data.close()
+        self.zip.writestr(zipfile.ZipInfo(INDEX), self.index.getvalue())
+        self.zip.close()
+        self.stream.close()
+        return pa.record_batch([pa.array([self.path])], names=["path"])
+
+
+def write_archives(pages: DataFrame, folder: str | None = None, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Writes packages of pages (page_id, url, payload, digest, refers_to), one or more for each partition with rows; returns their paths (column path).
+
+    A task writes to names of its own and reports each when it is complete, so that a task that ran twice counts once.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/tidemark-warc-{uuid.uuid4().hex}"
 
     def run(batches):
-        path, zf, data, index, stream = f"{folder}/{uuid.uuid4().hex}.wacz", None, None, io.BytesIO(), None
+        package = None
         for b in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in b.columns)):
-                if zf is None:
-                    store, where = fs.FileSystem.from_uri(path)
-                    store.create_dir(where.rpartition("/")[0], recursive=True)
-                    stream = store.open_output_stream(where)
-                    zf = zipfile.ZipFile(_Counted(stream), "w", zipfile.ZIP_STORED, allowZip64=True)
-                    data, at = zf.open(zipfile.ZipInfo(DATA), "w", force_zip64=True), 0
-                raw = gzip_member(record(page_id, url, payload, digest, refers_to))
-                data.write(raw)
-                index.write(json.dumps({"offset": at, "length": len(raw)}).encode() + b"\n")
-                at += len(raw)
-        if zf is not None:
-            data.close()
-            zf.writestr(zipfile.ZipInfo(INDEX), index.getvalue())
-            zf.close()
-            stream.close()
-            yield pa.record_batch([pa.array([path])], names=["path"])
+            for page in zip(*(c.to_pylist() for c in b.columns)):
+                package = package or _Package(f"{folder}/{uuid.uuid4().hex}.wacz")
+                package.add(gzip_member(record(*page)))
+                if package.at >= package_bytes:
+                    yield package.close()
+                    package = None
+        if package is not None:
+            yield package.close()
 
     return materialize(pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string"))
 
 
+def member_lines(f, start: int, size: int, chunk: int = 1 << 20):
+    """The lines of a stored member, read chunk by chunk."""
+    rest = b""
+    for at in range(0, size, chunk):
+        *lines, rest = (rest + f.read_at(min(chunk, size - at), start + at)).split(b"\n")
+        yield from lines
+    if rest:
+        yield rest
+
+
 def read_index(paths: DataFrame) -> DataFrame:
     """path, offset (in the package) and length of every record of the packages, from their directories and index members."""
 
@@ -151,15 +180,21 @@ def read_index(paths: DataFrame) -> DataFrame:
                     members = {name: (method, offset, size) for name, method, offset, size in directory(f, f.size())}
                     if any(method for method, _, _ in members.values()):
                         raise ValueError(f"{path}: members must be stored")
-                    base = member_range(f, members[DATA][1])
-                    lines = f.read_at(members[INDEX][2], member_range(f, members[INDEX][1])).splitlines()
-                for lo in range(0, len(lines), 10_000):
-                    rows = [json.loads(x) for x in lines[lo : lo + 10_000]]
-                    yield pa.record_batch([pa.array([path] * len(rows)), pa.array([base + r["offset"] for r in rows], pa.int64()), pa.array([r["length"] for r in rows], pa.int64())], names=["path", "offset", "length"])
+                    base, lines = member_range(f, members[DATA][1]), member_lines(f, member_range(f, members[INDEX][1]), members[INDEX][2])
+                    while rows := [json.loads(x) for x in islice(lines, 10_000)]:
+                        yield pa.record_batch([pa.array([path] * len(rows)), pa.array([base + r["offset"] for r in rows], pa.int64()), pa.array([r["length"] for r in rows], pa.int64())], names=["path", "offset", "length"])
 
     return paths.select("path").mapInArrow(run, "path string, offset long, length long")
 
 
+def by_ranges(index: DataFrame, task_bytes: int = 1 << 24) -> DataFrame:
+    """The index dealt out to tasks that each read about ``task_bytes`` of a package's records, in order; the number of tasks comes from the records' bytes."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    least = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // task_bytes), min(least, total // (1 << 18)))
+    return index.repartition(int(tasks), "path", F.expr(f"offset div {min(task_bytes, max(1, total // tasks))}")).sortWithinPartitions("path", "offset")
+
+
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -218,7 +253,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     paths = write_archives(with_revisits(pages))
     index = materialize(read_index(paths.repartition("path")))
-    return read_records(index.repartition("path", F.expr("offset div 16777216")).sortWithinPartitions("path", "offset"), payloads=False).drop("payload")
+    return read_records(by_ranges(index), payloads=False).drop("payload")
 
 
 ORACLE = """
