@@ -7,17 +7,17 @@ import ipaddress
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Marks of user agents.
-CRAWLERS = ("bot", "crawler", "spider", "slurp", "facebookexternalhit")
-TOOLS = ("curl", "wget", "python-requests", "python-httpx", "go-http-client", "okhttp", "java/", "libwww")
-BROWSER = "mozilla/"
+# Marks of user agents, in lower case.
+CRAWLERS = ("bot", "crawl", "spider", "slurp", "bingpreview", "facebookexternalhit", "embedly", "quora link preview", "pingdom", "uptimerobot", "statuscake", "googlebot", "bingbot", "duckduckbot", "yandex", "baiduspider", "ahrefs", "semrush")
+TOOLS = ("curl", "wget", "python-requests", "python-urllib", "go-http-client", "httpx", "okhttp", "java/", "libwww", "postman", "insomnia", "axios", "node-fetch", "scrapy", "headless", "phantomjs", "puppeteer", "playwright", "restsharp")
+BROWSERS = ("mozilla", "applewebkit", "gecko")
 
 
 def client_kind(agent: Column, datacenter: Column, crawlers=CRAWLERS, tools=TOOLS) -> Column:
-    """crawler, tool, datacenter, browser or automated: the first that fits, in this order."""
-    a = F.lower(F.coalesce(agent, F.lit("")))
+    """human, crawler or automated. An agent without text is automated; then crawlers that say so, tools, addresses of data centres and browsers come in this order."""
+    a = F.lower(F.trim(F.coalesce(agent, F.lit(""))))
     has = lambda marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(a, m))
-    return F.when(has(crawlers), "crawler").when(has(tools), "tool").when(datacenter, "datacenter").when(F.contains(a, F.lit(BROWSER)), "browser").otherwise("automated")
+    return F.when(a == "", "automated").when(has(crawlers), "crawler").when(has(tools) | F.coalesce(datacenter, F.lit(False)), "automated").when(has(BROWSERS), "human").otherwise("automated")
 
 
 def ip_number(ip: Column) -> Column:
@@ -39,16 +39,19 @@ def ranges(blocks: list[str]) -> list[tuple[int, int]]:
 
 
 def in_ranges(rows: DataFrame, number: str, table: list[tuple[int, int]], name: str) -> DataFrame:
-    """Adds whether a number lies in one of the ranges (a parameter, merged and sorted).
+    """Adds whether a number lies in one of the ranges (a parameter, merged and sorted); false for null.
 
-    Ranges are looked up by the 65536-wide bucket that they touch, an equi-join; only as many bucket rows arise as the ranges span.
+    The ranges don't overlap, so a number lies in at most one: the ranges go by the 65536-wide buckets that they touch, and within a bucket as one list, which is
+    looked up by one left join. Its rows come from the parameter, whose size Spark knows.
     """
-    spark = rows.sparkSession
-    r = spark.createDataFrame(table or [(1, 0)], "lo long, hi long")
-    r = r.withColumn("_b", F.explode(F.expr("sequence(lo div 65536, greatest(lo div 65536, hi div 65536))")))
-    tagged = rows.withColumn("_b", F.expr(f"{number} div 65536"))
-    hit = tagged.join(r, "_b").where(F.col(number).between(F.col("lo"), F.col("hi"))).select(number).distinct().withColumn(name, F.lit(True))
-    return tagged.drop("_b").join(hit, number, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    spark, buckets = rows.sparkSession, {}
+    for lo, hi in table:
+        for b in range(lo >> 16, (hi >> 16) + 1):
+            buckets.setdefault(b, []).append((lo, hi))
+    r = spark.createDataFrame(list(buckets.items()), "_b long, _r array<struct<lo: long, hi: long>>")
+    out = rows.withColumn("_n", F.expr(f"{number} div 65536")).join(r, F.col("_n") == F.col("_b"), "left")
+    hit = F.exists("_r", lambda x: F.col(number).between(x["lo"], x["hi"]))
+    return out.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_n", "_b", "_r")
 
 
 def first_hop(forwarded: Column) -> Column:
@@ -64,5 +67,26 @@ def url_path(url: Column) -> Column:
 
 
 def visitor_day(ip: Column, agent: Column, day: Column, salt: str) -> Column:
-    """Eight bytes in hex that tell visitors of one day apart."""
-    return F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.date_format(day, "yyyy-MM-dd"), ip, agent), 256), 1, 16)
+    """Eight bytes in hex that tell visitors of one day apart; empty, and so not counted, without an address."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    who = F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.date_format(day, "yyyy-MM-dd"), empty(ip), empty(agent)), 256), 1, 16)
+    return F.when(empty(ip) == "", "").otherwise(who)
+
+
+def referrer_host(referrer: Column) -> Column:
+    """The host (and port) of a referrer alone, as written; empty without one."""
+    return F.regexp_extract(F.coalesce(referrer, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)
+
+
+def client_address(forwarded: Column, remote: Column) -> Column:
+    """The first hop that a proxy names, else the peer's address without its port."""
+    peer = F.regexp_replace(F.regexp_replace(F.coalesce(remote, F.lit("")), r":\d+$", ""), r"^\[|\]$", "")
+    return F.when(F.coalesce(forwarded, F.lit("")) != "", first_hop(forwarded)).otherwise(peer)
+
+
+def is_tracked(path: Column, exact: tuple[str, ...] = ("/", "/filings", "/radar", "/insiders", "/live"), below: tuple[str, ...] = ("/companies/", "/filings/")) -> Column:
+    """Whether views of a page are counted: the pages named and those below the others named."""
+    found = path.isin(*exact)
+    for start in below:
+        found = found | path.startswith(start)
+    return F.coalesce(found, F.lit(False))

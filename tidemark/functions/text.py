@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases that flag a risk in text that is cut off.
-RED_FLAGS = ("going concern", "material weakness", "restatement", "default", "bankruptcy", "chapter 11", "delisting", "investigation", "subpoena", "impairment", "covenant", "resignation")
+# Phrases that flag a risk in text that is cut off.
+RED_FLAGS = ("going concern", "material weakness", "restatement", "restate its", "event of default", "covenant breach", "breach of covenant", "acceleration of", "bankruptcy", "chapter 11", "delisting", "delist", "subpoena", "investigation", "sec inquiry", "fraud", "class action", "impairment charge")
 
 
 def squeeze(text: Column) -> Column:
@@ -27,7 +25,7 @@ def slug(text: Column) -> Column:
 
 def grounding_form(text: Column) -> Column:
     """Text without page-break marks, with single spaces, in lower case."""
-    return F.lower(squeeze(F.regexp_replace(text, r"(?i)\d+\s+table of contents", " ")))
+    return F.lower(squeeze(F.regexp_replace(text, r"(?i)\d+\s*table of contents", " ")))
 
 
 def quote_is_grounded(quote: Column, source: Column, least: int = 12) -> Column:
@@ -36,6 +34,23 @@ def quote_is_grounded(quote: Column, source: Column, least: int = 12) -> Column:
     return F.coalesce((F.length(q) >= least) & F.contains(grounding_form(source), q), F.lit(False))
 
 
+def grounded_quotes(texts: DataFrame, key: str, quotes: DataFrame, quote_key: str, least: int = 12, gram: int = 8) -> DataFrame:
+    """(key, quote_key) of every quote of at least ``least`` characters that a text holds. Both tables have a column ``text``.
+
+    A quote is met by one of its runs of ``gram`` characters, that which the fewest texts hold, so no word borders matter. Texts give hashes of their runs
+    and keep just those that some quote begins with (a small table is broadcast by Spark itself); the texts come back once, for the pairs that are left.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (gram - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(gram)))))
+    q = quotes.select(quote_key, grounding_form(F.col("text")).alias("q")).where(F.length("q") >= least)
+    wanted = q.select(quote_key, F.explode(grams(F.col("q"))).alias("g"))
+    t = texts.select(key, grounding_form(F.col("text")).alias("t"))
+    held = t.select(key, F.explode(grams(F.col("t"))).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "g", "left").groupBy(quote_key).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    pairs = held.join(rarest, "g").select(key, quote_key).distinct()
+    return pairs.join(q, quote_key).join(t, key).where(F.contains("t", F.col("q"))).select(key, quote_key)
+
+
 def terms_in(text: Column, terms: tuple[str, ...] = RED_FLAGS) -> Column:
     """The terms that a text contains, in their order."""
     low = F.lower(text)
@@ -53,9 +68,10 @@ def padded(number: Column, width: int = 10) -> Column:
 
 
 def excerpt(text: Column, most: int = 200) -> Column:
-    """At most ``most`` characters, cut back to a space, with an ellipsis if cut. Characters, not bytes."""
-    short = F.substring(text, 1, most)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(short, r"(?s)^(.*)\s", 1), F.lit("")), short), F.lit("…")))
+    """At most ``most`` bytes of UTF-8, cut back to a space (else to a whole character), with an ellipsis if cut."""
+    sized = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.substring(text, F.lit(1), n))
+    short = F.element_at(F.filter(sized, lambda s: F.octet_length(s) <= most), -1)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(short, r"(?s)^(.*)\s", 1), F.lit("")), short), F.lit("…")))
 
 
 def first_sentence(text: Column) -> Column:
@@ -74,10 +90,6 @@ def clamped(value: Column, default: float = 0.5) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.when(~F.isnan(v), v), F.lit(default))))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def compact_usd(value: Column) -> Column:
     """$1.2M, $3.4K, $56."""
     a = F.abs(value)

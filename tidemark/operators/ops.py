@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Dollars for a million tokens (input, output). Cached tokens are part of the input.
-PRICES = {"large": (15.0, 75.0), "medium": (3.0, 15.0), "small": (0.8, 4.0)}
+PRICES = {"claude-haiku-4-5-20251001": (1.0, 5.0), "claude-sonnet-4-6": (3.0, 15.0), "claude-opus-4-7": (15.0, 75.0)}
 CACHE_WRITE, CACHE_READ = 1.25, 0.10
 
 
@@ -49,13 +49,13 @@ def day_totals(rows: DataFrame, at: str, *columns: str) -> DataFrame:
 
 
 def view_summary(views: DataFrame, asof: str) -> DataFrame:
-    """Views and visitors of a day and a week, their kinds: seven figures in one pass."""
+    """Views and visitors (people with an address) of a day and a week, their kinds: seven figures in one pass."""
     now = F.lit(asof).cast("timestamp")
     day, week = F.col("viewed_at") > now - F.expr("interval 1 day"), F.col("viewed_at") > now - F.expr("interval 7 days")
-    person = F.col("client_kind") == "browser"
-    who = F.col("visitor_day_hash")
+    person = F.col("client_kind") == "human"
+    who = F.nullif("visitor_day_hash", F.lit(""))
     return views.where(F.col("viewed_at") <= now).agg(
-        F.count("*").alias("views"), F.count_if(day).alias("views_day"), F.count_if(week).alias("views_week"), F.count_if(week & person).alias("browser_week"), F.count_if(week & ~person).alias("other_week"),
+        F.count("*").alias("views"), F.count_if(day).alias("views_day"), F.count_if(week).alias("views_week"), F.count_if(week & person).alias("human_week"), F.count_if(week & ~person).alias("other_week"),
         F.count_distinct(F.when(day & person, who)).alias("visitors_day"), F.count_distinct(F.when(week & person, who)).alias("visitors_week"),
     )
 
@@ -74,3 +74,26 @@ def bar_heights(rows: DataFrame, value: str, order: str, tallest: float = 100.0,
 
 def over_budget(spent: float, cap: float = 5.0, warn: float = 4.0) -> str:
     return "stop" if spent >= cap else "warn" if spent >= warn else "ok"
+
+
+def first_day(rows: DataFrame, at: str) -> DataFrame:
+    """The day of the earliest row; null without rows."""
+    return rows.agg(F.to_date(F.min(at)).alias("start"))
+
+
+def spend_caveat(start: Column, asof: Column, days: int) -> Column:
+    """Whether data begin within the window of ``days`` up to asof, so that its sum is of a shorter time."""
+    return F.coalesce(start > F.date_sub(asof, days), F.lit(False))
+
+
+def cursor_freshness(cursor: DataFrame, asof: str) -> DataFrame:
+    """last_filed_at of a cursor as a date, and the days that it lies behind asof."""
+    from tidemark.functions.dates import any_date
+
+    day = any_date(F.col("last_filed_at"))
+    return cursor.select(day.alias("last_filed"), F.datediff(F.lit(asof).cast("date"), day).alias("days_behind"))
+
+
+def collapsed(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """One row for each key of many: the first and last time and their number."""
+    return rows.groupBy(*keys).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"))

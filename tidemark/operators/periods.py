@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.current import first_n
 
 
-def with_prior(filings: DataFrame, keys: Sequence[str], period: str, filing: str) -> DataFrame:
-    """Adds ``prior``: the filing of the greatest strictly earlier period of the same keys (ties: the greatest id), else null."""
-    periods = filings.groupBy(*keys, period).agg(F.max(filing).alias("_last"))
-    before = periods.withColumn("prior", F.lag("_last").over(Window.partitionBy(*keys).orderBy(period))).drop("_last")
-    return filings.join(before, [*keys, period], "left")
+def with_prior(filings: DataFrame, keys: Sequence[str], period: str, filing: str, candidate: Column | None = None) -> DataFrame:
+    """Adds ``prior``: the filing of the greatest strictly earlier period of the same keys that is a ``candidate`` (ties: the greatest id), else null.
+
+    The condition holds for priors alone: filings that aren't candidates themselves have a prior too.
+    """
+    own = filings.groupBy(*keys, period).agg(F.max(F.when(F.lit(True) if candidate is None else candidate, F.col(filing))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
+    return filings.join(own.withColumn("prior", F.last("_last", ignorenulls=True).over(before)).drop("_last"), [*keys, period], "left")
 
 
 def following(anchors: DataFrame, events: DataFrame, key: str, anchor: str, since: str, at: str, n: int, *order) -> DataFrame:

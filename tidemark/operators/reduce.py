@@ -38,6 +38,20 @@ def within_budget(rows: DataFrame, group: list[str], order: str, size: Column, b
     return rows.withColumn("used", used).withColumn("dropped", (F.col("_size") - F.col("used")).cast("long")).drop("_size", "_before")
 
 
+def within_budget_in_ranges(rows: DataFrame, group: str, order: str, size: Column, budget: int, width: int) -> DataFrame:
+    """Adds before (what the group's earlier rows hold), used and dropped, as ``within_budget`` does, for groups of any size: sums within ranges of ``width`` of the
+    (whole-numbered) order, then sums of the ranges' totals, so that no task holds a group."""
+    own = rows.withColumns({"_size": size, "_range": F.floor(F.col(order) / width)})
+    totals = own.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.sum("_size").alias("_t"))
+    back = Window.unboundedPreceding, -1
+    base = totals.withColumn("_base", F.coalesce(F.sum("_t").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(*back)), F.lit(0))).drop("_t")
+    local = F.coalesce(F.sum("_size").over(Window.partitionBy(group, "_range").orderBy(order).rowsBetween(*back)), F.lit(0))
+    out = own.withColumn("_local", local).join(base, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
+    out = out.withColumn("before", (F.col("_base") + F.col("_local")).cast("long"))
+    out = out.withColumn("used", F.greatest(F.lit(0), F.least("_size", F.lit(budget) - F.col("before"))).cast("long"))
+    return out.withColumn("dropped", (F.col("_size") - F.col("used")).cast("long")).select(*rows.columns, "before", "used", "dropped")
+
+
 def joined_text(rows: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
     """Per key the rows' texts in order, joined by a blank line: rows are taken until ``most`` characters are reached (separators don't count), then the whole is cut."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -87,3 +101,27 @@ def precision_recall(rows: DataFrame, truth: Column, predicted: Column) -> DataF
     tp, fp, fn = F.count_if(truth & predicted), F.count_if(~truth & predicted), F.count_if(truth & ~predicted)
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return rows.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def compared_summary(compared_rows: DataFrame, filing: str, label: str = "other_material") -> DataFrame:
+    """Figures of ``compared`` rows (with material_a and material_b): filings, units in both arms, changes, mean difference, and by how much a label became rarer."""
+    both = F.col("present_in") == "both"
+    n, changed = F.count_if(both), F.count_if(both & F.col("changed"))
+    share = lambda x, d: F.coalesce(F.round(F.try_divide(x, n), d), F.lit(0.0))
+    a, b = F.count_if(both & (F.col("label_a") == label)), F.count_if(both & (F.col("label_b") == label))
+    return compared_rows.agg(
+        F.count_distinct(filing).alias("filings"), n.alias("comparable_units"), changed.alias("label_changed"), share(100 * changed, 2).alias("label_changed_pct"),
+        F.count_if(both & (F.col("material_a") != F.col("material_b"))).alias("material_changed"), share(F.sum(F.when(both, F.round("delta", 4))), 4).alias("mean_delta"),
+        a.alias("other_a"), b.alias("other_b"), (a - b).alias("other_reduction"),
+    )
+
+
+def truncation(filings: DataFrame, cap: int = 20_000) -> DataFrame:
+    """Per filing (accession_number, exhibits): exhibits, their characters, those within the cap of each, what is dropped, whether any is, and the red flags of what is dropped."""
+    from tidemark.functions.text import terms_in
+
+    size = lambda f: F.aggregate(F.transform("exhibits", f), F.lit(0), lambda a, x: a + x)
+    total, used = size(lambda e: F.length(e["text"])), size(lambda e: F.least(F.length(e["text"]), F.lit(cap)))
+    tail = F.array_join(F.filter(F.transform("exhibits", lambda e: F.substring(e["text"], F.lit(cap + 1), F.length(e["text"]))), lambda t: t != ""), "\n")
+    rows = filings.where(F.size("exhibits") > 0).select("accession_number", F.size("exhibits").alias("exhibit_count"), total.alias("total_chars"), used.alias("used_chars"), tail.alias("_tail"))
+    return rows.select("*", (F.col("total_chars") - F.col("used_chars")).alias("dropped_chars"), (F.col("total_chars") > F.col("used_chars")).alias("truncated"), terms_in(F.col("_tail")).alias("red_flags")).drop("_tail")

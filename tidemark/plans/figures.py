@@ -86,16 +86,16 @@ def day_token_totals(spark, d):
     return ops.day_totals(table(spark, d, "lineitem"), "l_shipdate", *four).withColumns({c: F.round(c, 2) for c in four})
 
 
-@query("""SELECT doc_id, round((greatest(0, n_chars - n_chars // 4 - n_chars // 8) * i + (n_chars // 8) * i * 1.25 + (n_chars // 4) * i * 0.10 + 10 * o) / 1e6, 9) AS usd, m IS NULL OR m NOT IN ('large', 'medium', 'small') AS unknown
-FROM (SELECT *, CASE m WHEN 'large' THEN 15.0 WHEN 'medium' THEN 3.0 WHEN 'small' THEN 0.8 ELSE 15.0 END::DOUBLE AS i, CASE m WHEN 'large' THEN 75.0 WHEN 'medium' THEN 15.0 WHEN 'small' THEN 4.0 ELSE 75.0 END::DOUBLE AS o FROM (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 0 THEN 'large' WHEN 1 THEN 'medium' WHEN 2 THEN 'small' WHEN 3 THEN 'else' END AS m FROM documents))""")
+@query("""SELECT doc_id, round((greatest(0, n_chars - n_chars // 4 - n_chars // 8) * i + (n_chars // 8) * i * 1.25 + (n_chars // 4) * i * 0.10 + 10 * o) / 1e6, 9) AS usd, doc_id % 5 > 2 AS unknown
+FROM (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 1 THEN 3.0 WHEN 2 THEN 1.0 ELSE 15.0 END::DOUBLE AS i, CASE doc_id % 5 WHEN 1 THEN 15.0 WHEN 2 THEN 5.0 ELSE 75.0 END::DOUBLE AS o FROM documents)""")
 def cost_estimate(spark, d):
     k = F.col("doc_id") % 5
-    model = F.when(k == 0, "large").when(k == 1, "medium").when(k == 2, "small").when(k == 3, "else")
+    model = F.when(k == 0, "claude-opus-4-7").when(k == 1, "claude-sonnet-4-6").when(k == 2, "claude-haiku-4-5-20251001").when(k == 3, "else")
     usd, unknown = ops.cost(model, F.col("n_chars"), F.lit(10), F.expr("n_chars div 4"), F.expr("n_chars div 8"))
     return table(spark, d, "documents").select("doc_id", F.round(usd, 9).alias("usd"), unknown.alias("unknown"))
 
 
-_KIND = "CASE WHEN contains(lower(p.url), 'bot') OR contains(lower(p.url), 'crawler') OR contains(lower(p.url), 'spider') OR contains(lower(p.url), 'slurp') OR contains(lower(p.url), 'facebookexternalhit') THEN 'crawler' WHEN regexp_matches(lower(p.url), 'curl|wget|python-requests|python-httpx|go-http-client|okhttp|java/|libwww') THEN 'tool' WHEN page_id % 7 = 0 THEN 'datacenter' WHEN contains(lower(p.url), 'mozilla/') THEN 'browser' ELSE 'automated' END"
+_KIND = "CASE WHEN regexp_matches(lower(p.url), 'bot|crawl|spider|slurp|bingpreview|facebookexternalhit|embedly|quora link preview|pingdom|uptimerobot|statuscake|yandex|ahrefs|semrush') THEN 'crawler' WHEN regexp_matches(lower(p.url), 'curl|wget|python-requests|python-urllib|go-http-client|httpx|okhttp|java/|libwww|postman|insomnia|axios|node-fetch|scrapy|headless|phantomjs|puppeteer|playwright|restsharp') OR page_id % 7 = 0 THEN 'automated' WHEN regexp_matches(lower(p.url), 'mozilla|applewebkit|gecko') THEN 'human' ELSE 'automated' END"
 _AGENT = "(SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Mozilla/5.0 ' || url WHEN 1 THEN 'GoogleBot ' || url WHEN 2 THEN 'curl/8 ' || url ELSE url END AS url FROM pages) p"
 
 
@@ -110,10 +110,10 @@ def client_kind(spark, d):
     return _agents(spark, d).select("page_id", "client_kind")
 
 
-@query(f"""SELECT count(*) AS views, count(*) FILTER (day) AS views_day, count(*) FILTER (week) AS views_week, count(*) FILTER (week AND person) AS browser_week, count(*) FILTER (week AND NOT person) AS other_week, count(DISTINCT who) FILTER (day AND person) AS visitors_day, count(DISTINCT who) FILTER (week AND person) AS visitors_week
+@query(f"""SELECT count(*) AS views, count(*) FILTER (day) AS views_day, count(*) FILTER (week) AS views_week, count(*) FILTER (week AND person) AS human_week, count(*) FILTER (week AND NOT person) AS other_week, count(DISTINCT who) FILTER (day AND person) AS visitors_day, count(DISTINCT who) FILTER (week AND person) AS visitors_week
 FROM (SELECT ts > TIMESTAMP '2024-01-30' - INTERVAL 1 DAY AS day, ts > TIMESTAMP '2024-01-30' - INTERVAL 7 DAY AS week, event_type IN ('view', 'click') AS person, CAST(user_id AS VARCHAR) AS who FROM events WHERE ts <= TIMESTAMP '2024-01-30')""")
 def page_view_stats(spark, d):
-    views = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("viewed_at"), F.when(F.col("event_type").isin("view", "click"), "browser").otherwise("tool").alias("client_kind"), F.col("user_id").cast("string").alias("visitor_day_hash"))
+    views = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("viewed_at"), F.when(F.col("event_type").isin("view", "click"), "human").otherwise("automated").alias("client_kind"), F.col("user_id").cast("string").alias("visitor_day_hash"))
     return ops.view_summary(views, "2024-01-30 00:00:00")
 
 

@@ -12,11 +12,7 @@ from tidemark.plans.registry import query, table
 @query("SELECT doc_id, before, used, size - used AS dropped FROM (SELECT doc_id, size, before, greatest(0, least(size, 2000 - before)) AS used FROM (SELECT doc_id, n_chars AS size, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents))")
 def digest_budget(spark, d):
     """What of each document fits into its source's budget of characters, in order."""
-    rows = reduce.within_budget(table(spark, d, "documents").withColumn("size", F.col("n_chars")), ["source"], "doc_id", F.col("n_chars"), 2000)
-    from pyspark.sql import Window
-
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("doc_id", F.coalesce(before, F.lit(0)).alias("before"), "used", "dropped")
+    return reduce.within_budget_in_ranges(table(spark, d, "documents"), "source", "doc_id", F.col("n_chars"), 2000, width=500).select("doc_id", "before", "used", "dropped")
 
 
 _TURNS = "(SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)"
@@ -51,14 +47,8 @@ def block_hash_carry(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON length(trim(regexp_replace(b.text, '\\s+', ' ', 'g'), ' ')) >= 12 AND contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'), ' ')), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'), ' ')))")
 def quote_grounding(spark, d):
-    """Benchmark passages that documents hold: documents are met by a passage's first four words, an equi-join, then the quote is looked up in the text."""
-    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), text.grounding_form(F.col("text")).alias("q"))
-    words = lambda c: F.split(c, " ")
-    quotes = quotes.withColumn("key", F.xxhash64(F.slice(words("q"), 2, 3)))  # its first word may start within one of the text's
-    docs = table(spark, d, "documents").select("doc_id", "text", words(text.grounding_form(F.col("text"))).alias("w"))
-    places = F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)))
-    grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice("w", i, 3))))).alias("key"))
-    return grams.join(quotes, "key").where(text.quote_is_grounded(F.col("quote"), F.col("text"))).select("doc_id", "item_id")
+    """Benchmark passages that documents hold."""
+    return text.grounded_quotes(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
