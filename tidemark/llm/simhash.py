@@ -165,7 +165,7 @@ def exact_links(fps: DataFrame, radius: int) -> DataFrame:
     return index.mapInArrow(search, "a long, b long")
 
 
-def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits: int, chunk: int = 2048, most: int | None = None, only: DataFrame | None = None) -> DataFrame:
+def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits: int, chunk: int = 2048, most: int | None = None, only: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
     """All pairs (a, b) of ids, a < b, of fingerprints (columns id, fp, label) of different labels at ``radius`` or fewer bits that agree on a table's
     mask, each from the first such table; the labels are any longs, or null for ids that differ from all others.
 
@@ -173,10 +173,12 @@ def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits:
     fingerprints that share them are an upper node. A node is cut into blocks of at most ``chunk`` fingerprints, and every two of its blocks meet
     in a task of their own, so a node of any size is compared whole while a task holds two blocks.
 
-    With ``most``, two blocks that have more than ``most`` pairs for each fingerprint give each fingerprint's nearest pair alone, and their node is reported in
-    a row of its own (t and upper; null in other rows), so that a large group of copies doesn't give all its pairs. With
-    ``only`` (t, upper) no other nodes are compared.
+    With ``most``, two blocks that have more than ``most`` pairs for each fingerprint give each fingerprint's nearest pair alone, so that a large group of copies
+    doesn't give all its pairs; the fingerprints that have any are reported in rows of their own (id as a, null as b, and the node's t and upper, which are null in other rows).
+
+    With ``only`` (t, upper, id) these are compared and no others; reps then have ``parts`` (shares_of), and a pair goes if these show that its similarity can't be ``similarity``.
     """
+    least = Fraction(str(similarity))
     masks = [np.random.default_rng(1000 + t).choice(bits, mask_bits, replace=False) for t in range(tables)]
     masked = np.zeros((tables, bits), np.uint8)
     for t, mask in enumerate(masks):
@@ -194,11 +196,11 @@ def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits:
                 upper = gray_rank(v).view(np.int64)
                 yield pa.record_batch([pa.array(np.full(b.num_rows, t, np.int64)), pa.array(upper), *b.columns], names=["t", "upper", "id", "label", "fp"])
 
-    def pairs(t, own, ids, words, label, n):
+    def pairs(t, own, ids, words, label, n, share):
         """Pairs within one block, or of the first n with the others, of another block; whether only the nearest are given."""
         left, right = [], []
         near = np.full(len(ids), radius + 1, np.uint16), np.zeros(len(ids), np.int64)
-        total = 0
+        total, any_ = 0, np.zeros(len(ids), bool)
         for lo in range(0, n, 256):
             hi, first = min(n, lo + 256), lo if own else n
             d = np.zeros((hi - lo, len(ids) - first), np.uint16)
@@ -212,8 +214,12 @@ def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits:
                 for m in masked[:t]:
                     new &= (differing & m).any(1)
                 i, j = i[new], j[new]
+            if share is not None:
+                new = within(share, i + lo, j + first)
+                i, j = i[new], j[new]
             far, i, j = d[i, j], i + lo, j + first
             total += len(i)
+            any_[i] = any_[j] = True
             order = np.lexsort((far, j))
             head = order[np.flatnonzero(np.append(True, np.diff(j[order]) != 0))] if len(order) else order
             head = head[far[head] < near[0][j[head]]]
@@ -228,30 +234,40 @@ def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits:
             j = np.flatnonzero(near[0] <= radius)
             left, right = [near[1][j]], [j]
         i, j = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
-        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), thin
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), ids[any_] if thin else ids[:0]
+
+    def within(share, i, j):
+        """Whether the sets' parts, counted by a hash of their shingles, leave room for a similarity of ``least``: sets have no more in common than their parts have."""
+        sizes, out, full = share.sum(1, dtype=np.int64), np.zeros(len(i), bool), (share == (1 << 16) - 1).all(1)
+        for lo in range(0, len(i), 1 << 16):
+            a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            both = np.minimum(share[a], share[b]).sum(1, dtype=np.int64)
+            room = both * (least.numerator + least.denominator) >= least.numerator * (sizes[a] + sizes[b])
+            out[lo : lo + (1 << 16)] = room | full[a] | full[b]
+        return out
 
     def nodes(cols):
-        key, second, ids, label, fp = cols
-        found, thinned = [np.zeros((0, 2), np.int64)], []
+        key, second, ids, label, fp = cols[:5]
+        a, b, t, upper = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(ids):
             words = np.frombuffer(b"".join(fp), np.uint64).reshape(len(ids), -1)
+            share = np.frombuffer(b"".join(cols[5]), np.uint16).reshape(len(ids), -1) if len(cols) > 5 else None
             head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
             for h, n in zip(head.tolist(), np.diff(np.append(head, len(ids))).tolist()):
-                firsts = n - int(second[h : h + n].sum())
+                firsts, own = n - int(second[h : h + n].sum()), slice(h, h + n)
                 if n > 1 and firsts:
-                    a, b, thin = pairs(int(key[h, 0]), key[h, 2] == key[h, 3], ids[h : h + n], words[h : h + n], label[h : h + n], firsts)
-                    found.append(np.stack([a, b], 1))
-                    thinned += [key[h, :2]] * thin
-        ab, none = np.concatenate(found), np.full(len(thinned), True)
-        rest = np.array(thinned, np.int64).reshape(-1, 2)
-        keep = np.append(np.zeros(len(ab), bool), none)
-        columns = [np.append(ab[:, k], np.zeros(len(rest), np.int64)) for k in (0, 1)] + [np.append(np.zeros(len(ab), np.int64), rest[:, k]) for k in (0, 1)]
-        return pa.record_batch([pa.array(c, pa.int64(), mask=keep if k < 2 else ~keep) for k, c in enumerate(columns)], names=["a", "b", "t", "upper"])
+                    x, y, crowd = pairs(int(key[h, 0]), key[h, 2] == key[h, 3], ids[own], words[own], label[own], firsts, None if share is None else share[own])
+                    a += [x, crowd]
+                    b += [y, np.full(len(crowd), -1)]
+                    t += [np.full(len(x), -1), np.full(len(crowd), key[h, 0])]
+                    upper += [np.zeros(len(x), np.int64), np.full(len(crowd), key[h, 1])]
+        a, b, t, upper = (np.concatenate(c) for c in (a, b, t, upper))
+        return pa.record_batch([pa.array(a), pa.array(b, pa.int64(), mask=t >= 0), pa.array(t, pa.int64(), mask=t < 0), pa.array(upper, pa.int64(), mask=t < 0)], names=["a", "b", "t", "upper"])
 
     def search(batches):
         rest = None
         for b in batches:
-            cols = [np.stack([np.array(b.column(i), np.int64) for i in range(4)], 1), *(np.array(b.column(i)) for i in (4, 5, 6)), np.array(b.column(7).to_pylist(), object)]
+            cols = [np.stack([np.array(b.column(i), np.int64) for i in range(4)], 1), *(np.array(b.column(i)) for i in (4, 5, 6)), *(np.array(b.column(i).to_pylist(), object) for i in range(7, b.num_columns))]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             new = np.flatnonzero((cols[0][1:] != cols[0][:-1]).any(1)) + 1
@@ -261,16 +277,17 @@ def wide_links(reps: DataFrame, bits: int, radius: int, tables: int, mask_bits:
         if rest is not None:
             yield nodes(rest)
 
-    index = reps.select("id", F.coalesce("label", "id").alias("label"), "fp").mapInArrow(entries, "t long, upper long, id long, label long, fp binary")
-    if only is not None:
-        index = index.join(only, ["t", "upper"], "left_semi")
+    if only is None:
+        more, index = [], reps.select("id", F.coalesce("label", "id").alias("label"), "fp").mapInArrow(entries, "t long, upper long, id long, label long, fp binary")
+    else:
+        more, index = ["parts"], only.join(reps.select("id", "label", "fp", "parts"), "id").select("t", "upper", "id", "label", "fp", "parts")
     # the blocks of large nodes: few nodes, so their number of blocks is joined to all entries
     sizes = index.groupBy("t", "upper").count().where(F.col("count") > chunk).select("t", "upper", F.ceil(F.col("count") / chunk).cast("int").alias("blocks"))
     index = index.join(materialize(sizes), ["t", "upper"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     index = index.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block k meets itself and all others, the lower number first
     index = index.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    index = index.select("t", "upper", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("byte").alias("second"), "id", "label", "fp")
+    index = index.select("t", "upper", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("byte").alias("second"), "id", "label", "fp", *more)
     index = index.repartition("t", "upper", "i", "j").sortWithinPartitions("t", "upper", "i", "j", "second")
     return index.mapInArrow(search, "a long, b long, t long, upper long")
 
@@ -305,6 +322,20 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
 
 
+def shares_of(sets: DataFrame, buckets: int = 128) -> DataFrame:
+    """id and ``parts``: how many of a set's shingles fall into each bucket (16 bits each). A set too large for these is left to the exact check: its buckets are all full."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for raw in b.column(1).to_pylist():
+                n = np.bincount((np.frombuffer(raw, np.uint64) >> np.uint64(33)).astype(np.int64) % buckets, minlength=buckets)
+                out.append((n if n.max(initial=0) < 1 << 16 else np.full(buckets, (1 << 16) - 1)).astype(np.uint16).tobytes())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["id", "parts"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id long, parts binary")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets (sets: id, shingles) have a Jaccard similarity of ``similarity`` or more."""
     least = Fraction(str(similarity))
@@ -342,7 +373,8 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 2
     many tables as propose a pair at the similarity with probability ``sure`` by that model.
 
     Crowded nodes (more than ``most`` pairs for each fingerprint) propose the nearest pairs first; once those that hold have made groups, all pairs of these
-    nodes whose ends are still in different groups follow, so no link between groups is lost and a large group doesn't give all its pairs.
+    nodes whose ends are still in different groups follow, but for those that can't be similar by how many shingles they have in each of 128 buckets (an
+    upper bound, so it loses none). So no link between groups is lost and a large group doesn't give all its pairs.
 
     Texts without words are one group. Of rows with the same doc_id one stays; null ids stay as they are. No rows give no rows.
     """
@@ -367,11 +399,14 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 2
 
     found = materialize(wide_links(reps, bits, radius, tables, mask_bits, most=most))
     links = holding(found)
-    crowded = found.where("t is not null").select("t", "upper").distinct()
-    if not crowded.isEmpty():
+    crowd = materialize(found.where("t is not null").select("t", "upper", F.col("a").alias("id")).distinct())
+    if not crowd.isEmpty():
         groups = components(links).select(F.col("node").alias("id"), F.col("label").alias("_group"))
-        grouped = materialize(reps.join(groups, "id", "left").select("id", "fp", F.coalesce("_group", "id").alias("label")))
-        links = links.unionByName(holding(wide_links(grouped, bits, radius, tables, mask_bits, only=materialize(crowded))))
+        members = crowd.select("id").distinct()
+        sets = shingle_sets(texts.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k).select(F.col("doc_id").alias("id"), "shingles")
+        grouped = reps.join(members, "id", "left_semi").join(groups, "id", "left").join(shares_of(sets), "id")
+        grouped = materialize(grouped.select("id", "fp", F.coalesce("_group", "id").alias("label"), "parts").distinct())
+        links = links.unionByName(holding(wide_links(grouped, bits, radius, tables, mask_bits, only=crowd, similarity=similarity)))
     labels = components(links.distinct())
     stay = reps.select("id").join(labels.where("node <> label").select(F.col("node").alias("id")), "id", "left_anti")
     stay = materialize(stay.withColumnRenamed("id", "doc_id").distinct())
