@@ -391,22 +391,20 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 2
     differ = acos(2 * similarity / (1 + similarity)) / pi
     tables = next(t for t in count(1) if recall(differ, bits, radius, t, mask_bits) >= sure)
 
-    def holding(found: DataFrame) -> DataFrame:
-        pairs = materialize(found.where("a <> b").select("a", "b").distinct())
-        asked = pairs.selectExpr("stack(2, a, b) as doc_id").distinct()
-        sets = materialize(shingle_sets(texts.join(asked, "doc_id", "left_semi"), k).select(F.col("doc_id").alias("id"), "shingles").distinct())
-        return materialize(confirmed(pairs, sets, similarity))
-
     found = materialize(wide_links(reps, bits, radius, tables, mask_bits, most=most))
-    links = holding(found)
+    pairs = found.where("t is null and a <> b").select("a", "b").distinct()
     crowd = materialize(found.where("t is not null").select("t", "upper", F.col("a").alias("id")).distinct())
+    # one pass over the texts gives the sets of all that either pass compares
+    asked = pairs.selectExpr("stack(2, a, b) as doc_id").unionByName(crowd.select(F.col("id").alias("doc_id"))).distinct()
+    sets = materialize(shingle_sets(texts.join(asked, "doc_id", "left_semi"), k).select(F.col("doc_id").alias("id"), "shingles").distinct())
+    links = materialize(confirmed(pairs, sets, similarity))
     if not crowd.isEmpty():
-        groups = components(links).select(F.col("node").alias("id"), F.col("label").alias("_group"))
         members = crowd.select("id").distinct()
-        sets = shingle_sets(texts.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k).select(F.col("doc_id").alias("id"), "shingles")
-        grouped = reps.join(members, "id", "left_semi").join(groups, "id", "left").join(shares_of(sets), "id")
+        groups = components(links).select(F.col("node").alias("id"), F.col("label").alias("_group"))
+        grouped = reps.join(members, "id", "left_semi").join(groups, "id", "left").join(shares_of(sets.join(members, "id", "left_semi")), "id")
         grouped = materialize(grouped.select("id", "fp", F.coalesce("_group", "id").alias("label"), "parts").distinct())
-        links = links.unionByName(holding(wide_links(grouped, bits, radius, tables, mask_bits, only=crowd, similarity=similarity)))
+        further = wide_links(grouped, bits, radius, tables, mask_bits, only=crowd, similarity=similarity).where("a <> b").select("a", "b").distinct()
+        links = links.unionByName(confirmed(materialize(further), sets, similarity))
     labels = components(links.distinct())
     stay = reps.select("id").join(labels.where("node <> label").select(F.col("node").alias("id")), "id", "left_anti")
     stay = materialize(stay.withColumnRenamed("id", "doc_id").distinct())
