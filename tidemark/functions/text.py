@@ -41,14 +41,14 @@ def grounded_quotes(texts: DataFrame, key: str, quotes: DataFrame, quote_key: st
     and keep just those that some quote begins with (a small table is broadcast by Spark itself); the texts come back once, for the pairs that are left.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (gram - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(gram)))))
-    q = quotes.select(quote_key, grounding_form(F.col("text")).alias("q")).where(F.length("q") >= least)
-    wanted = q.select(quote_key, F.explode(grams(F.col("q"))).alias("g"))
-    t = texts.select(key, grounding_form(F.col("text")).alias("t"))
-    held = t.select(key, F.explode(grams(F.col("t"))).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
-    often = held.groupBy("g").agg(F.count("*").alias("n"))
-    rarest = wanted.join(often, "g", "left").groupBy(quote_key).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
-    pairs = held.join(rarest, "g").select(key, quote_key).distinct()
-    return pairs.join(q, quote_key).join(t, key).where(F.contains("t", F.col("q"))).select(key, quote_key)
+    q = quotes.select(F.col(quote_key), grounding_form(F.col("text")).alias("_q")).where(F.length("_q") >= least)
+    wanted = q.select(quote_key, F.explode(grams(F.col("_q"))).alias("_g"))
+    t = texts.select(F.col(key), grounding_form(F.col("text")).alias("_t"))
+    held = t.select(key, F.explode(grams(F.col("_t"))).alias("_g")).join(wanted.select("_g").distinct(), "_g", "left_semi")
+    often = held.groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = wanted.join(often, "_g", "left").groupBy(quote_key).agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+    pairs = held.join(rarest, "_g").select(key, quote_key).distinct()
+    return pairs.join(q, quote_key).join(t, key).where(F.contains("_t", F.col("_q"))).select(key, quote_key)
 
 
 def terms_in(text: Column, terms: tuple[str, ...] = RED_FLAGS) -> Column:
