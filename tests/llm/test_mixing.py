@@ -82,3 +82,17 @@ def test_order_keeps_columns_of_any_name(spark):
     out = mixing.in_mixed_order(docs, {"s0": 3.0, "s1": 1.0}, block=4)
     got = out.collect()
     assert out.columns == docs.columns and sorted(map(str, got)) == sorted(map(str, docs.collect()))
+
+
+def test_rows_are_dealt_out_once_to_be_joined_to_their_places(spark):
+    """Without broadcasts too, the texts go through two exchanges: by id and by place. Id 0 and no id stay apart."""
+    docs = spark.createDataFrame([(0, "a", "zero"), (None, "a", "none"), (1, "b", "one")], "doc_id long, source string, text string")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixing.in_mixed_order(docs, {"a": 1.0, "b": 1.0})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["text"] for r in out.collect()) == ["none", "one", "zero"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange rangepartitioning") == 1

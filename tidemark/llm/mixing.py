@@ -167,11 +167,13 @@ def in_mixed_order(docs: DataFrame, weights: dict[str | None, float], block: int
     No rows give no rows.
     """
     doc, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
-    tie = F.when(doc.isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).otherwise(F.lit(0).cast("long"))
-    key = Window.partitionBy("_id", "_tie")
-    place = materialize(_mixed(docs.select(doc.alias("doc_id"), source.alias("source"), tie.alias("tie")), weights, block).selectExpr("doc_id as _id", "tie as _tie", "source as _s", "place"))
-    place = place.withColumn("_k", F.row_number().over(key.orderBy("_s", "place"))).selectExpr("_id as _pid", "_tie as _ptie", "_k as _pk", "place as _place")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), doc.alias("_id"), tie.alias("_tie"), source.alias("_s"))
-    own = own.withColumn("_k", F.row_number().over(key.orderBy("_s")))
-    out = own.join(place, F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_tie") == F.col("_ptie")) & (F.col("_k") == F.col("_pk"))).select("_row", "_place")
-    return out.repartitionByRange("_place").sortWithinPartitions("_place").select("_row.*")
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    tie = F.when(doc.isNull(), whole).otherwise(F.lit(0).cast("long"))
+    place = materialize(_mixed(docs.select(doc.alias("doc_id"), source.alias("source"), tie.alias("tie")), weights, block).selectExpr("doc_id as _id", "tie as _tie", "source as _s", "place as _place"))
+    # rows and places of an id are numbered and brought together in the same partition, so the rows are dealt out once for both
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), doc.alias("_id"), tie.alias("_tie"), source.alias("_s"), whole.alias("_h"))
+    both = own.unionByName(place, allowMissingColumns=True).repartition("_id", "_tie")
+    key = ["_id", "_tie"]
+    both = both.withColumn("_k", F.row_number().over(Window.partitionBy(*key, F.col("_row").isNull()).orderBy("_s", "_h", "_place")))
+    both = both.withColumn("_to", F.max("_place").over(Window.partitionBy(*key, "_k"))).where("_row is not null")
+    return both.repartitionByRange("_to").sortWithinPartitions("_to").select("_row.*")
