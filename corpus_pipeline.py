@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, quality_model, quality_rules, simhash
 from tidemark.llm.common import shared_dir
@@ -38,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens, documents in the order in which they were written."""
-    return packing.pack(docs, tokenizer_path(), order=[F.col("_metadata.file_name"), F.col("_metadata.row_index")])
+    return packing.pack(docs, tokenizer_path(), by_file=True)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", line_rules), ("simhash", near_duplicates), ("mixing", mix_sources), ("packing", pack)]

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tidemark.llm import packing
@@ -61,3 +62,25 @@ def test_sequences_are_the_pieces_put_together(spark, tokenizer):
 
 def test_no_rows(spark, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
+
+
+def test_order_of_files_and_rows(spark, tokenizer, tmp_path):
+    """Files that are read in many splits, several to a task and not in order: the stream is that of the files' paths and rows."""
+    rows = [(i, f"row {i} {i * 7919}" * (i % 40), i % 3) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file int").repartition(3, "file").sortWithinPartitions("doc_id").drop("file")
+    docs.write.option("parquet.block.size", 20_000).option("parquet.page.size", 2_000).parquet(str(tmp_path / "docs"))
+    files = sorted((tmp_path / "docs").glob("*.parquet"))
+    assert len(files) > 1
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        read = spark.read.parquet(str(tmp_path / "docs"))
+        assert read.rdd.getNumPartitions() > len(files)
+        got = packing.pack(read, tokenizer_path(), window=512, by_file=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    want = [i for f in files for i in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])) if r["start"] == 0] == want
+    ends = [512 * r["sequence_id"] + r["offset"] + r["length"] for r in got]
+    texts = {i: t for i, t, _ in rows}
+    assert max(ends) == sum(r["length"] for r in got) == sum(len(ids_of(tokenizer, texts[i])) for i in want)

@@ -115,33 +115,40 @@ class CachedTokenizer:
         return out
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, order: list | None = None) -> DataFrame:
-    """doc_id, part, local (tokens before the document in its part), n_tokens and ids (binary, 16-bit) of all documents, written once."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, by_file: bool = False) -> DataFrame:
+    """doc_id, file and first (the run of documents it belongs to), local (tokens before the document in its run), n_tokens and ids (binary, 16-bit), written once.
+
+    A run is a partition of the input or, with ``by_file``, rows that follow one another in a Parquet file, known by the file's path and its first row.
+    """
 
     def run(batches):
-        tok, part, local = CachedTokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        tok, file, first, after, local = CachedTokenizer(tokenizer), "", TaskContext.get().partitionId(), None, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 400):
                 b = batch.slice(lo, 400)
                 ids = [np.append(x, np.uint16(end_id)).tobytes() for x in tok.ids(byte_texts(b.column(1)))]
-                sizes = np.array([len(x) // 2 for x in ids], np.int64)
-                before = local + np.cumsum(sizes) - sizes
-                local += int(sizes.sum())
-                yield pa.record_batch([b.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(before), pa.array(sizes), pa.array(ids, pa.binary())], names=["doc_id", "part", "local", "n_tokens", "ids"])
-
-    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if order is not None:
-        src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(c.alias(f"_o{i}") for i, c in enumerate(order)))
-        keys = [f"_o{i}" for i in range(len(order))]
-        src = src.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
-    return materialize(src.mapInArrow(run, "doc_id long, part int, local long, n_tokens long, ids binary"))
+                runs = []
+                places = zip(b.column(2).to_pylist(), b.column(3).to_pylist()) if by_file else repeat(None)
+                for x, place in zip(ids, places):
+                    if place is not None:
+                        if place != after:
+                            (file, first), local = place, 0
+                        after = place[0], place[1] + 1
+                    runs.append((file, first, local, len(x) // 2))
+                    local += len(x) // 2
+                f, r, at, n = zip(*runs)
+                yield pa.record_batch([b.column(0), pa.array(f, pa.string()), pa.array(r, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "file", "first", "local", "n_tokens", "ids"])
+
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")] if by_file else []
+    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *place)
+    return materialize(src.mapInArrow(run, "doc_id long, file string, first long, local long, n_tokens long, ids binary"))
 
 
 def with_offsets(tokens: DataFrame) -> DataFrame:
-    """Second pass: adds ``at``, each document's place in the whole stream. One total per part is summed up, not rows of documents."""
-    totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    base = totals.selectExpr("part", "sum(n) over (order by part) - n as base")
-    return tokens.join(F.broadcast(base), "part").withColumn("at", F.col("base") + F.col("local"))
+    """Second pass: adds ``at``, each document's place in the whole stream. One total per run is summed up, not rows of documents."""
+    totals = tokens.groupBy("file", "first").agg(F.sum("n_tokens").alias("n"))
+    base = totals.selectExpr("file", "first", "sum(n) over (order by file, first) - n as base")
+    return tokens.join(F.broadcast(base), ["file", "first"]).withColumn("at", F.col("base") + F.col("local"))
 
 
 def cut(tokens: DataFrame, window: int) -> DataFrame:
@@ -164,14 +171,14 @@ def cut(tokens: DataFrame, window: int) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", "ids", "at").mapInArrow(run, PIECES + ", piece binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, order: list | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, by_file: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``window`` tokens; every sequence but the last is full.
 
-    docs: doc_id and text; other columns are ignored. ``order``: columns that set the documents' order in the stream, else
-    that of the input's parts. A null or empty text is the end token alone. Repeated rows and null ids are packed
+    docs: doc_id and text; other columns are ignored. The stream takes documents in the order of the input's parts or, with ``by_file``, for docs just
+    read from Parquet, in that of their files' paths and rows, which takes no shuffle. A null or empty text is the end token alone. Repeated rows and null ids are packed
     like others. Long texts are cut over as many sequences as they need. No rows give no rows. Ids must be below 65536.
     """
-    return cut(with_offsets(tokenized(docs, tokenizer, end_id, order)), window).drop("piece")
+    return cut(with_offsets(tokenized(docs, tokenizer, end_id, by_file)), window).drop("piece")
 
 
 def sequences(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
