@@ -2,7 +2,7 @@
 
 Vectors become whole numbers. A row x is a candidate at (x, sqrt(M - |x|^2)), M being the largest squared length, and an anchor q asks at (q, 0): then the distance d of
 the two says all about the inner product, which is (|q|^2 + M - d^2) / 2. Pivots come from a bounded sample. Each candidate lies in the cell of its nearest pivot,
-each anchor in the group of its nearest pivot. Three joins follow, each of matrices of a block of anchors and a slice of candidates:
+each anchor in the group of the pivot that is nearest once its last coordinate is zero too. Three joins follow, each of matrices of a block of anchors and a slice of candidates:
 
 1. an anchor meets the cell of its own pivot; the last of its best rows of the same label bounds what can still be among them;
 2. candidates of other cells go to those groups alone that they might serve by the bounds, and the positives are settled;
@@ -114,7 +114,7 @@ def placed(rows: DataFrame, centres: np.ndarray, most: float, is_anchor: Column)
             v = matrix(b["v"], width)
             asks = np.array(b["asks"].to_pylist(), bool)
             cell = distances(lifted(v, most), shared.value).argmin(1) if len(v) else np.zeros(0, int)
-            far = distances(np.hstack([v, np.zeros((len(v), 1))]), shared.value)
+            far = distances(v, shared.value[:, :-1])
             group = far.argmin(1) if len(v) else cell
             yield pa.RecordBatch.from_arrays(
                 [b["uid"], b["vec_id"], b["label"], lists(v), pa.array(cell, pa.int32()), pa.array(group, pa.int32(), mask=~asks), pa.array(far[np.arange(len(v)), group], mask=~asks), pa.array((v * v).sum(1), mask=~asks)],
@@ -133,7 +133,8 @@ def served(candidates: DataFrame, anchors: DataFrame, centres: np.ndarray, most:
         F.max("away").alias("widest"), F.min("away").alias("least"), F.max(away("lo", float("inf"))).alias("far"), F.min(away("hi", 0.0)).alias("near")
     ).toPandas()  # a row a pivot at most
     groups = bounds["group"].to_numpy(int)
-    table = candidates.sparkSession.sparkContext.broadcast((groups, centres[groups], *(bounds[c].to_numpy(float) for c in ("widest", "least", "far", "near"))))
+    asked_at = np.hstack([centres[groups, :-1], np.zeros((len(groups), 1))])
+    table = candidates.sparkSession.sparkContext.broadcast((groups, asked_at, *(bounds[c].to_numpy(float) for c in ("widest", "least", "far", "near"))))
 
     def serve(batches):
         ids, own, widest, least, far, near = table.value
