@@ -10,7 +10,7 @@ def test_same_as_sql(spark, name):
     assert differences(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_license_scan"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_license_scan", "op11_collocations"])
 def test_odd_rows(spark, tmp_path, odd, none, name):
     more = odd.unionByName(spark.createDataFrame([(90, "x Released under the MIT\nLicense. y", "", "", 1), (91, "Home\n" + "Good line with words, and more of them.\n" * 3, "", "", 1)], odd.schema))
     more.write.parquet(str(tmp_path / "a" / "documents.parquet"))

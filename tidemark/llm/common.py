@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -33,6 +33,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def first_of(rows: DataFrame, keys: list[str], n: int, rank: str, *order: Column) -> DataFrame:
+    """The first n rows of each key; Spark limits each key before the exchange."""
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the column's text, mod n; null ids count as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(0))

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import first_of, materialize
 
 #: Anchors in a block, candidates in a slice, most pivots and most rows of the sample they come from.
 BLOCK, SLICE, MOST_PIVOTS, SAMPLE = 1024, 512, 1024, 8192
@@ -216,11 +216,6 @@ def in_windows(width: int, n: int, low: int, high: int):
     return meet
 
 
-def first_of(rows: DataFrame, keys: list[str], n: int, rank: str, *order: Column) -> DataFrame:
-    """The first n rows of each key; Spark limits each key before the exchange."""
-    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
-
-
 def mine(embeddings: DataFrame, every: int = 50, n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: hard negatives of each anchor (a vec_id divisible by every) and each of its positives.
 
