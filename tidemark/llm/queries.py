@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import collocations, hard_negatives, image_match, license_scan, lm, mixing, packing, quality_model, quality_rules, simhash, url_filter, warc
+from tidemark.llm import collocations, hard_negatives, image_match, license_scan, lm, mixing, packing, personal_data, quality_model, quality_rules, simhash, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_collocations": op11_collocations,
+    "op12_personal_data": op12_personal_data,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL = {"op1_quality_rules": quality_rules.ORACLE, "op2_warc_zip": warc.ORACLE, "op3_license_scan": license_scan.oracle(), "op11_collocations": collocations.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
