@@ -1,6 +1,6 @@
 """Phrase collocations by compressed position bitmaps, in the way of SPAM.
 
-Texts are cut into shards of about a million words of one language where they are read. In a shard every word has a bitmap of its positions; positions of different pieces
+Texts are cut into shards of about half a million words of one language where they are read. In a shard every word has a bitmap of its positions; positions of different pieces
 don't touch. A bitmap is kept as its non-empty blocks of 32 positions. A phrase is extended by shifting its bitmap by one and taking the AND with the bitmaps of all words in the
 same blocks; the popcounts are the counts of the longer phrases. Extension is depth-first over batches of first words, and counts of a phrase are summed over shards.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_texts, materialize, mix
 
 #: Words in a shard, about; positions in a block; entries that a step of the extension unfolds at once; the largest Bloom filter, in bits.
-SHARD, BITS, AT_ONCE, MOST_BLOOM = 1 << 20, 32, 1 << 21, 1 << 28
+SHARD, BITS, AT_ONCE, MOST_BLOOM = 1 << 19, 32, 1 << 19, 1 << 28
 _BREAK = b"\xff"  # a byte that no UTF-8 text holds
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _BREAK * 10 + b" ")
 
@@ -71,7 +71,7 @@ def shards(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(cut, "lang string, words array<string>, counts array<long>, seq binary"))
 
 
-def parts_of(text: bytes, limit: int = 1 << 22) -> Iterator[bytes]:
+def parts_of(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
     """The text in parts of about limit bytes, cut at ends of pieces; a text without any stays whole."""
     start = 0
     while len(text) - start > limit:
@@ -130,8 +130,8 @@ class Bitmaps:
 
     def __init__(self, seq: np.ndarray, kept: np.ndarray) -> None:
         """kept: whether a word can be part of a phrase."""
-        at = np.flatnonzero(kept[seq])
-        word = seq[at].astype(np.int64)
+        at = np.flatnonzero(kept[seq]).astype(np.int32)
+        word = seq[at]
         block = at // BITS
         order = np.lexsort((word, block))
         word, block, bit = word[order], block[order], np.uint32(1) << (at[order] % BITS).astype(np.uint32)
@@ -146,8 +146,8 @@ class Bitmaps:
         over = carry > 0
         ids, block, bits = np.concatenate([ids, ids[over]]), np.concatenate([block, block[over] + 1]), np.concatenate([bits << np.uint32(1), carry[over]])
         n = self.start[block + 1] - self.start[block]
-        from_ = np.repeat(np.arange(len(ids)), n)
-        with_ = np.arange(len(from_)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[block], n)
+        from_ = np.repeat(np.arange(len(ids), dtype=np.int32), n)
+        with_ = np.arange(len(from_), dtype=np.int32) + np.repeat((self.start[block] - np.cumsum(n) + n).astype(np.int32), n)
         both = bits[from_] & self.bits[with_]
         hit = np.flatnonzero(both)
         from_, with_ = from_[hit], with_[hit]
@@ -165,7 +165,7 @@ class Bitmaps:
 
 def summed(ids: np.ndarray, word: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers, words and popcounts of the extensions, and for each entry which extension it belongs to."""
-    key, inverse = np.unique(ids * (1 << 31) + word, return_inverse=True)
+    key, inverse = np.unique(ids.astype(np.int64) * (1 << 31) + word, return_inverse=True)
     return key >> 31, key & ((1 << 31) - 1), np.bincount(inverse, np.bitwise_count(bits), len(key)).astype(np.int64), inverse
 
 
