@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import winnow
+
 # Phrases that flag a risk in text that is cut off.
 RED_FLAGS = ("going concern", "material weakness", "restatement", "restate its", "event of default", "covenant breach", "breach of covenant", "acceleration of", "bankruptcy", "chapter 11", "delisting", "delist", "subpoena", "investigation", "sec inquiry", "fraud", "class action", "impairment charge")
 
@@ -34,21 +36,23 @@ def quote_is_grounded(quote: Column, source: Column, least: int = 12) -> Column:
     return F.coalesce((F.length(q) >= least) & F.contains(grounding_form(source), q), F.lit(False))
 
 
-def grounded_quotes(texts: DataFrame, key: str, quotes: DataFrame, quote_key: str, least: int = 12, gram: int = 8) -> DataFrame:
-    """(key, quote_key) of every quote of at least ``least`` characters that a text holds. Both tables have a column ``text``.
+def grounded_quotes(texts: DataFrame, key: str, quotes: DataFrame, quote_key: str, least: int = 12) -> DataFrame:
+    """(key, quote_key) of every quote of at least ``least`` characters that a text holds. Both tables have a column ``text``; nulls hold nothing and are held by nothing.
 
-    A quote is met by one of its runs of ``gram`` characters, that which the fewest texts hold, so no word borders matter. Texts give hashes of their runs
-    and keep just those that some quote begins with (a small table is broadcast by Spark itself); the texts come back once, for the pairs that are left.
+    Texts and quotes meet by winnowed fingerprints (see winnow): a quote by that of its own which the fewest texts have. Texts give only fingerprints that some quote
+    has, by a filter of bounded size, and come back once, for the pairs that are left. The index runs in Arrow batches, the rest in the JVM.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (gram - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(gram)))))
     q = quotes.select(F.col(quote_key), grounding_form(F.col("text")).alias("_q")).where(F.length("_q") >= least)
-    wanted = q.select(quote_key, F.explode(grams(F.col("_q"))).alias("_g"))
+    wanted = winnow.indexed(q, quote_key, "_q", least).distinct()
     t = texts.select(F.col(key), grounding_form(F.col("text")).alias("_t"))
-    held = t.select(key, F.explode(grams(F.col("_t"))).alias("_g")).join(wanted.select("_g").distinct(), "_g", "left_semi")
-    often = held.groupBy("_g").agg(F.count("*").alias("_n"))
-    rarest = wanted.join(often, "_g", "left").groupBy(quote_key).agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
-    pairs = held.join(rarest, "_g").select(key, quote_key).distinct()
-    return pairs.join(q, quote_key).join(t, key).where(F.contains("_t", F.col("_q"))).select(key, quote_key)
+    held = winnow.indexed(t, key, "_t", least, winnow.filter_of(wanted)).distinct()
+    often = held.groupBy("g").agg(F.count("*").alias("_n"))
+    rarest = wanted.join(often, "g").groupBy(quote_key).agg(F.min_by("g", F.struct("_n", "g")).alias("g"), F.count("*").alias("_found"))
+    complete = wanted.groupBy(quote_key).agg(F.count("*").alias("_all"))  # a quote of which no text has some fingerprint is in none
+    rarest = rarest.join(complete, quote_key).where("_found = _all").select(quote_key, "g")
+    pairs = held.join(rarest, "g").select(key, quote_key)
+    found = pairs.join(q, quote_key).join(texts.select(key, "text"), key)
+    return found.where(F.contains(grounding_form(F.col("text")), F.col("_q"))).select(key, quote_key)
 
 
 def terms_in(text: Column, terms: tuple[str, ...] = RED_FLAGS) -> Column:
@@ -69,8 +73,12 @@ def padded(number: Column, width: int = 10) -> Column:
 
 def excerpt(text: Column, most: int = 200) -> Column:
     """At most ``most`` bytes of UTF-8, cut back to a space (else to a whole character), with an ellipsis if cut."""
-    sized = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.substring(text, F.lit(1), n))
-    short = F.element_at(F.filter(sized, lambda s: F.octet_length(s) <= most), -1)
+    head = F.substring(F.encode(text, "UTF-8"), 1, most + 1)
+    goes_on = lambda k: F.conv(F.hex(F.substring(head, most + 1 - k, 1)), 16, 10).cast("int").between(0x80, 0xBF)  # noqa: E731  whether a cut of k bytes less would split a character
+    whole = F.lit(most - 3)
+    for k in (2, 1, 0):
+        whole = F.when(~goes_on(k), most - k).otherwise(whole)
+    short = F.decode(F.substring(head, F.lit(1), whole), "UTF-8")
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(short, r"(?s)^(.*)\s", 1), F.lit("")), short), F.lit("…")))
 
 
