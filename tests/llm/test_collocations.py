@@ -48,6 +48,7 @@ def drawn(seed, n, vocabulary=("a", "B", "c", "dé", "Éd", "x-y", " ", "1.", "
 def small(monkeypatch):
     monkeypatch.setattr(collocations, "SHARD", 200)
     monkeypatch.setattr(collocations, "AT_ONCE", 50)
+    monkeypatch.setattr(collocations, "RANGE", 500)
 
 
 def test_many_shards(spark, small):
@@ -70,7 +71,7 @@ def test_ties_and_the_first_of_each_language(spark, small):
 def test_full_filters_change_nothing(spark, small, monkeypatch):
     """Filters that let everything through cost rows, not results."""
     rows = drawn(2, 120)
-    monkeypatch.setattr(collocations, "bloom", lambda rows, columns: np.full(8, 255, np.uint8))
+    monkeypatch.setattr(collocations, "bloom", lambda keys: np.full(8, 255, np.uint8))
     assert got(spark, rows) == plain(rows) != []
 
 

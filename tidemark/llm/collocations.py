@@ -1,11 +1,11 @@
 """Phrase collocations by compressed position bitmaps, in the way of SPAM.
 
-Texts are cut into shards of about half a million words of one language where they are read. In a shard every word has a bitmap of its positions; positions of different pieces
+Texts are cut into shards of about a quarter of a million words of one language where they are read. In a shard every word has a bitmap of its positions; positions of different pieces
 don't touch. A bitmap is kept as its non-empty blocks of 32 positions. A phrase is extended by shifting its bitmap by one and taking the AND with the bitmaps of all words in the
 same blocks; the popcounts are the counts of the longer phrases. Extension is depth-first over batches of first words, and counts of a phrase are summed over shards.
 
-Words are counted before pairs, pairs before triples: an extension needs all its parts to be frequent, which Bloom filters of bounded size tell the tasks. A wrong yes of a filter costs a
-row and changes nothing, as the sums over shards decide. In the tables between, words are named by a 64-bit hash, under a seed for which no two words of a language share one (looked up).
+Words are counted before pairs, and pairs by a 64-bit key before the phrases themselves: an extension needs all its parts to be frequent, which Bloom filters of bounded size tell
+the tasks. A wrong yes of a filter, or of two pairs with one key, costs a row and changes nothing, as the sums over shards decide. In the tables between, words are named by a 64-bit hash, under a seed for which no two words of a language share one (looked up).
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_texts, materialize, mix
 
-#: Words in a shard, about; positions in a block; entries that a step of the extension unfolds at once; the largest Bloom filter, in bits.
-SHARD, BITS, AT_ONCE, MOST_BLOOM = 1 << 19, 32, 1 << 19, 1 << 28
+#: Words in a shard, about; positions in a block; entries that a step of the extension unfolds at once; words whose pairs are summed in one group; the largest Bloom filter, in bits.
+SHARD, BITS, AT_ONCE, RANGE, MOST_BLOOM = 1 << 18, 32, 1 << 18, 1 << 18, 1 << 28
 _BREAK = b"\xff"  # a byte that no UTF-8 text holds
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _BREAK * 10 + b" ")
 
@@ -105,21 +105,21 @@ def key_of(*hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bloom(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """Bits of a filter of the rows' hashes: 16 bits a row up to MOST_BLOOM in all. Tasks give 64-bit words that are set, which are put together before the driver gets them."""
-    n = rows.count()
+def bloom(keys: DataFrame) -> np.ndarray:
+    """Bits of a filter of 64-bit keys (column key): 16 bits a key up to MOST_BLOOM in all. Tasks give 64-bit words of it, which are put together before the driver gets them."""
+    n = keys.count()
     size = min(MOST_BLOOM, max(1 << 16, 1 << (max(1, 16 * n) - 1).bit_length()))
 
     def place(batches):
         for b in batches:
-            keys = key_of(*(b[c].to_numpy() for c in columns))
-            at = np.concatenate([mix(keys + np.uint64(k)) & np.uint64(size - 1) for k in range(2)])
+            own = b["key"].to_numpy().view(np.uint64)
+            at = np.concatenate([mix(own + np.uint64(k)) & np.uint64(size - 1) for k in range(2)])
             word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
             bits = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    found = rows.select(*columns).mapInArrow(place, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # size / 64 rows at most
+    found = keys.mapInArrow(place, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # size / 64 rows at most
     out = np.zeros(size // 64, np.uint64)
     out[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return out.view(np.uint8)
@@ -169,40 +169,80 @@ def summed(ids: np.ndarray, word: np.ndarray, bits: np.ndarray) -> tuple[np.ndar
     return key >> 31, key & ((1 << 31) - 1), np.bincount(inverse, np.bitwise_count(bits), len(key)).astype(np.int64), inverse
 
 
-def phrases(table: DataFrame, words: np.ndarray, pairs: np.ndarray | None) -> DataFrame:
-    """lang, hashes of the words of a phrase and n, its count in a shard: pairs of words that the filter lets through, or with a filter of pairs triples."""
+def each_shard(batches, word_filter: Bloom):
+    """lang, hash of lang, hashes of the words (by number) and the bitmaps of each shard, with the words that the filter lets through."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang_hash, seq = batch["lang_hash"][i].as_py(), np.frombuffer(batch["seq"][i].as_buffer(), "<i4")
+            h = np.concatenate([np.zeros(1, np.int64), batch["hashes"][i].values.to_numpy()])
+            kept = word_filter.has(key_of(np.full(len(h), lang_hash), h))
+            kept[0] = False
+            yield batch["lang"][i].as_py(), lang_hash, h, Bitmaps(seq, kept)
+
+
+def word_keys(rows: DataFrame) -> DataFrame:
+    """Keys of words (lang_hash, h)."""
+    give = lambda batches: (pa.RecordBatch.from_arrays([pa.array(key_of(b["lang_hash"].to_numpy(), b["h"].to_numpy()).view(np.int64))], names=["key"]) for b in batches)
+    return rows.select("lang_hash", "h").mapInArrow(give, "key long")
+
+
+def pair_keys(table: DataFrame, words: np.ndarray, n_words: int, least: int) -> DataFrame:
+    """Keys of pairs that may come least times, from the sums of all pairs with a key.
+
+    A shard gives its counts as sorted arrays, cut at ranges of keys, a row a range; ranges are so many that each holds about RANGE words' pairs, summed in a task group of its own.
+    """
+    shared, n_ranges = table.sparkSession.sparkContext.broadcast(words), max(1, -(-n_words // RANGE))
+
+    def count(batches):
+        for _, lang_hash, h, maps in each_shard(batches, Bloom(shared.value)):
+            keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+            for entries in maps.batches():
+                first, word, _, bits = maps.extended(maps.word[entries], maps.block[entries], maps.bits[entries])
+                a, b, n, _ = summed(first, word, bits)
+                keys.append(key_of(np.full(len(a), lang_hash), h[a], h[b]))
+                counts.append(n.astype("<u4"))
+            key, n = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            part = ((key >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
+            here, begin = np.unique(part, return_index=True)
+            ends = np.append(begin, len(key))
+            blob = lambda x: pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int64)), blob(key), blob(n)], names=["part", "keys", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        join = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[c]])
+        key, inverse = np.unique(join("keys", "<u8"), return_inverse=True)
+        n = np.bincount(inverse, join("counts", "<u4"), len(key))
+        return pa.table({"key": pa.array(key[n >= least].view(np.int64))})
+
+    return table.mapInArrow(count, "part long, keys binary, counts binary").groupBy("part").applyInArrow(add, "key long")
+
+
+def phrases(table: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """lang, hashes of the words of a phrase (h3 null for a pair) and n, its count in a shard, of phrases all of whose pairs the filter lets through."""
     shared = table.sparkSession.sparkContext.broadcast((words, pairs))
-    names = ["lang", "h1", "h2", *(["h3"] if pairs is not None else []), "n"]
 
     def count(batches):
-        word_filter, pair_filter = (None if x is None else Bloom(x) for x in shared.value)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lang, seq = batch["lang"][i].as_py(), np.frombuffer(batch["seq"][i].as_py(), "<i4")
-                h = np.concatenate([np.zeros(1, np.uint64), batch["hashes"][i].values.to_numpy().view(np.uint64)])
-                kept = word_filter.has(key_of(np.full(len(h), batch["lang_hash"][i].as_py(), np.int64), h.view(np.int64)))
-                kept[0] = False
-                yield from counted(lang, batch["lang_hash"][i].as_py(), h, Bitmaps(seq, kept), pair_filter)
-
-    def counted(lang, lang_hash, h, maps, pair_filter):
-        for entries in maps.batches():
-            first, word, block, bits = maps.extended(maps.word[entries], maps.block[entries], maps.bits[entries])
-            a, b, n, which = summed(first, word, bits)
-            if pair_filter is None:
-                yield batch_of(lang, (h[a], h[b]), n)
-                continue
-            go = lambda x, y: pair_filter.has(key_of(np.full(len(x), lang_hash, np.int64), h[x].view(np.int64), h[y].view(np.int64)))
-            ok = go(a, b)
-            own = np.flatnonzero(ok[which])
-            pair, word, _, bits = maps.extended(which[own], block[own], bits[own])
-            p, c, n, _ = summed(pair, word, bits)
-            ok = go(b[p], c)
-            yield batch_of(lang, (h[a[p[ok]]], h[b[p[ok]]], h[c[ok]]), n[ok])
-
-    def batch_of(lang, hashes, n):
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *(pa.array(x.view(np.int64)) for x in hashes), pa.array(n)], names=names)
-
-    return table.mapInArrow(count, ", ".join(f"{c} {'string' if c == 'lang' else 'long'}" for c in names))
+        word_filter, pair_filter = map(Bloom, shared.value)
+        for lang, lang_hash, h, maps in each_shard(batches, word_filter):
+            go = lambda x, y: pair_filter.has(key_of(np.full(len(x), lang_hash), h[x], h[y]))  # noqa: B023, E731  used within the turn
+            for entries in maps.batches():
+                first, word, block, bits = maps.extended(maps.word[entries], maps.block[entries], maps.bits[entries])
+                a, b, n, which = summed(first, word, bits)
+                ok = go(a, b)
+                yield batch_of(lang, h[a[ok]], h[b[ok]], None, n[ok])
+                own = np.flatnonzero(ok[which])
+                pair, word, _, bits = maps.extended(which[own], block[own], bits[own])
+                p, c, n, _ = summed(pair, word, bits)
+                ok = go(b[p], c)
+                yield batch_of(lang, h[a[p[ok]]], h[b[p[ok]]], h[c[ok]], n[ok])
+
+    def batch_of(lang, h1, h2, h3, n):
+        third = pa.nulls(len(n), pa.int64()) if h3 is None else pa.array(h3)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(h1), pa.array(h2), third, pa.array(n)], names=["lang", "h1", "h2", "h3", "n"])
+
+    return table.mapInArrow(count, "lang string, h1 long, h2 long, h3 long, n long")
 
 
 def dictionary(table: DataFrame) -> tuple[DataFrame, int]:
@@ -245,10 +285,11 @@ def mine(docs: DataFrame, least: int = 10, top: int = 2000, contained: int = 50)
     words = materialize(words.where(F.col("f") >= least))
     lang_hash = F.xxhash64("lang").alias("lang_hash")
     seqs = table.select("lang", lang_hash, F.transform("words", lambda w: F.xxhash64(F.lit(seed), w)).alias("hashes"), "seq")
-    known = bloom(words.select(lang_hash, "h"), ["lang_hash", "h"])
-    frequent = lambda rows, keys: materialize(rows.groupBy("lang", *keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least))
-    pairs = frequent(phrases(seqs, known, None), ["h1", "h2"])
-    triples = frequent(phrases(seqs, known, bloom(pairs.select(lang_hash, "h1", "h2"), ["lang_hash", "h1", "h2"])), ["h1", "h2", "h3"])
+    known = bloom(word_keys(words.select(lang_hash, "h")))
+    n_words = total.agg(F.sum("n")).first()[0] or 0
+    found = phrases(seqs, known, bloom(materialize(pair_keys(seqs, known, n_words, least))))
+    found = materialize(found.groupBy("lang", "h1", "h2", "h3").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    pairs, triples = found.where("h3 is null").drop("h3"), found.where("h3 is not null")
 
     word = lambda i: words.select("lang", F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
     pair = lambda i, j: pairs.select("lang", F.col("h1").alias(f"h{i}"), F.col("h2").alias(f"h{j}"), F.col("a").alias(f"f{i}{j}"))
