@@ -1,18 +1,18 @@
 """The stages of the pipeline as jobs: what has no output at a version yet goes through a judge or an embedder, and new rows come out.
 
-Judges and embedders are given by the caller, as functions from text columns to a column (an Arrow function over a model, say): of JSON text for a judge, null where a call
-failed, and of numbers for an embedder. A row whose call failed gives no output, so it is in the gap of the next run. Jobs read and return tables; appending what they
-return and running them again gives nothing new. ``limit`` is how much one run takes on, the smallest keys first: work is put off, not lost.
+Judges and embedders are given by the caller: a ``calls.Caller``, which asks for each row once and keeps the answers in a log, or a function from a text column to a column
+(of JSON text for a judge, null where a call failed; of numbers for an embedder), which is evaluated once a row whenever the result is read. A row whose call failed
+gives no output, so it is in the gap of the next run. Jobs read and return tables; appending what they return and running them again gives nothing new. ``limit`` is how
+much one run takes on, the smallest keys first: work is put off, not lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import gap, periods, radar, records, reduce, taxonomy, vectors
+from tidemark.operators.calls import Caller, Judge, answered
 from tidemark.operators.current import first_n, latest_all, latest_one, latest_run
 
 BLOCK = ["accession_number", "section", "block_index"]
@@ -23,11 +23,12 @@ def first_rows(rows: DataFrame, limit: int | None, *order) -> DataFrame:
     return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
-def embed_gap(blocks: DataFrame, embeddings: DataFrame, model_id: str, embed: Callable[[Column], Column], asof: str, limit: int | None = None) -> DataFrame:
+def embed_gap(blocks: DataFrame, embeddings: DataFrame, model_id: str, embed: Judge, asof: str, limit: int | None = None) -> DataFrame:
     """Vectors of blocks that have none of the model."""
     todo = first_rows(gap.gap(blocks, embeddings, BLOCK, model_id=model_id), limit, *BLOCK)
-    out = todo.select(*BLOCK, F.lit(model_id).alias("model_id"), embed(F.col("block_text")).alias("embedding"))
-    return out.where("embedding is not null").select(*BLOCK, "model_id", F.size("embedding").alias("dim"), "embedding", F.lit(asof).cast("timestamp").alias("embedded_at"))
+    out = answered(todo.select(*BLOCK, F.lit(model_id).alias("model_id"), F.col("block_text").alias("text")), BLOCK, embed, "embed", model_id)
+    vector = F.from_json("raw", "array<double>") if isinstance(embed, Caller) else F.col("raw")  # a log holds texts
+    return out.withColumn("embedding", vector).select(*BLOCK, "model_id", F.size("embedding").alias("dim"), "embedding", F.lit(asof).cast("timestamp").alias("embedded_at"))
 
 
 def embedded(filings: DataFrame, blocks: DataFrame, embeddings: DataFrame, model_id: str) -> DataFrame:
@@ -64,17 +65,18 @@ def changes_to_judge(changes: DataFrame, blocks: DataFrame, verdicts: DataFrame,
     return todo.select(*changes.columns, "current_text", "prior_text")
 
 
-def judge_gap(changes: DataFrame, blocks: DataFrame, verdicts: DataFrame, judge_version: str, judge: Callable[[Column], Column], categories: tuple[str, ...], asof: str, limit: int | None = None) -> DataFrame:
+def judge_gap(changes: DataFrame, blocks: DataFrame, verdicts: DataFrame, judge_version: str, judge: Judge, categories: tuple[str, ...], asof: str, limit: int | None = None) -> DataFrame:
     """Verdicts of changes that have none of the version."""
     todo = first_rows(changes_to_judge(changes, blocks, verdicts, judge_version), limit, *CHANGE)
-    raw = todo.select(*CHANGE, judge(records.change_text(F.col("change_type"), F.col("current_text"), F.col("prior_text"))).alias("raw")).where("raw is not null")
+    texts = todo.select(*CHANGE, records.change_text(F.col("change_type"), F.col("current_text"), F.col("prior_text")).alias("text"))
+    raw = answered(texts, CHANGE, judge, "judge", judge_version)
     return raw.select(*CHANGE, F.lit(judge_version).alias("judge_version"), records.verdict(F.col("raw"), categories).alias("v"), F.lit(asof).cast("timestamp").alias("judged_at")).select(*CHANGE, "judge_version", "v.*", "judged_at")
 
 
 FILING = ["accession_number", "section", "model_id"]
 
 
-def synthesis_gap(verdicts: DataFrame, syntheses: DataFrame, judge_version: str, synthesis_version: str, write: Callable[[Column], Column], asof: str, limit: int | None = None) -> DataFrame:
+def synthesis_gap(verdicts: DataFrame, syntheses: DataFrame, judge_version: str, synthesis_version: str, write: Judge, asof: str, limit: int | None = None) -> DataFrame:
     """Syntheses of filings with material verdicts and none of the version: counts from the verdicts, words from the reducer, which reads them by falling confidence."""
     material = verdicts.where((F.col("judge_version") == judge_version) & F.col("is_material"))
     todo = gap.gap(material, syntheses, FILING, synthesis_version=synthesis_version)
@@ -82,7 +84,7 @@ def synthesis_gap(verdicts: DataFrame, syntheses: DataFrame, judge_version: str,
     own = todo.join(keys, FILING, "left_semi")
     line = records.finding(F.col("category"), F.col("direction"), F.col("explanation"))
     texts = records.lines(own.withColumn("_sure", -F.col("confidence")), FILING, line, "_sure", "change_seq")
-    rows = texts.join(radar.synthesis_counts(own, FILING), FILING).withColumn("raw", write(F.col("text"))).where("raw is not null")
+    rows = answered(texts.join(radar.synthesis_counts(own, FILING), FILING), FILING, write, "synthesis", synthesis_version)
     rows = rows.withColumn("s", records.synthesis(F.col("raw"))).drop("text", "raw")
     return _synthesis_rows(rows.select("*", "s.*").drop("s"), judge_version, synthesis_version, asof)
 
@@ -92,13 +94,14 @@ def _synthesis_rows(rows: DataFrame, judge_version: str, version: str, asof: str
     return rows.select(*FILING, F.lit(judge_version).alias("judge_version"), F.lit(version).alias("synthesis_version"), "headline_direction", "headline_intensity", *counts, "thesis", "top_effects", F.lit(asof).cast("timestamp").alias("synthesized_at"))
 
 
-def stable_gap(diffs: DataFrame, changes: DataFrame, verdicts: DataFrame, blocks: DataFrame, syntheses: DataFrame, judge_version: str, version: str, write: Callable[[Column], Column], asof: str, most_chars: int = 60_000, limit: int | None = None) -> DataFrame:
+def stable_gap(diffs: DataFrame, changes: DataFrame, verdicts: DataFrame, blocks: DataFrame, syntheses: DataFrame, judge_version: str, version: str, write: Judge, asof: str, most_chars: int = 60_000, limit: int | None = None) -> DataFrame:
     """Summaries of what stands in filings that were compared, judged whole, and have no material change: stable, intensity none, all counts zero."""
     own = verdicts.where(F.col("judge_version") == judge_version)
     quiet = radar.stable(changes, own, diffs.select(*FILING).distinct(), FILING)
     todo = first_rows(gap.gap(quiet, syntheses, FILING, synthesis_version=version).select(*FILING), limit, *FILING)
     texts = reduce.joined_text(todo.join(blocks, ["accession_number", "section"]).withColumn("_k", F.struct(*FILING)), "_k", "block_index", "block_text", most_chars)
-    rows = texts.select("_k.*", records.standing(write(F.col("text"))).alias("s"), write(F.col("text")).isNotNull().alias("ok")).where("ok").select(*FILING, "s.*")
+    said = answered(texts.select("_k.*", "text"), FILING, write, "standing", version)
+    rows = said.select(*FILING, records.standing(F.col("raw")).alias("s")).select(*FILING, "s.*")
     return _synthesis_rows(rows.withColumns({c: F.lit(0) for c in ("material_count", "worse_count", "eased_count", "neutral_count")}), judge_version, version, asof)
 
 
@@ -132,18 +135,18 @@ def current_catalog(versions: DataFrame, themes: DataFrame) -> DataFrame:
     return themes.join(last, "catalog_version", "left_semi").orderBy("theme_slug")
 
 
-def specificity_gap(verdicts: DataFrame, done: DataFrame, themes: DataFrame, judge_version: str, version: str, judge: Callable[[Column], Column], asof: str, limit: int | None = None) -> DataFrame:
+def specificity_gap(verdicts: DataFrame, done: DataFrame, themes: DataFrame, judge_version: str, version: str, judge: Judge, asof: str, limit: int | None = None) -> DataFrame:
     """Which material changes are a company's own: a filing's changes go to the judge together, numbered from 1; verdicts out of range and further ones for a number are
     dropped, themes that the catalog lacks become null. Nothing without a catalog; a change without a verdict stays in the gap."""
     slugs = themes.select("catalog_version", "theme_slug")
-    catalog = slugs.select("catalog_version").distinct()
-    material = verdicts.where((F.col("judge_version") == judge_version) & F.col("is_material")).join(F.broadcast(catalog.limit(1)))
+    catalog = slugs.agg(F.max("catalog_version").alias("catalog_version")).where("catalog_version is not null")  # one row; give the themes of current_catalog
+    material = verdicts.where((F.col("judge_version") == judge_version) & F.col("is_material")).join(F.broadcast(catalog))
     todo = material.join(done.where(F.col("specificity_version") == version).select(*CHANGE, "catalog_version"), [*CHANGE, "catalog_version"], "left_anti")
     keys = first_rows(todo.select(*FILING).distinct(), limit, *FILING)
     own = todo.join(keys, FILING, "left_semi")
     own = own.withColumn("position", F.row_number().over(Window.partitionBy(*FILING).orderBy("change_seq")))
     texts = records.lines(own, FILING, records.numbered(F.col("position"), F.col("category"), F.col("explanation")), "position")
-    said = texts.withColumn("raw", judge(F.col("text"))).where("raw is not null").select(*FILING, F.posexplode(records.specificity(F.col("raw"))).alias("pos", "v")).select(*FILING, "pos", "v.*")
+    said = answered(texts.join(F.broadcast(catalog)), [*FILING, "catalog_version"], judge, "specificity", version).select(*FILING, F.posexplode(records.specificity(F.col("raw"))).alias("pos", "v")).select(*FILING, "pos", "v.*")
     first = said.groupBy(*FILING, F.col("change_index").alias("position")).agg(F.min_by(F.struct("is_specific", "matched_theme", "confidence", "explanation"), "pos").alias("v"))
     rows = own.select(*CHANGE, "position", "judge_version", "catalog_version").join(first, [*FILING, "position"]).select(*CHANGE, "judge_version", "catalog_version", "v.*")
     known = slugs.select("catalog_version", F.col("theme_slug").alias("matched_theme"), F.lit(True).alias("_known"))
@@ -151,7 +154,7 @@ def specificity_gap(verdicts: DataFrame, done: DataFrame, themes: DataFrame, jud
     return rows.select(*CHANGE, "judge_version", "catalog_version", F.lit(version).alias("specificity_version"), "is_specific", "matched_theme", "confidence", "explanation", F.lit(asof).cast("timestamp").alias("classified_at"))
 
 
-def realization_gap(risks: DataFrame, events: DataFrame, done: DataFrame, judge_version: str, version: str, judge: Callable[[Column], Column], asof: str, most_events: int = 20, limit: int | None = None) -> DataFrame:
+def realization_gap(risks: DataFrame, events: DataFrame, done: DataFrame, judge_version: str, version: str, judge: Judge, asof: str, most_events: int = 20, limit: int | None = None) -> DataFrame:
     """Whether flagged risks (change key, cik, filed_at, risk_text, explanation) came true in later material events (cik, accession_number, filing_date, event_type, item, summary, source_text).
 
     A risk is judged if it has a later event and no verdict of the version, or one that says no and an event after what it had checked. The judge reads the risk and its
@@ -168,7 +171,7 @@ def realization_gap(risks: DataFrame, events: DataFrame, done: DataFrame, judge_
     block = lambda x: records.event_block(x["position"], x["filing_date"], x["event_type"], x["item"], x["summary"], x["source_text"])
     risk = F.coalesce(F.nullif(F.trim(F.coalesce("risk_text", F.lit(""))), F.lit("")), F.lit("(text unavailable)"))
     text = F.concat(F.lit("Risk factor: "), risk, F.lit("\nWhat changed this year: "), F.coalesce("explanation", F.lit("")), F.lit("\n\n"), F.array_join(F.transform("events", block), "\n"))
-    said = rows.withColumn("text", text).withColumn("raw", judge(F.col("text"))).where("raw is not null").withColumn("v", records.realization(F.col("raw")))
+    said = answered(rows.withColumn("text", text), CHANGE, judge, "realization", version).withColumn("v", records.realization(F.col("raw")))
     real = F.col("v.is_realized") & records.is_grounded(F.col("v"), F.col("events"))
     hit = F.when(real, F.get("events", F.col("v.event_index") - 1))
     return said.select(
@@ -177,18 +180,26 @@ def realization_gap(risks: DataFrame, events: DataFrame, done: DataFrame, judge_
     )
 
 
-def classify_gap(filings: DataFrame, classifications: DataFrame, version: str, judge: Callable[[Column], Column], leaves: tuple[str, ...], asof: str, limit: int | None = None) -> DataFrame:
-    """Classifications of the sections of filings (accession_number, form, company_name, cik, ticker, filing_date, body_text, sections, exhibits) that have none of the version."""
+def classify_gap(filings: DataFrame, classifications: DataFrame, version: str, judge: Judge, leaves: tuple[str, ...], asof: str, limit: int | None = None) -> DataFrame:
+    """Classifications of the sections of filings (accession_number, form, company_name, cik, ticker, filing_date, body_text, sections, exhibits) that have none of the version.
+
+    A filing's rows come together: one of whose sections a call failed, or gave no event type, gives none yet and is in the gap of the next run. With a Caller the sections that
+    were answered aren't asked again then.
+    """
     todo = first_rows(gap.gap(filings, classifications, ["accession_number"], classifier_version=version), limit, "accession_number")
     sections = reduce.sections_of(todo, {"8-K": 12_000, "6-K": 20_000})
     rows = sections.join(todo.select("accession_number", "company_name", "cik", "ticker", "filing_date"), "accession_number")
     item = F.when(F.col("unit") != "__whole_filing__", F.col("unit"))
     text = records.section_message(F.col("form"), F.col("company_name"), F.col("cik"), F.col("ticker"), F.col("filing_date"), item, F.lit(None).cast("string"), F.col("text"), F.lit(""))
-    said = rows.select("accession_number", "form", item.alias("item_number"), text.alias("text")).withColumn("c", records.classification(judge(F.col("text")), leaves)).where("c.event_type is not null")
+    asked = rows.select("accession_number", "form", "unit", item.alias("item_number"), text.alias("text"))
+    asked = asked.withColumn("_sections", F.count("*").over(Window.partitionBy("accession_number")))
+    said = answered(asked, ["accession_number", "unit"], judge, "classify", version).withColumn("c", records.classification(F.col("raw"), leaves))
+    whole = F.count_if(F.col("c.event_type").isNotNull()).over(Window.partitionBy("accession_number"))  # a filing's sections are few
+    said = said.withColumn("_good", whole).where("_good = _sections")
     return said.select("accession_number", "form", "item_number", "c.*", taxonomy.domain_of(F.col("c.event_type")).alias("event_domain"), F.lit(version).alias("classifier_version"), F.lit(asof).cast("timestamp").alias("classified_at"))
 
 
-def reduce_filings(classified: DataFrame, judge: Callable[[Column], Column], run_id: int) -> DataFrame:
+def reduce_filings(classified: DataFrame, judge: Judge, run_id: int) -> DataFrame:
     """Events of filings from their sections' classifications (accession_number, form, item_number, event_type, is_material, confidence, reasoning).
 
     Sections of periodic reports don't count. No item: the whole filing's classification is the event; one: it passes through; more: the judge merges them, and its events are
@@ -204,7 +215,7 @@ def reduce_filings(classified: DataFrame, judge: Callable[[Column], Column], run
     many = counted.where((F.col("_n") > 1) & F.col("item_number").isNotNull())
     line = records.reduce_line(F.col("form"), F.col("item_number"), F.lit(None).cast("string"), F.col("event_type"), F.col("is_material"), F.col("confidence"), F.col("reasoning"))
     texts = records.lines(many, ["accession_number"], line, "item_number").join(many.groupBy("accession_number").agg(F.collect_set("item_number").alias("known")), "accession_number")
-    said = texts.withColumn("raw", judge(F.col("text"))).where("raw is not null").select("accession_number", "known", F.posexplode(records.reduced_events(F.col("raw"))).alias("pos", "e"))
+    said = answered(texts, ["accession_number"], judge, "reduce", str(run_id)).select("accession_number", "known", F.posexplode(records.reduced_events(F.col("raw"))).alias("pos", "e"))
     anchor, kept = reduce.grounded(F.col("e.anchor_item_number"), F.col("e.contributing_item_numbers"), F.col("known"))
     real = said.select("accession_number", "pos", "e.event_type", "e.is_material", "e.confidence", "e.summary", anchor.alias("anchor_item_number"), kept.alias("items")).where("anchor_item_number is not null")
     merged = reduce.maximal(real, "accession_number", "pos", "items").drop("pos")

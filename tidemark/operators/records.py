@@ -151,11 +151,11 @@ def numbered(position: Column, category: Column, explanation: Column) -> Column:
     return F.format_string("%d. [%s] %s", position, category, explanation)
 
 
-def event_block(position: Column, day: Column, event_type: Column, item: Column, summary: Column, source: Column) -> Column:
-    """A later event as the realization judge reads it: numbered from 1, with its item and its text if it has them."""
+def event_block(position: Column, day: Column, event_type: Column, item: Column, summary: Column, source: Column, head: str = "Text:") -> Column:
+    """A later event as the realization judge reads it: numbered from 1, with its item and, after head, its text if it has them."""
     own = F.trim(F.coalesce(source, F.lit("")))
     of_item = F.when(F.coalesce(item, F.lit("")) != "", F.concat(F.lit(" (item "), item, F.lit(")"))).otherwise("")
-    text = F.when(own != "", F.concat(F.lit("\n   DISCLOSURE TEXT (quote only from here):\n   "), own)).otherwise("")
+    text = F.when(own != "", F.concat(F.lit(f"\n  {head} "), own)).otherwise("")
     return F.concat(position.cast("string"), F.lit(". ["), day.cast("string"), F.lit("] "), event_type, of_item, F.lit(": "), summary, text)
 
 
@@ -168,14 +168,18 @@ def source_text(sections: Column, item: Column, body: Column, most: int = 4000)
     return F.substring(F.array_join(chosen, "\n\n"), 1, most)
 
 
-def section_message(form: Column, company: Column, cik: Column, ticker: Column, day: Column, unit: Column, title: Column, text: Column, exhibits: Column) -> Column:
-    """What the classifier reads of one section: the filing, the section's name (an exhibit's for a 6-K, an item's else; none for a whole filing), its text cut to the form's cap, and the exhibits as context."""
+def section_message(form: Column, company: Column, cik: Column, ticker: Column, day: Column, unit: Column, title: Column, text: Column, exhibits: Column, heads: tuple[str, str, str] = ("Part: ", "Whole report:", "Whole filing:")) -> Column:
+    """What the classifier reads of one section: the filing, the section's name (an exhibit's for a 6-K, an item's else; none for a whole filing), its text cut to the form's cap, and the exhibits as context.
+
+    heads are the words before a section's name, before a 6-K's body and before another filing's.
+    """
     six = form == "6-K"
-    head = F.format_string("Company: %s (CIK %s, ticker %s)\nFiling date: %s\nForm: %s\n", company, cik, F.coalesce(ticker, F.lit("n/a")), day.cast("string"), form)
+    filing = F.format_string("%s, CIK %s, %s\n%s of %s\n", company, cik, F.coalesce(ticker, F.lit("no ticker")), form, day.cast("string"))
     named = F.concat(F.when(six, "Exhibit ").otherwise("Item "), unit, F.coalesce(F.concat(F.lit(": "), title), F.lit("")))
-    section = F.when(unit.isNotNull(), F.concat(F.lit("Section under classification: "), named)).when(six, "No exhibits were furnished. Classify the body of the report:").otherwise("No Item sections were extractable. Classify the whole filing body:")
+    section = F.when(unit.isNotNull(), F.concat(F.lit(heads[0]), named)).when(six, heads[1]).otherwise(heads[2])
     body = F.substring(F.coalesce(text, F.lit("")), F.lit(1), F.when(six, 20_000).otherwise(12_000))
-    return F.concat(head, F.lit("\n"), section, F.lit("\n\n"), body, F.when(F.coalesce(exhibits, F.lit("")) != "", F.concat(F.lit("\n\n"), exhibits)).otherwise(""))
+    more = F.coalesce(exhibits, F.lit(""))
+    return F.concat_ws("\n\n", F.concat(filing, section), body, F.when(more != "", more))
 
 
 def reduce_line(form: Column, unit: Column, title: Column, event_type: Column, material: Column, confidence: Column, reasoning: Column) -> Column:
