@@ -147,7 +147,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, by_file: bool = Fals
 def with_offsets(tokens: DataFrame) -> DataFrame:
     """Second pass: adds ``at``, each document's place in the whole stream. One total per run is summed up, not rows of documents."""
     totals = tokens.groupBy("file", "first").agg(F.sum("n_tokens").alias("n"))
-    base = totals.selectExpr("file", "first", "sum(n) over (order by file, first) - n as base")
+    # Spark's writers number files with five digits, from 100,000 on with more: the number counts, not its text
+    number = "coalesce(try_cast(regexp_extract(file, '/part-([0-9]+)[^/]*$', 1) as bigint), -1)"
+    base = totals.selectExpr("file", "first", f"sum(n) over (order by {number}, file, first) - n as base")
     return tokens.join(F.broadcast(base), ["file", "first"]).withColumn("at", F.col("base") + F.col("local"))
 
 
