@@ -30,3 +30,19 @@ def test_changes_in_parts_of_any_size(spark):
         strip = lambda rows: order((*x[:4],) if x[0] != "e" else (*x[:3], None) for x in rows)
         assert strip(got) == strip(want)
         assert np.allclose([x[4] or 0 for x in order(got)], [x[4] or 0 for x in order(want)], atol=2e-4)
+
+
+def test_nearest_in_parts_of_any_size(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, i % 3 if i % 17 else None, r.normal(size=6).tolist()) for i in range(120)] + [(200, 1, [0.0] * 6), (201, 1, None)] + [(300 + i, 5, [1.0, 2.0]) for i in range(6)] + [(400, 9, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, g int, embedding array<double>")
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    want = []
+    for i, g, v in rows:
+        if i % 4 == 0 and g is not None and v is not None:
+            near = sorted((-float(unit(v) @ unit(w)), j) for j, h, w in rows if h == g and j != i and w is not None)[:3]
+            want += [(i, j, k, round(-s, 6)) for k, (s, j) in enumerate(near, 1)]
+    for size in (5, 1024):
+        got = sorted((x["query_id"], x["vec_id"], x["position"], round(x["similarity"], 6)) for x in vectors.nearest(df.where("vec_id % 4 = 0"), df, "g", 3, size=size).collect())
+        assert [g[:3] for g in got if g[0] < 300] == [w[:3] for w in sorted(want) if w[0] < 300] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
+    assert vectors.nearest(df.limit(0), df, "g", 3).count() == 0

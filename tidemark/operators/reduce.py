@@ -16,18 +16,31 @@ def grounded(anchor: Column, items: Column, known: Column) -> tuple[Column, Colu
     return new, F.when(new.isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array(new), F.filter(real, lambda i: i != new)))
 
 
+def subsumed(events: DataFrame, group: str, key: str, items: str) -> DataFrame:
+    """(group, key) of events whose item set is part of another's in the group, or equal to that of a smaller key.
+
+    A set is looked for where its rarest item is: whoever holds the set holds that item, so candidates are its holders alone, not all pairs of the group. Sets without items are part of
+    any other. Null groups, keys and sets are part of none.
+    """
+    rows = events.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.array_distinct(items).alias("_i"))
+    each = rows.select("_g", "_k", "_i", F.explode("_i").alias("_x"))
+    often = each.groupBy("_g", "_x").agg(F.count("*").alias("_n"))
+    rare = each.join(often, ["_g", "_x"]).groupBy("_g", "_k").agg(F.min_by("_x", F.struct("_n", "_x")).alias("_x"), F.first("_i").alias("_a"))
+    held = each.select("_g", "_x", F.col("_k").alias("_other"), F.col("_i").alias("_b"))
+    met = rare.join(held, ["_g", "_x"]).where("_k <> _other and size(_a) <= size(_b) and size(array_except(_a, _b)) = 0 and (size(_a) < size(_b) or _other < _k)")
+    sizes = rows.where("_g is not null").groupBy("_g").agg(F.max(F.size("_i")).alias("_most"), F.min(F.when(F.size("_i") == 0, F.col("_k"))).alias("_least"))
+    none = rows.where(F.size("_i") == 0).join(sizes, "_g").where("_most > 0 or _least < _k")
+    return met.select("_g", "_k").unionByName(none.select("_g", "_k")).distinct().select(F.col("_g").alias(group), F.col("_k").alias(key))
+
+
 def maximal(events: DataFrame, group: str, key: str, items: str) -> DataFrame:
     """Events whose item set isn't part of another's in the group; of equal sets that with the smallest key stays."""
-    a, b = events.alias("a"), events.select(group, F.col(key).alias("_k"), F.col(items).alias("_i")).alias("b")
-    inside = F.size(F.array_except(F.col(f"a.{items}"), F.col("b._i"))) == 0
-    same = F.size(F.array_except(F.col("b._i"), F.col(f"a.{items}"))) == 0
-    by = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") != F.col("b._k")) & inside & (~same | (F.col("b._k") < F.col(f"a.{key}")))
-    return a.join(b, by, "left_anti")
+    return events.join(subsumed(events, group, key, items), [group, key], "left_anti")
 
 
 def over_emitted(events: DataFrame, group: str, key: str, items: str) -> DataFrame:
     """Events that ``maximal`` would drop: none is the healthy state."""
-    return events.join(maximal(events, group, key, items).select(key), key, "left_anti")
+    return events.join(subsumed(events, group, key, items), [group, key], "left_semi")
 
 
 def within_budget(rows: DataFrame, group: list[str], order: str, size: Column, budget: int) -> DataFrame:

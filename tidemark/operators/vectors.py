@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.current import first_n
@@ -13,19 +13,33 @@ from tidemark.operators.current import first_n
 CARRY, CHANGE = 0.97, 0.70
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, taken from the list's flat values; each of length 1 (a zero vector stays)."""
+    flat = column.combine_chunks()
+    v = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1, n)
 
 
-def norm(a: Column) -> Column:
-    """Length of a vector; 1 for a zero vector, so that dividing by it is safe."""
-    n = F.sqrt(dot(a, a))
-    return F.when(n == 0, 1.0).otherwise(n)
+def tiled(left: DataFrame, right: DataFrame, meet, schema: str, size: int, alone: bool = False) -> DataFrame:
+    """meet(pair, rows of the left, rows of the right) for every two parts of the sides of each pair, in a task group of their own.
 
+    left and right: pair, id, embedding. A side's parts hold about ``size`` rows, dealt by a hash, so that no group grows with a pair. With alone a pair that has one side only is met too.
+    """
+    pick = lambda d, side: d.select("pair", "id", "embedding", F.lit(side).alias("side"))
+    rows = pick(left, 0).unionByName(pick(right, 1))
+    parts = rows.groupBy(F.col("pair").alias("_pair")).agg(*[F.ceil(F.count_if(F.col("side") == k) / size).cast("int").alias(f"_n{k}") for k in (0, 1)])
+    parts = parts.withColumns({f"_n{k}": F.greatest(F.lit(1), f"_n{k}") for k in (0, 1)}) if alone else parts.where("_n0 > 0 and _n1 > 0")
+    rows = rows.join(parts, rows["pair"].eqNullSafe(parts["_pair"]))
+    own = lambda k: F.pmod(F.xxhash64("id", "embedding"), F.col(f"_n{k}")).cast("int")
+    every = lambda k: F.sequence(F.lit(0), F.col(f"_n{k}") - 1)
+    rows = rows.withColumn("_i", F.explode(F.when(F.col("side") == 0, F.array(own(0))).otherwise(every(0))))
+    rows = rows.withColumn("_j", F.explode(F.when(F.col("side") == 1, F.array(own(1))).otherwise(every(1))))
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        return meet(key[0], *(t.filter(pc.equal(t["side"], side)).sort_by("id") for side in (0, 1)))
 
-def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x / n)
+    return rows.select("pair", "_i", "_j", "id", "embedding", "side").groupBy("pair", "_i", "_j").applyInArrow(compare, schema)
 
 
 def changes(current: DataFrame, prior: DataFrame, pair: str, carry: float = CARRY, change: float = CHANGE, size: int = 1024) -> DataFrame:
@@ -34,40 +48,24 @@ def changes(current: DataFrame, prior: DataFrame, pair: str, carry: float = CARR
     current and prior: pair, block_index, embedding. For a current block the best prior decides: at least ``carry`` is carried, at least ``change``
     is changed (against that prior, the lowest index of equals), else it is added. A prior block whose best is below ``change`` is dropped. Several
     current blocks may match one prior. Thresholds hold for the exact value, the output is rounded to 4 places. With one side empty all is
-    added or dropped, without similarity. Each side of a pair is cut into parts of about ``size`` blocks, and every two parts meet as one matrix
-    in a task of their own; the best of each block over all parts decides.
+    added or dropped, without similarity. Parts of about ``size`` blocks of either side meet as matrices; the best of each block over all parts decides.
     """
+    kind = dict(current.dtypes)[pair]
 
-    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        sides = []
-        for side in (0, 1):
-            t = rows.filter(pc.equal(rows["side"], side)).sort_by("block_index")
-            v = np.array(t["embedding"].to_pylist(), float).reshape(t.num_rows, -1 if t.num_rows else 0)
-            n = np.linalg.norm(v, axis=1, keepdims=True) if t.num_rows else v
-            sides.append((t["uid"].to_pylist(), t["block_index"].to_pylist(), v / np.where(n == 0, 1, n) if t.num_rows else v))
-        (cu, ci, cv), (pu, pi, pv) = sides
-        if not cu or not pu:
-            out = [(0, u, i, None, None) for u, i in zip(cu, ci)] + [(1, u, i, None, None) for u, i in zip(pu, pi)]
+    def meet(key: pa.Scalar, c: pa.Table, p: pa.Table) -> pa.Table:
+        ci, pi = c["id"].to_numpy(), p["id"].to_numpy()
+        if len(ci) and len(pi):
+            sim = matrix(c["embedding"]) @ matrix(p["embedding"]).T
+            match, best = [*pi[sim.argmax(1)].tolist(), *[None] * len(pi)], [*sim.max(1).tolist(), *sim.max(0).tolist()]
         else:
-            sim = cv @ pv.T
-            out = [(0, u, i, pi[int(row.argmax())], float(row.max())) for u, i, row in zip(cu, ci, sim)]
-            out += [(1, u, i, None, float(x)) for u, i, x in zip(pu, pi, sim.max(0))]
-        cols = list(zip(*out)) if out else [()] * 5
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array([key[0].as_py()] * len(out), key[0].type), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["pair", "side", "uid", "own", "match", "best"])
-
-    pick = lambda d, side: d.select(F.col(pair).alias("pair"), F.col("block_index").cast("long").alias("block_index"), "embedding", F.lit(side).alias("side"))
-    kind = dict(current.dtypes)[pair]
-    rows = pick(current, 0).unionByName(pick(prior, 1)).withColumn("uid", F.monotonically_increasing_id())
-    parts = rows.groupBy(F.col("pair").alias("_pair")).agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == k) / size)).cast("int").alias(f"_n{k}") for k in (0, 1)])
-    rows = rows.join(parts, rows["pair"].eqNullSafe(parts["_pair"]))
-    own = lambda k: F.pmod(F.xxhash64("block_index", "embedding"), F.col(f"_n{k}")).cast("int")
-    every = lambda k: F.sequence(F.lit(0), F.col(f"_n{k}") - 1)
-    rows = rows.withColumn("_i", F.explode(F.when(F.col("side") == 0, F.array(own(0))).otherwise(every(0))))
-    rows = rows.withColumn("_j", F.explode(F.when(F.col("side") == 1, F.array(own(1))).otherwise(every(1))))
-    met = rows.select("pair", "_i", "_j", "block_index", "embedding", "side", "uid").groupBy("pair", "_i", "_j").applyInArrow(compare, f"pair {kind}, side int, uid long, own long, match long, best double")
+            match = best = [None] * (len(ci) + len(pi))
+        n = len(match)
+        return pa.table({"pair": pa.array([key.as_py()] * n, key.type), "side": pa.array([0] * len(ci) + [1] * len(pi), pa.int32()), "own": pa.array(np.concatenate([ci, pi]), pa.int64()), "match": pa.array(match, pa.int64()), "best": pa.array(best, pa.float64())})
+
+    pick = lambda d: d.select(F.col(pair).alias("pair"), F.col("block_index").cast("long").alias("id"), "embedding")
+    met = tiled(pick(current), pick(prior), meet, f"pair {kind}, side int, own long, match long, best double", size, alone=True)
     top = F.max(F.when(F.col("best").isNotNull(), F.struct("best", (-F.col("match")).alias("m"))))
-    best = met.groupBy("pair", "side", "uid", "own").agg(top.alias("top")).select("pair", "side", "own", F.col("top.best").alias("best"), (-F.col("top.m")).alias("match"))
+    best = met.groupBy("pair", "side", "own").agg(top.alias("top")).select("pair", "side", "own", F.col("top.best").alias("best"), (-F.col("top.m")).alias("match"))
     best = best.where((F.col("side") == 0) | F.col("best").isNull() | (F.col("best") < change))
     label = F.when(F.col("side") == 1, "dropped").when(F.col("best") >= carry, "carried").when(F.col("best") >= change, "changed").otherwise("added")
     best = best.withColumn("change_type", label)
@@ -80,9 +78,26 @@ def change_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pair").agg(*[F.count_if(F.col("change_type") == k).alias(f"{k}_count") for k in kinds])
 
 
-def nearest(queries: DataFrame, rows: DataFrame, within: str, n: int) -> DataFrame:
-    """For each query (vec_id, embedding) the n most similar other rows with the same value of ``within``."""
-    q = queries.select(F.col("vec_id").alias("query_id"), within, unit(F.col("embedding")).alias("_q"))
-    r = rows.select("vec_id", within, unit(F.col("embedding")).alias("_r"))
-    near = q.join(r, within).where("query_id <> vec_id").select("query_id", "vec_id", dot(F.col("_q"), F.col("_r")).alias("similarity"))
+def nearest(queries: DataFrame, rows: DataFrame, within: str, n: int, size: int = 1024) -> DataFrame:
+    """query_id, vec_id, similarity and position of the n most similar other rows with the same value of ``within`` for each query (vec_id, embedding), equals by vec_id.
+
+    Parts of both sides meet as matrices, and a part of rows gives a query its n best alone, so no row stands for a pair of vectors. Null values of ``within`` meet nothing.
+    """
+
+    def meet(key: pa.Scalar, q: pa.Table, r: pa.Table) -> pa.Table:
+        qi, ri = q["id"].to_numpy(), r["id"].to_numpy()  # sorted, so that the first of equals has the smallest id
+        sim = matrix(q["embedding"]) @ matrix(r["embedding"]).T
+        sim[qi[:, None] == ri[None]] = -np.inf
+        at = []
+        for _ in range(min(n, len(ri))):
+            best = sim.argmax(1)
+            value = sim[np.arange(len(qi)), best]
+            keep = np.flatnonzero(value > -np.inf)
+            at.append((qi[keep], ri[best[keep]], value[keep]))
+            sim[np.arange(len(qi)), best] = -np.inf
+        a, b, s = (np.concatenate(x) for x in zip(*at))
+        return pa.table({"query_id": a, "vec_id": b, "similarity": s})
+
+    pick = lambda d: d.where(F.col(within).isNotNull() & F.col("embedding").isNotNull()).select(F.col(within).alias("pair"), F.col("vec_id").cast("long").alias("id"), "embedding")
+    near = tiled(pick(queries), pick(rows), meet, "query_id long, vec_id long, similarity double", size)
     return first_n(near, ["query_id"], n, F.desc("similarity"), F.col("vec_id"), rank="position")

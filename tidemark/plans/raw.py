@@ -15,8 +15,8 @@ _SQL_FORM = "CASE WHEN c_custkey % 3 = 0 THEN '8-K' ELSE '8-K/A' END"
 
 
 def _joined(rows: DataFrame, line: str, sep: str, head: str, tail: str = "") -> DataFrame:
-    """A file for each nation: its customers' lines between a head and a tail."""
-    parts = rows.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.expr(line))), sep).alias("t"))
+    """A file for each block of at most 200 customers of a nation: their lines between a head and a tail."""
+    parts = rows.groupBy("c_nationkey", F.expr("c_custkey div 200")).agg(F.array_join(F.array_sort(F.collect_list(F.expr(line))), sep).alias("t"))
     return parts.select(F.concat(F.lit(head), "t", F.lit(tail)).alias("text"))
 
 
@@ -53,10 +53,10 @@ def raw_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT upper(n_name) AS ticker, lpad(n_nationkey::VARCHAR, 10, '0') AS cik, n_name AS company_name FROM nation WHERE n_nationkey <> 3")
 def raw_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One entry is incomplete."""
+    """A file for each region; one entry is incomplete."""
     n = table(spark, sf_dir, "nation")
     entry = F.struct(F.col("n_nationkey").cast("string"), F.struct(F.col("n_nationkey").alias("cik_str"), F.when(F.col("n_nationkey") != 3, F.col("n_name")).otherwise("").alias("ticker"), F.col("n_name").alias("title")))
-    files = n.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text"))
+    files = n.groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text"))  # regions hold a few nations each
     return listings.ticker_index(listings.tickers(files))
 
 

@@ -58,7 +58,7 @@ def parsed(submissions: DataFrame) -> DataFrame:
     The envelope is there for every submission, with null fields where it isn't parsed. Of several owners the first counts.
     """
     doc = F.from_xml(ownership_xml(F.col("text")), F.lit(SCHEMA), {"mode": "PERMISSIVE", "rowTag": "ownershipDocument"})
-    d = submissions.withColumn("d", doc)
+    d = submissions.select("*", F.explode(F.array(doc)).alias("d"))  # a generator's output isn't copied into what uses it, so a document is parsed once
     owner = F.get("d.reportingOwner", F.lit(0))
     role = owner["reportingOwnerRelationship"]
     d = d.withColumns({"issuer_cik": padded(value(F.col("d.issuer.issuerCik"))), "owner_cik": padded(value(owner["reportingOwnerId"]["rptOwnerCik"]))})
