@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, materialize, mix
+from tidemark.llm.common import arrow_rows, materialize, mix, trim
 
 #: Words in a shard, about; positions in a block; entries that a step of the extension unfolds at once; words whose pairs are summed in one group; the largest Bloom filter, in bits.
 SHARD, BITS, AT_ONCE, RANGE, MOST_BLOOM = 1 << 18, 32, 1 << 18, 1 << 18, 1 << 28
@@ -58,17 +58,22 @@ def shards(docs: DataFrame) -> DataFrame:
         flat = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()))], names=names)
         open_: dict[str, Shard] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), byte_texts(batch["text"])):
-                for part in parts_of(text):
+            texts = batch["text"].cast(pa.binary())
+            for i, lang in enumerate(batch["lang"].to_pylist()):
+                for part in parts_of(texts[i].as_py()):
                     shard = open_.setdefault(lang, Shard())
                     shard.add(part)
                     if shard.size >= SHARD:
                         yield flat([open_.pop(lang).row(lang)])
-        for lang, shard in open_.items():
+                        trim()
+        while open_:
+            lang, shard = open_.popitem()
             yield flat([shard.row(lang)])
+        trim()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return materialize(rows.mapInArrow(cut, "lang string, words array<string>, counts array<long>, seq binary"))
+    with arrow_rows(docs.sparkSession, 1000):
+        return materialize(rows.mapInArrow(cut, "lang string, words array<string>, counts array<long>, seq binary"))
 
 
 def parts_of(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
@@ -178,6 +183,7 @@ def each_shard(batches, word_filter: Bloom):
             kept = word_filter.has(key_of(np.full(len(h), lang_hash), h))
             kept[0] = False
             yield batch["lang"][i].as_py(), lang_hash, h, Bitmaps(seq, kept)
+            trim()
 
 
 def word_keys(rows: DataFrame) -> DataFrame:
@@ -287,8 +293,12 @@ def mine(docs: DataFrame, least: int = 10, top: int = 2000, contained: int = 50)
     seqs = table.select("lang", lang_hash, F.transform("words", lambda w: F.xxhash64(F.lit(seed), w)).alias("hashes"), "seq")
     known = bloom(word_keys(words.select(lang_hash, "h")))
     n_words = total.agg(F.sum("n")).first()[0] or 0
-    found = phrases(seqs, known, bloom(materialize(pair_keys(seqs, known, n_words, least))))
-    found = materialize(found.groupBy("lang", "h1", "h2", "h3").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    with arrow_rows(docs.sparkSession, 4):
+        keys = materialize(pair_keys(seqs, known, n_words, least))
+    pair_filter = bloom(keys)
+    with arrow_rows(docs.sparkSession, 4):
+        found = phrases(seqs, known, pair_filter).groupBy("lang", "h1", "h2", "h3").agg(F.sum("n").alias("a"))
+        found = materialize(found.where(F.col("a") >= least))
     pairs, triples = found.where("h3 is null").drop("h3"), found.where("h3 is not null")
 
     word = lambda i: words.select("lang", F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -48,6 +50,25 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """While it lasts, Arrow batches of the session hold n rows at most: for rows of megabytes, of which the usual ten thousand would be held at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def trim() -> None:
+    """Give memory that this Python worker has freed back to the system, as far as its C library can: workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: bytes.split() breaks at exactly these six bytes."""
     return text.split()
