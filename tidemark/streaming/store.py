@@ -138,6 +138,12 @@ class Store:
         rows.write.parquet(f"{self.path}/{name}/c={folder}")
         return folder
 
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """rows, written once beside the tables, so that steps that build on them have a short plan and don't do the work again. No commit names what is written here."""
+        at = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
     def commit(self, batches: dict[str, DataFrame], writer: str, batch: int, known_new: bool = False, tries: int = 50) -> int | None:
         """Store batches of some tables together; the number of the commit, or None if the writer has committed this batch, or a later one, before.
 
