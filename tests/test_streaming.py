@@ -126,3 +126,25 @@ def test_draining_alerts(spark):
     assert (after[10]["attempts"], after[10]["last_error"], after[11]["attempts"], after[4]["delivered_at"]) == (3, "no route to host", 0, t(100))
     again = ingest.drained(spark.createDataFrame(list(after.values()), outbox.schema), "2024-01-01 12:01:00", send)
     assert sorted(sent) == [2, 5, 7, 9] and again.where("delivered_at is null").count() == 2
+
+
+def test_null_keys_are_stored_once_and_state_spares_history(spark, tmp_path):
+    """With a time the stream's keys are kept as state; a null key is one key, in whatever batch and from a re-scan."""
+    from tidemark.streaming import state
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    state.uses_rocksdb(spark)
+    schema = "k string, v string, at timestamp"
+    at = datetime.datetime(2024, 1, 1)
+    try:
+        for i in range(2):
+            spark.createDataFrame([(None, str(i), at), (f"k{i}", str(i), at)], schema).write.parquet(f"{tmp_path}/in/{i}")
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+            q = ingest.ingest(stream, f"{tmp_path}/out", schema, ["k"], "v", f"{tmp_path}/c", at="at")
+            q.awaitTermination()
+            assert q.exception() is None
+            ingest.rescan(spark.createDataFrame([(None, "9", at), ("k0", "9", at), ("r", "9", at)], schema), f"{tmp_path}/out", schema, ["k"], "v")
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    assert sorted((r["k"] or "", r["v"]) for r in ingest.stored(spark, f"{tmp_path}/out", schema).collect()) == [("", "0"), ("k0", "0"), ("k1", "1"), ("r", "9")]

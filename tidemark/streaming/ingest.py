@@ -1,6 +1,6 @@
 """Streams of landed files: parsed in micro-batches, each key stored once, whatever is read twice.
 
-A sink writes each batch to a folder of its own, named by the batch, and overwrites it if the batch comes again after a failure, so a restart neither loses nor repeats rows.
+A sink is a table of a ``store.Store``: each batch is one commit under its number, so a restart neither loses nor repeats rows, and re-scans may write at the same time.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.operators.current import first_n
+from tidemark.streaming.state import first_seen
+from tidemark.streaming.store import Store, Table
 
 
 def landed(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:
@@ -24,49 +26,33 @@ def landed(spark: SparkSession, folder: str, per_trigger: int | None = None) ->
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What a sink has stored; no rows before the first batch."""
-    from pyspark.errors import AnalysisException
+    return Store(spark, path, {"rows": Table(schema)}).read("rows")
 
-    try:
-        return spark.read.schema(f"{schema}, batch string").option("basePath", path).parquet(path).drop("batch")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
 
+def append_once(path: str, schema: str, keys: Sequence[str], order: str, known_new: bool = False) -> Callable[[DataFrame, int | str], None]:
+    """For ``foreachBatch``: commits the batch's rows whose keys (null is one) aren't stored yet, the first by ``order`` of each key. A batch by hand has a name instead of a number."""
+    table = Table(schema, tuple(keys), "once", order)
 
-def append_once(path: str, schema: str, keys: Sequence[str], order: str) -> Callable[[DataFrame, int | str], None]:
-    """For ``foreachBatch``: stores the batch's rows whose keys no other batch has stored, the first by ``order`` of each key. Also for batches by hand, under a name of their own."""
-
-    def store(batch: DataFrame, name: int | str) -> None:
-        spark = batch.sparkSession
-        others = spark.createDataFrame([], schema)
-        known = _except(spark, path, schema, str(name))
-        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("_row")).select("_row.*")
-        new = first.join((known if known is not None else others).select(*keys), list(keys), "left_anti")
-        new.select([c.split()[0] for c in schema.split(", ")]).write.mode("overwrite").parquet(f"{path}/batch={name}")
+    def store(batch: DataFrame, number: int | str) -> None:
+        by_hand = isinstance(number, str)
+        Store(batch.sparkSession, path, {"rows": table}).commit({"rows": batch}, number if by_hand else "stream", None if by_hand else number, known_new)
 
     return store
 
 
-def _except(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(f"{schema}, batch string").option("basePath", path).parquet(path).where(F.col("batch") != name)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-
+def ingest(entries: DataFrame, path: str, schema: str, keys: Sequence[str], order: str, checkpoint: str, every: str | None = None, at: str | None = None, late: str = "1 day", keep_hours: float = 24 * 30) -> StreamingQuery:
+    """Runs a stream of entries into the sink: all there is and then stops, or a batch at each interval (as "30 seconds"). One query a checkpoint.
 
-def ingest(entries: DataFrame, path: str, schema: str, keys: Sequence[str], order: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Runs a stream of entries into the sink: all there is and then stops, or a batch at each interval (as "30 seconds"). One query a checkpoint."""
-    writer: DataStreamWriter = entries.writeStream.foreachBatch(append_once(path, schema, keys, order)).option("checkpointLocation", checkpoint)
+    Each batch is compared with what is stored. With a time column ``at`` the stream's own keys are kept as state instead (see ``state.first_seen``, which says what is late),
+    so that a batch is compared with re-scans alone and costs the same after a year as on the first day; ``state.uses_rocksdb`` comes before.
+    """
+    rows = entries if at is None else first_seen(entries, keys, at, order, late, keep_hours)
+    writer: DataStreamWriter = rows.writeStream.foreachBatch(append_once(path, schema, keys, order, known_new=at is not None)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def rescan(listing: DataFrame, path: str, schema: str, keys: Sequence[str], order: str, name: str) -> None:
-    """Heals what the stream missed: a full listing goes through the same sink, under a name of its own (a day, say), so it may run again."""
+def rescan(listing: DataFrame, path: str, schema: str, keys: Sequence[str], order: str, name: str = "re-scan") -> None:
+    """Heals what the stream missed: a full listing goes through the same sink, under a name of its own (a day, say). It may run again, and beside the stream."""
     append_once(path, schema, keys, order)(listing, name)
 
 

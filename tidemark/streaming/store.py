@@ -144,14 +144,15 @@ class Store:
         rows.write.parquet(at)
         return self.spark.read.schema(rows.schema).parquet(at)
 
-    def commit(self, batches: dict[str, DataFrame], writer: str, batch: int, known_new: bool = False, tries: int = 50) -> int | None:
-        """Store batches of some tables together; the number of the commit, or None if the writer has committed this batch, or a later one, before.
+    def commit(self, batches: dict[str, DataFrame], writer: str, batch: int | None, known_new: bool = False, tries: int = 50) -> int | None:
+        """Store batches of some tables together; the number of the commit, or None if the writer has committed this batch, or a later one, before. Without a number it is stored always.
 
         With known_new the caller vouches (by a stream's state) that this writer hasn't stored the keys, so only folders of other writers are compared: what a batch costs then
         doesn't depend on how much the stream has stored.
         """
         state = self.state()
-        if state["writers"].get(writer, -1) >= batch:
+        done = lambda state: batch is not None and state["writers"].get(writer, -1) >= batch
+        if done(state):
             return None
         compared = {name: [f for f in state["folders"].get(name, []) if not (known_new and f["w"] == writer)] if self.tables[name].kind == "once" else [] for name in batches}
         folders = {name: self._write(name, self.without(name, self.first_of(name, rows), compared[name])) for name, rows in batches.items()}
@@ -161,11 +162,11 @@ class Store:
             for name, folder in folders.items():
                 now[name].append({"c": folder, "n": number, "w": writer})
             try:
-                self._put({"number": number, "writers": state["writers"] | {writer: batch}, "folders": now})
+                self._put({"number": number, "writers": state["writers"] | ({} if batch is None else {writer: batch}), "folders": now})
                 return number
             except Conflict:
                 before, state = state, self.state()
-            if state["writers"].get(writer, -1) >= batch:
+            if done(state):
                 return None
             for name in [n for n in folders if self.tables[n].kind == "once"]:  # what came in between may hold the same keys
                 old = {f["c"] for f in before["folders"].get(name, [])}
