@@ -135,28 +135,42 @@ def report(heading="<b>Item 1A. Risk Factors</b>", toc="", end="<p><b>Item 1B. U
     return f"<html><style>b{{}}</style>{toc}<p>{heading}</p><p>{WORDS * 2}</p>{parts}{end}<p>{WORDS * 30}</p></html>"
 
 
-def test_sections_by_every_tier():
-    got = risks.blocks_of(report(toc="<p>Item 1A. Risk Factors 12</p><p>Item 1B. Unresolved 20</p>"))
+def blocks(spark, **reports):
+    """(index, heading, text, hash) of each report's blocks, by its name."""
+    rows = risks.risk_blocks(spark.createDataFrame(list(reports.items()), "accession_number string, html string")).orderBy("accession_number", "block_index").collect()
+    return {name: [tuple(r)[1:] for r in rows if r["accession_number"] == name] for name in reports}
+
+
+def test_sections_by_every_tier(spark):
+    toc = '<a href="#rf">Risk Factors</a><a href="#ub">Unresolved Staff Comments</a>'
+    found = blocks(
+        spark, bold=report(toc="<p>Item 1A. Risk Factors 12</p><p>Item 1B. Unresolved 20</p>"), plain=report(heading="Item 1A — Risk Factors", end="<p>Item 1B. Unresolved</p>"),
+        styled=report(heading='<span style="font-weight: 700">Risk Factors</span>', end="<h2>Properties</h2>"), linked=report(heading='<a name="rf"></a>Ris k Fac tors', toc=toc, end='<p id="ub">next part</p>'),
+        open=report(heading="<p id='rf'></p>Ris k", toc='<a href="#rf">Risk Factors</a>', end=""), back=report(heading='<a name="rf"></a>Ris k', toc='<p id="ub">before</p>' + toc, end=""),
+        broken=report(heading="Item 1A<br>- Risk <i>Factors</i>", end="Item 2. Other"),
+    )
+    got = found["bold"]
     assert [i for i, *_ in got] == list(range(5)) and got[0][1].startswith("Item 1A") is False if got[0][1] else got[0][1] is None
     assert [h for _, h, _, _ in got[1:]] == [f"Risk number {i} is stated in a whole sentence here." for i in range(4)]
     assert all("inline word" in t and "Unresolved" not in t for _, _, t, _ in got[1:])
-    plain = risks.blocks_of(report(heading="Item 1A — Risk Factors", end="<p>Item 1B. Unresolved</p>"))
-    assert [h for _, h, _, _ in plain][1:] == [h for _, h, _, _ in got][1:]
-    styled = risks.blocks_of(report(heading='<span style="font-weight: 700">Risk Factors</span>', end="<h2>Properties</h2>"))
-    assert len(styled) == 5
-    toc = '<a href="#rf">Risk Factors</a><a href="#ub">Unresolved Staff Comments</a>'
-    linked = risks.blocks_of(report(heading='<a name="rf"></a>Ris k Fac tors', toc=toc, end='<p id="ub">next part</p>'))
-    assert [h for _, h, _, _ in linked][1:] == [h for _, h, _, _ in got][1:] and "next part" not in linked[-1][2]
-    assert risks.blocks_of(report(heading="<p id='rf'></p>Ris k", toc='<a href="#rf">Risk Factors</a>', end="")) == []
+    assert [h for _, h, _, _ in found["plain"]][1:] == [h for _, h, _, _ in got][1:] == [h for _, h, _, _ in found["broken"]][1:]
+    assert len(found["styled"]) == 5
+    assert [h for _, h, _, _ in found["linked"]][1:] == [h for _, h, _, _ in got][1:] and "next part" not in found["linked"][-1][2]
+    assert found["open"] == [] and len(found["back"]) == 5  # links that lead back leave the end open
 
 
-def test_sections_without_headers_and_of_wrong_size():
+def test_sections_without_headers_and_of_wrong_size(spark):
     flat = "<p>Item 1A. Risk Factors</p>" + "".join(f"<p>{i} {WORDS * 6}</p>{'<b>x</b>'}" for i in range(9)) + "<p>Item 2. Properties</p>"
-    got = risks.blocks_of(flat)
+    found = blocks(spark, flat=flat, short="<b>Risk Factors</b><p>short</p><b>Properties</b>", empty="", none="<p>none</p>", long=report(body=3000), plain=report())
+    got = found["flat"]
     assert len(got) >= 2 and all(h is None and len(t) >= risks.MERGED_BLOCK for _, h, t, _ in got[:-1])
-    assert risks.blocks_of("<b>Risk Factors</b><p>short</p><b>Properties</b>") == [] == risks.blocks_of("") == risks.blocks_of("<p>none</p>")
-    assert risks.blocks_of(report(body=3000)) == []
-    assert len({h for *_, h in risks.blocks_of(report())}) == 5
+    assert found["short"] == found["empty"] == found["none"] == found["long"] == []
+    assert len({h for *_, h in found["plain"]}) == 5
+
+
+def test_reports_over_the_limit_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(risks, "MOST_BYTES", 3000)
+    assert blocks(spark, large=report())["large"] == []
 
 
 def test_blocks_as_rows(spark):

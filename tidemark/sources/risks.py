@@ -1,17 +1,18 @@
 """Blocks of a report's risk factors: where the section lies, where its blocks begin, which are kept.
 
-A document is read once into runs of text of the same weight. The section is found by a bold heading, else by the words of its item, else by the links of the
-table of contents; it is split at bold headers, or by size where there are none.
+Markup becomes a table of pieces: texts with their weight, named places and links, in the order of the document. All else is done on rows: neighbours of one weight are numbered by a
+running sum, marks of beginnings and ends are put in one order and each beginning looks ahead for the next end, headers number the blocks. The section is found by a bold heading,
+else by the words of its item, else by the links of the table of contents; it is split at bold headers, or by size where there are none. A document is one partition of
+the windows, so those over MOST_BYTES are left out.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Lengths in characters, weights that render bold, and patterns of headings (of lower-cased text).
@@ -19,30 +20,30 @@ MIN_HEADER, MIN_BLOCK, MERGED_BLOCK, MIN_SECTION, MAX_SECTION = 25, 120, 1800, 1
 BOLD_TAGS = ("b", "strong", "h1", "h2", "h3", "h4")
 BOLD_WEIGHTS = ("bold", "bolder", "600", "700", "800", "900")
 SEPARATOR = "[\\s.:—–-]"
-START_HEADING = re.compile(rf"(?:item\s*1a\b{SEPARATOR}*)?risk\s+factors\b")
-START_ITEM = re.compile(rf"item\s*1a\b{SEPARATOR}*risk\s+factors\b")
-END_ITEM = re.compile(rf"item[\s ]*(?:1b|1c|2){SEPARATOR}")
-END_HEADING = re.compile(r"(?:item\s*(?:1b|1c|2)\b|unresolved\s+staff|properties\b|legal\s+proceedings|mine\s+safety)")
+START_HEADING = rf"(?:item\s*1a\b{SEPARATOR}*)?risk\s+factors\b"
+START_ITEM = rf"item\s*1a\b{SEPARATOR}*risk\s+factors\b"
+END_ITEM = rf"item[\s ]*(?:1b|1c|2){SEPARATOR}"
+END_HEADING = r"(?:item\s*(?:1b|1c|2)\b|unresolved\s+staff|properties\b|legal\s+proceedings|mine\s+safety)"
+MOST_BYTES = 25 * 1024 * 1024
 _WEIGHT = re.compile(r"font-weight\s*:\s*(\w+)")
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
-class _Runs(HTMLParser):
-    """Texts with their weight, the texts at which each named place begins, and the links within the document, in their order."""
+class _Pieces(HTMLParser):
+    """Rows (kind, bold, text, name) of a document in its order: texts, places that have a name, and links within the document with their words."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open, self.texts, self.places, self.links, self.skip = [], [], {}, [], 0
+        self.open, self.rows, self.skip, self.link = [], [], 0, None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        for name in (a.get("id"), a.get("name")):
-            if name:
-                self.places.setdefault(name, len(self.texts))
+        self.rows += [["place", False, "", name] for name in (a.get("id"), a.get("name")) if name]
         if tag in ("script", "style"):
             self.skip += 1
         if tag == "a" and (a.get("href") or "").startswith("#") and len(a["href"]) > 1:
-            self.links.append([a["href"][1:], ""])
+            self.link = ["link", False, "", a["href"][1:]]
+            self.rows.append(self.link)
         if tag not in _VOID:
             weight = _WEIGHT.search(a.get("style") or "")
             self.open.append((tag, tag in BOLD_TAGS or (weight is not None and weight.group(1).lower() in BOLD_WEIGHTS)))
@@ -59,99 +60,115 @@ class _Runs(HTMLParser):
         text = " ".join(data.split())
         if self.skip or not text:
             return
-        self.texts.append((any(bold for _, bold in self.open), text))
-        if self.links and any(tag == "a" for tag, _ in self.open):
-            self.links[-1][1] = f"{self.links[-1][1]} {text}".strip()
-
-
-def runs(texts) -> list[tuple[bool, str, int]]:
-    """Neighbours of the same weight as one run: (bold, text, place of its first character when runs are joined by line breaks)."""
-    out: list[tuple[bool, str]] = []
-    for bold, text in texts:
-        if out and out[-1][0] == bold:
-            out[-1] = bold, f"{out[-1][1]} {text}"
-        else:
-            out.append((bold, text))
-    at, placed = 0, []
-    for bold, text in out:
-        placed.append((bold, text, at))
-        at += len(text) + 1
-    return placed
-
-
-def widest(starts: list[int], ends: list[int]) -> tuple[int, int] | None:
-    """The longest stretch from a start to the next end after it, of MIN_SECTION or more; the first of equal ones."""
-    spans = [(s, min(e for e in ends if e > s)) for s in starts if any(e > s for e in ends)]
-    return max((x for x in spans if x[1] - x[0] >= MIN_SECTION), key=lambda x: x[1] - x[0], default=None)
-
-
-def section(document: _Runs) -> list[tuple[bool, str]]:
-    """The runs of the risk factors, cut to the section; none where it isn't found."""
-    every = runs(document.texts)
-    low = "\n".join(t for _, t, _ in every).lower()
-    ends = [m.start() for m in END_ITEM.finditer(low)] + [at for bold, t, at in every if bold and END_HEADING.match(t.lower())]
-    bold_starts = [at for bold, t, at in every if bold and START_HEADING.match(t.lower())]
-    span = widest(bold_starts, ends) or widest([m.start() for m in START_ITEM.finditer(low)], ends)
-    if span:
-        cut = ((bold, t[max(0, span[0] - at) : max(0, span[1] - at)].strip()) for bold, t, at in every)
-        return [(bold, t) for bold, t in cut if t]
-    links = [(to, " ".join(t.split()).lower()) for to, t in document.links]
-    first = next((i for i, (_, t) in enumerate(links) if START_HEADING.match(t)), None)
-    last = None if first is None else next((to for to, t in links[first + 1 :] if END_HEADING.match(t)), None)
-    if last is None or links[first][0] not in document.places or last not in document.places:
-        return []
-    lo, hi = document.places[links[first][0]], document.places[last]
-    return [(bold, t) for bold, t, _ in runs(document.texts[lo:hi] if hi > lo else document.texts[lo:])]
-
-
-def split_at_headers(parts: list[tuple[bool, str]]) -> list[tuple[str | None, str]]:
-    """(heading, text) of blocks that begin at bold runs of MIN_HEADER or more; what stands before the first has no heading."""
-    blocks: list[list] = []
-    for bold, text in parts:
-        if bold and len(text) >= MIN_HEADER:
-            blocks.append([text, text])
-        elif blocks:
-            blocks[-1][1] += f" {text}"
-        else:
-            blocks.append([None, text])
-    return [(h, t) for h, t in blocks]
-
-
-def merged_by_size(parts: list[tuple[bool, str]]) -> list[tuple[str | None, str]]:
-    """Blocks without headings, each closed once it has MERGED_BLOCK characters."""
-    blocks, own = [], ""
-    for _, text in parts:
-        own = f"{own} {text}".strip()
-        if len(own) >= MERGED_BLOCK:
-            blocks.append((None, own))
-            own = ""
-    return blocks + [(None, own)] * bool(own)
-
-
-def blocks_of(html: str) -> list[tuple[int, str | None, str, str]]:
-    """(index, heading, text, hash) of a report's risk factors. None at all if what is kept is too little or too much to be the section."""
-    document = _Runs()
-    document.feed(html)
-    document.close()
-    parts = section(document)
-    found = split_at_headers(parts)
-    if sum(h is not None for h, _ in found) < 2:
-        found = merged_by_size(parts)
-    kept = [(h and " ".join(h.split()), " ".join(t.split())) for h, t in found]
-    kept = [(h, t) for h, t in kept if len(t) >= MIN_BLOCK]
-    if not MIN_SECTION <= sum(len(t) for _, t in kept) <= MAX_SECTION:
-        return []
-    return [(i, h, t, hashlib.sha256(t.encode()).hexdigest()) for i, (h, t) in enumerate(kept)]
+        self.rows.append(["text", any(bold for _, bold in self.open), text, None])
+        if self.link and any(tag == "a" for tag, _ in self.open):
+            self.link[2] = f"{self.link[2]} {text}".strip()
 
 
-def risk_blocks(reports: DataFrame) -> DataFrame:
-    """accession_number, block_index, heading, block_text and block_hash of the risk factors of reports (accession_number, html); a report without any has no rows."""
+def pieces(reports: DataFrame) -> DataFrame:
+    """accession_number, pos, kind (text, place or link), bold, text and name of the pieces of reports (accession_number, html)."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
+    names = ["accession_number", "pos", "kind", "bold", "text", "name"]
 
-    def run(batches):
+    def parse(batches):
         for b in batches:
-            rows = [(a, *x) for a, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in blocks_of(html or "")]
-            cols = list(zip(*rows)) if rows else [()] * 5
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["accession_number", "block_index", "heading", "block_text", "block_hash"])
+            for accession, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                document = _Pieces()
+                document.feed(html)
+                document.close()
+                rows = [(accession, i, *r) for i, r in enumerate(document.rows)]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
+
+    own = reports.select(F.col("accession_number").cast("string"), F.col("html").cast("string")).where(F.octet_length("html") <= MOST_BYTES)
+    return own.mapInArrow(parse, "accession_number string, pos int, kind string, bold boolean, text string, name string")
+
+
+ID = "accession_number"
+
+
+def _before(*order: str) -> object:
+    return Window.partitionBy(ID).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def runs(texts: DataFrame) -> DataFrame:
+    """Neighbouring texts of one weight as a row: run (its number), bold, text, first (the pos it begins at)."""
+    turn = F.col("bold") != F.lag("bold", 1, None).over(Window.partitionBy(ID).orderBy("pos"))
+    numbered = texts.withColumn("run", F.sum(F.coalesce(turn, F.lit(False)).cast("int")).over(Window.partitionBy(ID).orderBy("pos")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"])
+    return numbered.groupBy(ID, "run").agg(F.first("bold").alias("bold"), F.array_join(parts, " ").alias("text"), F.min("pos").alias("first"))
+
+
+def found_at(texts: DataFrame, pattern: str) -> DataFrame:
+    """accession_number and at, the places (from 0) at which a pattern occurs in texts (accession_number, low)."""
+    gaps = F.transform(F.split("low", pattern, -1), lambda g: F.length(g))
+    hits = F.transform(F.regexp_extract_all("low", F.lit(pattern), F.lit(0)), lambda h: F.length(h))
+    each = texts.select(ID, F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("k", "x")).select(ID, "k", "x.gap", "x.hit")
+    return each.withColumn("at", F.coalesce(F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(_before("k")), F.lit(0)) + F.col("gap")).where("hit is not null").select(ID, "at")
+
 
-    return reports.select(F.col("accession_number").cast("string"), F.col("html").cast("string")).mapInArrow(run, "accession_number string, block_index int, heading string, block_text string, block_hash string")
+def longest(starts: DataFrame, ends: DataFrame, tier: int) -> DataFrame:
+    """accession_number, tier, lo and hi: of each document the longest stretch of MIN_SECTION or more from a beginning to the next end behind it, the first of equals."""
+    marks = starts.select(ID, "at", F.lit(1).alias("is_start")).unionByName(ends.select(ID, "at", F.lit(0).alias("is_start")))
+    ahead = F.first(F.when(F.col("is_start") == 0, F.col("at")), ignorenulls=True).over(Window.partitionBy(ID).orderBy("at", "is_start").rowsBetween(1, Window.unboundedFollowing))
+    spans = marks.withColumn("hi", ahead).where((F.col("is_start") == 1) & (F.col("hi") - F.col("at") >= MIN_SECTION))
+    return spans.groupBy(ID).agg(F.max(F.struct((F.col("hi") - F.col("at")).alias("size"), (-F.col("at")).alias("back"), "hi")).alias("m")).select(ID, F.lit(tier).alias("tier"), (-F.col("m.back")).alias("lo"), F.col("m.hi").alias("hi"))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """accession_number, from_pos and to_pos (null: the end) of sections between the places to which the table of contents links: its first link to the risk factors and its next to what follows."""
+    links = rows.where("kind = 'link'").withColumn("low", F.lower("text"))
+    begins = links.where(F.col("low").rlike(f"^{START_HEADING}")).groupBy(ID).agg(F.min_by(F.struct("pos", "name"), "pos").alias("b"))
+    after = links.join(begins, ID).where(F.col("low").rlike(f"^{END_HEADING}") & (F.col("pos") > F.col("b.pos"))).groupBy(ID).agg(F.first("b.name").alias("begin"), F.min_by("name", "pos").alias("end"))
+    counted = rows.withColumn("texts", F.count_if(F.col("kind") == "text").over(Window.partitionBy(ID).orderBy("pos")))  # so that places without a text between them are one place
+    place = lambda c: counted.where("kind = 'place'").groupBy(ID, F.col("name").alias(c)).agg(F.min_by(F.struct("pos", "texts"), "pos").alias(f"{c}_at"))
+    both = after.join(place("begin"), [ID, "begin"]).join(place("end"), [ID, "end"])
+    return both.select(ID, F.col("begin_at.pos").alias("from_pos"), F.when(F.col("end_at.texts") > F.col("begin_at.texts"), F.col("end_at.pos")).alias("to_pos"))
+
+
+def sections(rows: DataFrame) -> DataFrame:
+    """accession_number, run, bold and text of the risk factors' runs, cut to the section; none where it isn't found."""
+    texts = rows.where("kind = 'text'")
+    placed = runs(texts)
+    placed = placed.withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(_before("run")), F.lit(0)))
+    low = placed.groupBy(ID).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda r: r["text"]), "\n")).alias("low"))
+    heading = lambda pattern: placed.where(F.col("bold") & F.lower("text").rlike(f"^{pattern}")).select(ID, "at")
+    ends = found_at(low, END_ITEM).unionByName(heading(END_HEADING))
+    spans = longest(heading(START_HEADING), ends, 1).unionByName(longest(found_at(low, START_ITEM), ends, 2))
+    spans = spans.groupBy(ID).agg(F.min_by(F.struct("lo", "hi"), "tier").alias("s")).select(ID, "s.*")
+    cut = F.trim(F.expr("substring(text, greatest(0, lo - at) + 1, greatest(0, hi - at) - greatest(0, lo - at))"))
+    by_words = placed.join(spans, ID).select(ID, "run", "bold", cut.alias("text")).where("text <> ''")
+    between = texts.join(linked(rows).join(spans, ID, "left_anti"), ID).where("pos >= from_pos and (to_pos is null or pos < to_pos)").select(texts.columns)
+    return by_words.unionByName(runs(between).select(ID, "run", "bold", "text"))
+
+
+def by_size(lengths: Column) -> Column:
+    """Numbers of the blocks to which runs of these lengths go, when a block is closed at MERGED_BLOCK characters (with a space between runs)."""
+    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("out"))
+
+    def add(state, n):
+        size = F.when(state["size"] > 0, state["size"] + 1 + n).otherwise(n)
+        full = size >= MERGED_BLOCK
+        return F.struct((state["block"] + full.cast("int")).alias("block"), F.when(full, 0).otherwise(size).alias("size"), F.concat(state["out"], F.array(state["block"])).alias("out"))
+
+    return F.aggregate(lengths, start, add, lambda state: state["out"])
+
+
+def risk_blocks(reports: DataFrame) -> DataFrame:
+    """accession_number, block_index, heading, block_text and block_hash of the risk factors of reports (accession_number, html).
+
+    Blocks begin at bold runs of MIN_HEADER characters or more; with less than two of these, runs are put together by size. A report without the section, with too little or too much to be it,
+    or of over MOST_BYTES has no rows; nor has one without html. Each accession number must come once.
+    """
+    own = sections(pieces(reports)).withColumn("is_header", F.col("bold") & (F.length("text") >= MIN_HEADER))
+    whole = own.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("run", "text", "is_header"))).alias("r"), F.count_if("is_header").alias("headers"))
+    sized = by_size(F.transform("r", lambda x: F.length(x["text"])))
+    each = whole.withColumn("sized", F.when(F.col("headers") < 2, sized)).select(ID, "headers", "sized", F.posexplode("r").alias("k", "x"))
+    header = (F.col("headers") >= 2) & F.col("x.is_header")
+    number = F.when(F.col("headers") >= 2, F.sum(header.cast("int")).over(Window.partitionBy(ID).orderBy("k"))).otherwise(F.get("sized", F.col("k")))
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("x.text").alias("text")))), lambda p: p["text"])
+    blocks = each.withColumn("block", number).groupBy(ID, "block").agg(squeezed(F.max(F.when(header, F.col("x.text")))).alias("heading"), squeezed(F.array_join(parts, " ")).alias("block_text"))
+    kept = blocks.where(F.length("block_text") >= MIN_BLOCK)
+    every = Window.partitionBy(ID)
+    kept = kept.withColumn("total", F.sum(F.length("block_text")).over(every)).where(F.col("total").between(MIN_SECTION, MAX_SECTION))
+    return kept.select(ID, (F.row_number().over(every.orderBy("block")) - 1).cast("int").alias("block_index"), "heading", "block_text", F.sha2("block_text", 256).alias("block_hash"))
