@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query, table
-from tidemark.sources import listings, ownership, pages
+from tidemark.sources import listings, ownership, pages, risks
 
 _ACC = "concat(lpad(cast(c_custkey as string), 10, '0'), '-24-', lpad(cast(c_nationkey as string), 6, '0'))"
 _SQL_ACC = "lpad(c_custkey::VARCHAR, 10, '0') || '-24-' || lpad(c_nationkey::VARCHAR, 6, '0')"
@@ -102,3 +102,17 @@ def raw_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of every page that is markup; compared with plain code in the tests."""
     p = table(spark, sf_dir, "pages").where(pages.document_kind(F.encode("html", "UTF-8"), F.lit("text/html")) == "markup")
     return p.select("page_id", pages.plain_text(F.col("html")).alias("text"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS accession_number, i::INT AS block_index, 'Risk number ' || i || ' of ' || c_name || ' is stated here.' AS heading,
+    'Risk number ' || i || ' of ' || c_name || ' is stated here. ' || trim(repeat('Trade of ' || c_name || ' may fall. ', 25)) AS block_text FROM customer, (VALUES (0), (1), (2)) t(i) WHERE c_custkey % 4 <> 3""")
+def raw_risk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each customer, found by its bold heading, its item or its table of contents; those of a quarter lack the section's end."""
+    c = table(spark, sf_dir, "customer")
+    kind = F.col("c_custkey") % 4
+    toc = F.when(kind == 2, '<a href="#rf">Risk Factors</a><a href="#end">Properties</a>').otherwise("")
+    head = F.when(kind == 0, "<p><b>Item 1A. Risk Factors</b></p>").when(kind == 2, '<p id="rf">Where we may fail</p>').otherwise("<p>Item 1A. Risk Factors</p>")
+    end = F.when(kind == 0, "<p><b>Item 1B. Unresolved Staff Comments</b></p>").when(kind == 1, "<p>Item 2. Properties</p>").when(kind == 2, '<p id="end">More</p>').otherwise("<p>More</p>")
+    risk = lambda i: F.concat(F.lit(f"<p><b>Risk number {i} of "), "c_name", F.lit(" is stated here.</b></p><p>"), F.repeat(F.concat(F.lit("Trade of "), "c_name", F.lit(" may fall. ")), F.lit(25)), F.lit("</p>"))
+    html = F.concat(F.lit("<html>"), toc, head, F.lit("<p>intro</p>"), risk(0), risk(1), risk(2), end, F.lit("<p>and more text</p></html>"))
+    return risks.risk_blocks(c.select(F.col("c_custkey").cast("string").alias("accession_number"), html.alias("html"))).drop("block_hash")

@@ -80,7 +80,8 @@ def pieces(reports: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
 
     own = reports.select(F.col("accession_number").cast("string"), F.col("html").cast("string")).where(F.octet_length("html") <= MOST_BYTES)
-    return own.mapInArrow(parse, "accession_number string, pos int, kind string, bold boolean, text string, name string")
+    # dealt by document once, which all windows and groups below go by; Spark reuses the exchange, so that markup is read once for each set of columns
+    return own.mapInArrow(parse, "accession_number string, pos int, kind string, bold boolean, text string, name string").repartition(ID)
 
 
 ID = "accession_number"
