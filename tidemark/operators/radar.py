@@ -55,17 +55,6 @@ def realized(change_type: Column, is_realized: Column) -> Column:
     return (change_type == "added") & F.coalesce(is_realized, F.lit(False))
 
 
-def evidence(changes: DataFrame, verdicts: DataFrame, specificity: DataFrame, realizations: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every material change with its texts, verdict, specificity and realization; the latest of each kind come first, then plain left joins."""
-    s = latest_specificity(specificity).select(*CHANGE, "is_specific", "matched_theme")
-    r = latest_all(realizations, CHANGE, "judged_at").select(*CHANGE, "is_realized", "realizing_accession", "evidence")
-    v = latest_verdicts(verdicts).where("is_material").select(*CHANGE, "category", "direction", "explanation", "confidence")
-    text = lambda side, acc: blocks.select(F.col("accession_number").alias(acc), "section", F.col("block_index").alias(f"{side}_block_index"), F.col("block_text").alias(f"{side}_text"))
-    out = changes.join(v, CHANGE).join(s, CHANGE, "left").join(r, CHANGE, "left")
-    out = out.join(text("current", "accession_number"), ["accession_number", "section", "current_block_index"], "left").join(text("prior", "prior_accession_number"), ["prior_accession_number", "section", "prior_block_index"], "left")
-    return out.withColumns({"bucket": bucket(F.col("is_specific"), F.col("direction"), F.col("change_type")), "realized": realized(F.col("change_type"), F.col("is_realized"))})
-
-
 def synthesis_counts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """material, worse, eased and neutral counts of each filing's section."""
     d = F.col("direction")
