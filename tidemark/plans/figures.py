@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import net
 from tidemark.functions.dates import business_days_between
 from tidemark.operators import current, insider, ops, radar
 from tidemark.plans.registry import ASOF, query, table
+from tidemark.streaming import visits
 
 
 def _trades(spark, d):
@@ -203,3 +205,29 @@ def bar_heights(spark, d):
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 3")
 def top_n_per_key(spark, d):
     return current.first_n(table(spark, d, "events"), ["user_id"], 3, F.desc("value"), F.col("event_id")).select("user_id", "event_id")
+
+
+@query("""WITH r AS (SELECT event_id, ts, CASE event_type WHEN 'view' THEN '/' WHEN 'click' THEN '/companies/' || user_id WHEN 'purchase' THEN '/ops/' ELSE '/filings/x' END AS path, CASE WHEN event_id % 2 = 0 THEN '10.0.0.' || user_id % 256 WHEN event_id % 5 = 0 THEN '' ELSE '10.1.0.5' END AS ip,
+    CASE event_id % 4 WHEN 0 THEN 'Mozilla/5.0' WHEN 1 THEN 'Googlebot' WHEN 2 THEN 'curl/8' ELSE '' END AS agent, event_id % 2 = 0 AND user_id % 256 BETWEEN 64 AND 127 AS dc FROM events WHERE event_id % 10 <> 0 AND event_type <> 'purchase')
+    SELECT path, CASE WHEN event_id % 3 = 1 THEN 'Host.example:8080' ELSE '' END AS referrer_host, CASE WHEN agent = 'Googlebot' THEN 'crawler' WHEN agent = 'Mozilla/5.0' AND NOT dc THEN 'human' ELSE 'automated' END AS client_kind,
+    CASE ip WHEN '' THEN '' ELSE substring(sha256('salt|' || strftime(ts, '%Y-%m-%d') || '|' || ip || '|' || agent), 1, 16) END AS visitor_day_hash, date_trunc('second', ts) AS viewed_at FROM r""")
+def page_view_log(spark, d):
+    """Events as requests: other methods and pages that don't count are left out, addresses come from the proxy or the peer."""
+    k, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    requests = table(spark, d, "events").select(
+        F.when(k % 10 == 0, "POST").otherwise("GET").alias("method"), F.when(kind == "view", "/").when(kind == "click", F.concat(F.lit("/companies/"), u.cast("string"))).when(kind == "purchase", "/ops/").otherwise("/filings/x").alias("path"),
+        F.when(k % 3 == 1, "https://u:p@Host.example:8080/a?b=c").when(k % 3 == 2, "not a url").alias("referrer"), F.when(k % 2 == 0, F.format_string(" 10.0.0.%d , 9.9.9.9", u % 256)).otherwise("").alias("forwarded"),
+        F.when(k % 5 != 0, "10.1.0.5:443").alias("remote"), F.when(k % 4 == 0, "Mozilla/5.0").when(k % 4 == 1, "Googlebot").when(k % 4 == 2, "curl/8").alias("agent"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    return visits.viewed(requests, ["10.0.0.64/26"], "salt")
+
+
+_NULLABLE = "(SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS p FROM orders)"
+
+
+@query(f"""SELECT o_custkey, o_orderkey, r, s FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p ASC NULLS FIRST, o_orderkey) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY p DESC NULLS LAST, o_orderkey) AS s FROM {_NULLABLE}) WHERE r <= 2 OR s <= 2""")
+def null_order(spark, d):
+    """Nulls are smaller than any value: first when rising, last when falling."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("p"))
+    ranks = {"r": (F.asc("p"), F.col("o_orderkey")), "s": (F.desc("p"), F.col("o_orderkey"))}
+    return rows.withColumns({name: F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)) for name, order in ranks.items()}).where("r <= 2 or s <= 2").select("o_custkey", "o_orderkey", "r", "s")
