@@ -49,6 +49,17 @@ def test_more_sources_than_a_thousand_and_no_rows(spark):
         mixing.mix(docs, {"s1": 0.0})
 
 
+def test_sources_too_many_to_broadcast_are_mixed_alike(spark, monkeypatch):
+    rows = [(i, "hot" if i % 3 else f"s{i % 40}") for i in range(600)] + [(None, None), (7, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    weights = mixing.root_weights(docs)
+    key = lambda r: tuple((x is None, x) for x in r)
+    found = lambda: sorted((tuple(r) for r in mixing.mix(docs, weights).select("doc_id", "source", "slot", "place").collect()), key=key)
+    near = found()
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert found() == near
+
+
 def test_ranges_of_slots_give_the_same_schedule():
     """Every start: the state worked out from the weights is that of the schedule from the first slot on, also after sources have run out."""
     import numpy as np

@@ -17,6 +17,9 @@ from tidemark.llm.common import materialize
 #: Ranges of the order's hash that are numbered on their own; their totals are summed up in the second pass.
 BUCKETS = 4096
 
+#: Characters of all named sources up to which they are broadcast; more are joined by an exchange, where adaptive execution splits a hot source.
+MOST_BROADCAST = 4 << 20
+
 
 def parts(weights: dict) -> dict:
     """Whole numbers in exactly the weights' proportions."""
@@ -134,7 +137,9 @@ def _mixed(rows: DataFrame, weights: dict[str | None, float], block: int, other:
     spark = rows.sparkSession
     part = parts({**{s: weights[s] for s in weights if s is not None}, None: weights.get(None, other)})
     named = spark.createDataFrame([(s,) for s in part if s is not None], "p string")
-    rows = rows.join(F.broadcast(named), rows["source"] == named["p"], "left").withColumnRenamed("p", "pool")
+    if sum(len(s or "") + 16 for s in part) <= MOST_BROADCAST:
+        named = F.broadcast(named)
+    rows = rows.join(named, rows["source"] == named["p"], "left").withColumnRenamed("p", "pool")
     # rows without an id are spread over all ranges; they are written with their number, so it stays as it is
     rows = rows.withColumn("h", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("tie", F.monotonically_increasing_id())))
     rows = rows.withColumn("_bucket", F.shiftrightunsigned("h", 52).cast("int"))
