@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 from tidemark.functions import dates, net, text
-from tidemark.operators import gap, jobs, ops, reduce
+from tidemark.operators import gap, jobs, ops, records, reduce
 
 DAY = dt.date
 
@@ -57,3 +57,19 @@ def test_arms_are_summed_up(spark):
     )
     got = reduce.compared_summary(rows, "filing").first()
     assert (got["filings"], got["comparable_units"], got["label_changed"], got["label_changed_pct"], got["material_changed"], got["mean_delta"]) == (2, 2, 1, 50.0, 1, 0.15)
+
+
+def test_small_views(spark):
+    t = lambda day: f"2024-01-0{day} 00:00:00"
+    c = spark.createDataFrame([("a", 1, t(1)), ("a", 2, t(1)), ("b", 3, t(2)), ("a", 4, t(3))], "accession_number string, id int, classified_at string")
+    assert [r["id"] for r in jobs.all_newest_first(c).collect()] == [4, 2, 1, 3]
+    filings = spark.createDataFrame([("a", "2024-01-01", "x", ["EX-99.1"]), ("b", "2024-01-02", "", []), ("c", "2024-01-03", None, None)], "accession_number string, filing_date string, body_text string, exhibits array<string>")
+    assert [r[0] for r in jobs.classified_accessions(c, filings).collect()] == ["b", "a"]
+    assert sorted(r[0] for r in jobs.with_body(filings).select("accession_number").collect()) == ["a", "b"] and [r[0] for r in jobs.exhibit_bearing(filings).collect()] == ["a"]
+    events = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("a", 2, "too"), ("b", 1, "own")], "accession_number string, run_id int, name string")
+    assert sorted(r["name"] for r in jobs.current_events(events).collect()) == ["new", "own", "too"]
+    keys = "accession_number string, section string, model_id string, change_seq int"
+    said = spark.createDataFrame([("a", "s", "m", 1, False, t(1)), ("a", "s", "m", 1, True, t(2)), ("a", "s", "m", 2, True, t(1)), ("b", "s", "m", 1, True, t(1)), ("b", "s", "m", 1, False, t(2))], f"{keys}, is_specific boolean, classified_at string")
+    counts = jobs.specific_counts(filings.select("accession_number"), said, ["accession_number"])
+    assert sorted(tuple(r) for r in counts.collect()) == [("a", 2), ("b", 0), ("c", 0)]
+    assert one(spark, records.theme_line(F.lit("trade"), F.lit("tariffs rise"))) == "- trade: tariffs rise"
