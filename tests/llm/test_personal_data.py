@@ -60,6 +60,25 @@ def model(spark):
     return personal_data.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
 
 
+def test_training_counts_every_span(spark):
+    """More spans than the 20,000 that training read once: each counts, and the last of them by hash decide what is learned of their kind."""
+    texts = [f"call +1 (438) 555-{i:04d} now" for i in range(10_000)] + [f"ip {i // 250}.{i % 250}.1.2 of" for i in range(2_000)]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    spans_ = personal_data.proposals(df).cache()
+    rows = personal_data.alike(spans_).collect()
+    assert sum(r["n"] for r in rows) == spans_.count() > 20_000 and len(rows) < 1_000
+    assert sum(r["n"] for r in rows if r["held"]) == spans_.where("pmod(h, 5) = 0").count()
+    seen = []
+    fit = personal_data.GBTClassifier.fit
+    try:
+        personal_data.GBTClassifier.fit = lambda self, data, *a: (seen.append(data.agg({"n": "sum"}).first()[0]), fit(self, data, *a))[1]
+        assert personal_data.train(df) is not None
+    finally:
+        personal_data.GBTClassifier.fit = fit
+    assert seen == [spans_.where("pmod(h, 5) <> 0").count()]
+    spans_.unpersist()
+
+
 def spans(spark, model, texts):
     rows = personal_data.spans_of(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA), model).collect()
     return {r["doc_id"]: [(KINDS[x["kind"]], x["start"], x["end"], x["score"] == 2.0) for x in r["spans"]] for r in rows}

@@ -6,7 +6,8 @@ trees score each by its form and its surroundings. No table says which spans are
 taken alone, without seeing the check itself (the checksum of a card, say). A kind's threshold is the least at which PRECISION of the held-out spans are right.
 
 Spans are places in code points. Everything is a projection of a row, without a shuffle: positions come from the lengths of what a pattern splits and finds, summed in blocks, so the
-time is linear in the text and nearly so in the number of spans. Trees are written as CASE expressions; only the training sample is gathered, its size a parameter.
+time is linear in the text and nearly so in the number of spans. Trees are written as CASE expressions. They and the thresholds are learned from every proposed span of every text: spans
+that are alike in all features and in what is said of them become one row with their number as its weight, which is all that is shuffled and kept for training.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ GENERATORS = {
 }
 #: Words before a number or an address that say what it is.
 HINTS = {"email": "mail|contact|kontakt|correo|courriel", "ip": "ip|host|server|address|adresse", "card": "card|visa|iban|karte|carte|tarjeta|account|konto", "phone": "tel|phone|call|fax|mobil|whatsapp|handy|portable"}
-#: Most proposed spans that training reads, the smallest by hash; share of right ones among the held-out spans over a threshold; held-out spans needed for one.
-MAX_TRAIN_SPANS, PRECISION, LEAST_HELD = 20_000, 0.9, 20
+#: Share of right ones among the held-out spans over a threshold; held-out spans needed for one; spans that each side of a split has at least; most values of a feature that are told apart
+#: (features are small whole numbers: none has as many).
+PRECISION, LEAST_HELD, LEAST_SIDE, MAX_VALUES = 0.9, 20, 3, 1024
 FEATURES = ("kind", "length", "digits", "letters", "spaces", "dots", "hyphens", "groups", "longest", "plus", "brackets", "ats", "before", "after", "first", "different", "last_part", "hint", "hint_other")
 _BLOCK = 256
 #: Spans by start, so far on either side of one, hold all that overlap it: proposed spans are at most 260 characters, others of a kind don't overlap, and none is under 5.
@@ -121,7 +123,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 def proposals(docs: DataFrame) -> DataFrame:
     """Every span that the generators propose in the whole texts, and each without its first or last part (so that a kind of which all proposals are right has wrong ones too),
-    with features, label (the base's opinion of the span alone) and a hash that orders them."""
+    with features, label (the base's opinion of the span alone) and a hash that says which are held out."""
     rows = with_matches(texts_of(docs), "t", GENERATORS, "c_")
     part = "[0-9A-Za-z]{1,4}"
     cuts = lambda s: F.array(s, F.regexp_extract(s, rf"^(.*?)[^0-9A-Za-z]*{part}$", 1), F.regexp_extract(s, rf"^[^0-9A-Za-z]*{part}[^0-9A-Za-z]*(.*)$", 1))
@@ -141,15 +143,21 @@ def as_column(node, value) -> Column:
     return F.when(value(node.split().featureIndex()) <= float(node.split().threshold()), as_column(node.leftChild(), value)).otherwise(as_column(node.rightChild(), value))
 
 
-def train(docs: DataFrame, max_spans: int = MAX_TRAIN_SPANS):
-    """(score of a struct of features, threshold of each kind) from at most max_spans proposed spans, a fifth of them held out for the thresholds; None without both labels."""
-    sample = proposals(docs).orderBy("h", "label", *FEATURES).limit(max_spans).withColumn("held", F.pmod("h", F.lit(5)) == 0).cache()
-    own = sample.where("not held")
+def alike(spans: DataFrame) -> DataFrame:
+    """Proposed spans by features, label and whether they are held out (a fifth, by hash): n, how many they are."""
+    return spans.withColumn("held", F.pmod("h", F.lit(5)) == 0).groupBy(*FEATURES, "label", "held").agg(F.count("*").cast("double").alias("n"))
+
+
+def train(docs: DataFrame):
+    """(score of a struct of features, threshold of each kind) from all proposed spans, a fifth of them held out for the thresholds; None without both labels."""
+    rows = alike(proposals(docs)).sortWithinPartitions(*FEATURES, "label").cache()
+    own = rows.where("not held")
     if own.select("label").distinct().count() < 2:
-        sample.unpersist()
+        rows.unpersist()
         return None
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own.coalesce(1)).select("features", "label")
-    model = GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, seed=1, maxBins=32, minInstancesPerNode=3).fit(rows)
+    least = min(0.49, (LEAST_SIDE - 0.5) / own.agg(F.sum("n")).first()[0])  # as a share of the spans, since a row stands for many
+    gbt = GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, seed=1, maxBins=MAX_VALUES, minInstancesPerNode=1, minWeightFractionPerNode=least, weightCol="n")
+    model = gbt.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own).select("features", "label", "n"))
     roots = [(float(w), t._java_obj.rootNode()) for w, t in zip(model.treeWeights, model.trees)]
 
     def score(f: Column) -> Column:
@@ -158,11 +166,11 @@ def train(docs: DataFrame, max_spans: int = MAX_TRAIN_SPANS):
             margin = margin + F.lit(weight) * as_column(root, lambda i: f[FEATURES[i]])
         return 1 / (1 + F.exp(-2 * margin))
 
-    held = sample.where("held").select("kind", "label", score(F.struct(*FEATURES)).alias("score"))
-    steps = held.select("kind", "label", "score", F.explode(F.transform(F.sequence(F.lit(1), F.lit(19)), lambda i: i / 20)).alias("step")).where("score >= step")
-    right = steps.groupBy("kind", "step").agg(F.avg("label").alias("right"), F.count("*").alias("n")).where((F.col("right") >= PRECISION) & (F.col("n") >= LEAST_HELD))
+    held = rows.where("held").select("kind", "label", "n", score(F.struct(*FEATURES)).alias("score"))
+    steps = held.select("kind", "label", "n", "score", F.explode(F.transform(F.sequence(F.lit(1), F.lit(19)), lambda i: i / 20)).alias("step")).where("score >= step")
+    right = steps.groupBy("kind", "step").agg((F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("right"), F.sum("n").alias("n")).where((F.col("right") >= PRECISION) & (F.col("n") >= LEAST_HELD))
     found = {KINDS[int(r["kind"])]: r["least"] for r in right.groupBy("kind").agg(F.min("step").alias("least")).collect()}  # a row a kind
-    sample.unpersist()
+    rows.unpersist()
     return score, {k: found.get(k, 0.95) for k in KINDS}
 
 
