@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 from pyspark.sql import functions as F
 from tidemark.sources import listings, ownership, pages, risks
@@ -177,3 +178,17 @@ def test_blocks_as_rows(spark):
     got = risks.risk_blocks(spark.createDataFrame([("a", report()), ("b", None), ("c", "<p>")], "accession_number string, html string"))
     assert [(r["accession_number"], r["block_index"]) for r in got.orderBy("block_index").collect()] == [("a", i) for i in range(5)]
     assert risks.risk_blocks(spark.createDataFrame([], "accession_number string, html string")).count() == 0
+
+
+def test_markup_is_read_once_and_nothing_is_shuffled(spark):
+    plan = risks.risk_blocks(spark.createDataFrame([("a", report())], "accession_number string, html string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Window" not in plan
+
+
+def test_reports_of_many_pieces(spark):
+    """Beginnings, ends and runs by the tens of thousands, over many blocks of sums: only the longest stretch counts, in seconds."""
+    many = "".join(f"<p>Item 1A. Risk Factors</p><p>x</p><b>y{i}</b><p>Item 2. Other</p>" for i in range(20_000))
+    began = time.time()
+    found = blocks(spark, many=many + report() + many, plain=report())
+    assert time.time() - began < 120
+    assert [h for *_, h in found["many"]] == [h for *_, h in found["plain"]] and len(found["plain"]) == 5

@@ -108,7 +108,7 @@ def raw_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     'Risk number ' || i || ' of ' || c_name || ' is stated here. ' || trim(repeat('Trade of ' || c_name || ' may fall. ', 25)) AS block_text FROM customer, (VALUES (0), (1), (2)) t(i) WHERE c_custkey % 4 <> 3""")
 def raw_risk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report for each customer, found by its bold heading, its item or its table of contents; those of a quarter lack the section's end."""
-    c = table(spark, sf_dir, "customer")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # reports are made from dealt keys and names, so that every core parses
     kind = F.col("c_custkey") % 4
     toc = F.when(kind == 2, '<a href="#rf">Risk Factors</a><a href="#end">Properties</a>').otherwise("")
     head = F.when(kind == 0, "<p><b>Item 1A. Risk Factors</b></p>").when(kind == 2, '<p id="rf">Where we may fail</p>').otherwise("<p>Item 1A. Risk Factors</p>")

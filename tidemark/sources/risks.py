@@ -1,20 +1,23 @@
 """Blocks of a report's risk factors: where the section lies, where its blocks begin, which are kept.
 
-Markup becomes a table of pieces: texts with their weight, named places and links, in the order of the document. All else is done on rows: neighbours of one weight are numbered by a
-running sum, marks of beginnings and ends are put in one order and each beginning looks ahead for the next end, headers number the blocks. The section is found by a bold heading,
-else by the words of its item, else by the links of the table of contents; it is split at bold headers, or by size where there are none. A document is one partition of
-the windows, so those over MOST_BYTES are left out.
+Markup becomes a list of pieces: texts with their weight, named places and links, in the order of the document. All else is done on lists, a report a row, so that nothing is shuffled and
+markup is read once: neighbours of one weight are cut out as slices, marks of beginnings and ends are put in one order of which only the turns count, headers are where blocks begin. The
+section is found by a bold heading, else by the words of its item, else by the links of the table of contents; it is split at bold headers, or by size where there are none. Time is
+linear in a report but for the sort of its marks; a report is held whole, so those over MOST_BYTES are left out.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import squeeze
+
 # Lengths in characters, weights that render bold, and patterns of headings (of lower-cased text).
 MIN_HEADER, MIN_BLOCK, MERGED_BLOCK, MIN_SECTION, MAX_SECTION = 25, 120, 1800, 1500, 400_000
 BOLD_TAGS = ("b", "strong", "h1", "h2", "h3", "h4")
@@ -66,92 +69,141 @@ class _Pieces(HTMLParser):
 
 
 def pieces(reports: DataFrame) -> DataFrame:
-    """accession_number, pos, kind (text, place or link), bold, text and name of the pieces of reports (accession_number, html)."""
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
-    names = ["accession_number", "pos", "kind", "bold", "text", "name"]
+    """accession_number and pieces of reports (accession_number, html): kind (text, place or link), bold, text, name and at, the characters of the texts before it with one more for each."""
+    size = 1 << 22
+    kinds = (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32())
+    names = ["kind", "bold", "text", "name", "at"]
+
+    def batch(found):
+        flat = [x for _, rows in found for x in rows]
+        ends = accumulate((len(rows) for _, rows in found), initial=0)
+        each = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*flat) if flat else [()] * 5, kinds)], names=names)
+        return pa.record_batch([pa.array([a for a, _ in found], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=[ID, "pieces"])
 
     def parse(batches):
+        found, held = [], 0
         for b in batches:
-            for accession, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for accession, html in zip(b.column(0), b.column(1)):
+                html = html.as_py()
                 document = _Pieces()
                 document.feed(html)
                 document.close()
-                rows = [(accession, i, *r) for i, r in enumerate(document.rows)]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
+                at = accumulate((len(r[2]) + 1 if r[0] == "text" else 0 for r in document.rows), initial=0)
+                found.append((accession.as_py(), [(*r, n) for r, n in zip(document.rows, at)]))
+                held += len(html)
+                if held >= size:
+                    yield batch(found)
+                    found, held = [], 0
+        if found:
+            yield batch(found)
 
-    own = reports.select(F.col("accession_number").cast("string"), F.col("html").cast("string")).where(F.octet_length("html") <= MOST_BYTES)
-    # dealt by document once, which all windows and groups below go by; Spark reuses the exchange, so that markup is read once for each set of columns
-    return own.mapInArrow(parse, "accession_number string, pos int, kind string, bold boolean, text string, name string").repartition(ID)
+    own = reports.select(F.col(ID).cast("string"), F.col("html").cast("string")).where(F.col(ID).isNotNull() & (F.octet_length("html") <= MOST_BYTES))
+    return own.mapInArrow(parse, f"{ID} string, pieces array<struct<kind: string, bold: boolean, text: string, name: string, at: int>>")
 
 
 ID = "accession_number"
+_BLOCK = 256
+
+
+def added(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with columns that are evaluated once: a generator's output isn't copied into what uses it, a list's expression isn't evaluated for each of another's elements."""
+    one = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return rows.select("*", F.explode(F.array(one)).alias("_new")).select("*", "_new.*").drop("_new")
+
 
+def numbers_where(items: str, holds) -> Column:
+    """Numbers (from 0) of a list's elements for which holds(element, number) is true."""
+    return F.filter(F.transform(items, lambda x, i: F.when(holds(x, i), i)), lambda i: i.isNotNull())
 
-def _before(*order: str) -> object:
-    return Window.partitionBy(ID).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
+def sliced(items: str, starts: str) -> Column:
+    """A list cut before each of the numbers ``starts``."""
+    return F.transform(starts, lambda s, k: F.slice(items, s + 1, F.coalesce(F.get(starts, k + 1), F.size(items)) - s))
 
-def runs(texts: DataFrame) -> DataFrame:
-    """Neighbouring texts of one weight as a row: run (its number), bold, text, first (the pos it begins at)."""
-    turn = F.col("bold") != F.lag("bold", 1, None).over(Window.partitionBy(ID).orderBy("pos"))
-    numbered = texts.withColumn("run", F.sum(F.coalesce(turn, F.lit(False)).cast("int")).over(Window.partitionBy(ID).orderBy("pos")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"])
-    return numbered.groupBy(ID, "run").agg(F.first("bold").alias("bold"), F.array_join(parts, " ").alias("text"), F.min("pos").alias("first"))
 
+def joined(parts: Column, sep: str = " ") -> Column:
+    return F.array_join(F.transform(parts, lambda x: x["text"]), sep)
 
-def found_at(texts: DataFrame, pattern: str) -> DataFrame:
-    """accession_number and at, the places (from 0) at which a pattern occurs in texts (accession_number, low)."""
+
+def with_runs(rows: DataFrame, texts: str, name: str) -> DataFrame:
+    """Adds neighbouring texts of one weight as one: a list of bold, text, at (that of its first)."""
+    rows = added(rows, _starts=numbers_where(texts, lambda x, i: (i == 0) | (x["bold"] != F.get(texts, i - 1)["bold"])))
+    run = F.transform(sliced(texts, "_starts"), lambda p: F.struct(F.get(p, F.lit(0))["bold"].alias("bold"), joined(p).alias("text"), F.get(p, F.lit(0))["at"].alias("at")))
+    return added(rows, **{name: run}).drop("_starts")
+
+
+def with_places(rows: DataFrame, name: str, pattern: str) -> DataFrame:
+    """Adds the places (from 0) at which a pattern occurs in ``low``: sums of what lies before, in blocks, so that time stays linear."""
     gaps = F.transform(F.split("low", pattern, -1), lambda g: F.length(g))
     hits = F.transform(F.regexp_extract_all("low", F.lit(pattern), F.lit(0)), lambda h: F.length(h))
-    each = texts.select(ID, F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("k", "x")).select(ID, "k", "x.gap", "x.hit")
-    return each.withColumn("at", F.coalesce(F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(_before("k")), F.lit(0)) + F.col("gap")).where("hit is not null").select(ID, "at")
+    zero, add = F.lit(0), lambda a, x: a + x
+    rows = added(rows, _gaps=gaps, _hits=hits)
+    rows = added(rows, _steps=F.transform("_hits", lambda h, i: h + F.get("_gaps", i)))
+    blocks = F.when(F.size("_steps") > 0, F.sequence(zero, F.floor((F.size("_steps") - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = added(rows, _sums=F.transform(blocks, lambda b: F.aggregate(F.slice("_steps", b * _BLOCK + 1, _BLOCK), zero, add)))
+    rows = added(rows, _before=F.aggregate("_sums", F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    at = F.transform("_steps", lambda _, i: F.get("_before", block(i)) + F.aggregate(F.slice("_steps", block(i) * _BLOCK + 1, i % _BLOCK), zero, add) + F.get("_gaps", i))
+    return added(rows, **{name: at}).drop("_gaps", "_hits", "_steps", "_sums", "_before")
 
 
-def longest(starts: DataFrame, ends: DataFrame, tier: int) -> DataFrame:
-    """accession_number, tier, lo and hi: of each document the longest stretch of MIN_SECTION or more from a beginning to the next end behind it, the first of equals."""
-    marks = starts.select(ID, "at", F.lit(1).alias("is_start")).unionByName(ends.select(ID, "at", F.lit(0).alias("is_start")))
-    ahead = F.first(F.when(F.col("is_start") == 0, F.col("at")), ignorenulls=True).over(Window.partitionBy(ID).orderBy("at", "is_start").rowsBetween(1, Window.unboundedFollowing))
-    spans = marks.withColumn("hi", ahead).where((F.col("is_start") == 1) & (F.col("hi") - F.col("at") >= MIN_SECTION))
-    return spans.groupBy(ID).agg(F.max(F.struct((F.col("hi") - F.col("at")).alias("size"), (-F.col("at")).alias("back"), "hi")).alias("m")).select(ID, F.lit(tier).alias("tier"), (-F.col("m.back")).alias("lo"), F.col("m.hi").alias("hi"))
+def with_longest(rows: DataFrame, name: str, starts: str, ends: str) -> DataFrame:
+    """Adds lo and hi of the longest stretch of MIN_SECTION or more from a beginning to the next end behind it, the first of equals; null without one.
 
-
-def linked(rows: DataFrame) -> DataFrame:
-    """accession_number, from_pos and to_pos (null: the end) of sections between the places to which the table of contents links: its first link to the risk factors and its next to what follows."""
-    links = rows.where("kind = 'link'").withColumn("low", F.lower("text"))
-    begins = links.where(F.col("low").rlike(f"^{START_HEADING}")).groupBy(ID).agg(F.min_by(F.struct("pos", "name"), "pos").alias("b"))
-    after = links.join(begins, ID).where(F.col("low").rlike(f"^{END_HEADING}") & (F.col("pos") > F.col("b.pos"))).groupBy(ID).agg(F.first("b.name").alias("begin"), F.min_by("name", "pos").alias("end"))
-    counted = rows.withColumn("texts", F.count_if(F.col("kind") == "text").over(Window.partitionBy(ID).orderBy("pos")))  # so that places without a text between them are one place
-    place = lambda c: counted.where("kind = 'place'").groupBy(ID, F.col("name").alias(c)).agg(F.min_by(F.struct("pos", "texts"), "pos").alias(f"{c}_at"))
-    both = after.join(place("begin"), [ID, "begin"]).join(place("end"), [ID, "end"])
-    return both.select(ID, F.col("begin_at.pos").alias("from_pos"), F.when(F.col("end_at.texts") > F.col("begin_at.texts"), F.col("end_at.pos")).alias("to_pos"))
+    In the order of all marks the first of several beginnings in a row gives the longest stretch, so that only the turns from one kind to the other are looked at.
+    """
+    mark = lambda c, kind: F.transform(c, lambda at: F.struct(at.alias("at"), F.lit(kind).alias("is_start")))
+    rows = added(rows, _marks=F.array_sort(F.concat(mark(starts, 1), mark(ends, 0))))
+    rows = added(rows, _turns=F.filter("_marks", lambda m, i: (i == 0) | (m["is_start"] != F.get("_marks", i - 1)["is_start"])))
+    spans = F.transform("_turns", lambda m, i: F.struct(m["is_start"].alias("is_start"), (F.get("_turns", i + 1)["at"] - m["at"]).alias("size"), (-m["at"]).alias("back"), F.get("_turns", i + 1)["at"].alias("hi")))
+    long = F.filter(spans, lambda s: (s["is_start"] == 1) & (s["size"] >= MIN_SECTION))
+    rows = added(rows, _best=F.array_max(long))
+    return rows.withColumn(name, F.when(F.col("_best").isNotNull(), F.struct((-F.col("_best.back")).alias("lo"), F.col("_best.hi").alias("hi")))).drop("_marks", "_turns", "_best")
+
+
+def with_linked(rows: DataFrame) -> DataFrame:
+    """Adds from_pos and to_pos (null: the end) of sections between the places to which the table of contents links: its first link to the risk factors and its next to what follows; null without."""
+    of = lambda kind: F.filter(F.transform("pieces", lambda p, i: F.struct(i.alias("pos"), p["kind"].alias("kind"), F.lower(p["text"]).alias("low"), p["name"].alias("name"))), lambda p: p["kind"] == kind)
+    rows = added(rows, _links=of("link"), _places=of("place"))
+    rows = added(rows, _b=F.get(F.filter("_links", lambda x: x["low"].rlike(f"^{START_HEADING}")), F.lit(0)))
+    rows = added(rows, _e=F.get(F.filter("_links", lambda x: (x["pos"] > F.col("_b.pos")) & x["low"].rlike(f"^{END_HEADING}")), F.lit(0)))
+    place = lambda c: F.get(F.filter("_places", lambda x: x["name"] == F.col(c)["name"]), F.lit(0))["pos"]
+    rows = added(rows, _from=place("_b"), _to=place("_e"))
+    texts = lambda c: F.size(F.filter(F.slice("pieces", 1, F.col(c)), lambda p: p["kind"] == "text"))  # noqa: E731  so that places without a text between them are one place
+    both = F.col("_from").isNotNull() & F.col("_to").isNotNull()
+    rows = added(rows, from_pos=F.when(both, F.col("_from")), to_pos=F.when(both & (texts("_to") > texts("_from")), F.col("_to")))
+    return rows.drop("_links", "_places", "_b", "_e", "_from", "_to")
 
 
 def sections(rows: DataFrame) -> DataFrame:
-    """accession_number, run, bold and text of the risk factors' runs, cut to the section; none where it isn't found."""
-    texts = rows.where("kind = 'text'")
-    placed = runs(texts)
-    placed = placed.withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(_before("run")), F.lit(0)))
-    low = placed.groupBy(ID).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda r: r["text"]), "\n")).alias("low"))
-    heading = lambda pattern: placed.where(F.col("bold") & F.lower("text").rlike(f"^{pattern}")).select(ID, "at")
-    ends = found_at(low, END_ITEM).unionByName(heading(END_HEADING))
-    spans = longest(heading(START_HEADING), ends, 1).unionByName(longest(found_at(low, START_ITEM), ends, 2))
-    spans = spans.groupBy(ID).agg(F.min_by(F.struct("lo", "hi"), "tier").alias("s")).select(ID, "s.*")
-    cut = F.trim(F.expr("substring(text, greatest(0, lo - at) + 1, greatest(0, hi - at) - greatest(0, lo - at))"))
-    by_words = placed.join(spans, ID).select(ID, "run", "bold", cut.alias("text")).where("text <> ''")
-    between = texts.join(linked(rows).join(spans, ID, "left_anti"), ID).where("pos >= from_pos and (to_pos is null or pos < to_pos)").select(texts.columns)
-    return by_words.unionByName(runs(between).select(ID, "run", "bold", "text"))
+    """accession_number and runs (bold, text) of the risk factors, cut to the section, from ``pieces``; none where it isn't found."""
+    rows = added(rows, _texts=F.filter("pieces", lambda p: p["kind"] == "text"))
+    rows = with_runs(rows, "_texts", "_runs").drop("_texts")
+    rows = added(rows, low=F.lower(joined(F.col("_runs"), "\n")))
+    heading = lambda pattern: F.transform(F.filter("_runs", lambda r: r["bold"] & F.lower(r["text"]).rlike(f"^{pattern}")), lambda r: r["at"])
+    rows = with_places(with_places(rows, "_item_ends", END_ITEM), "_items", START_ITEM).drop("low")
+    rows = added(rows, _headings=heading(START_HEADING), _ends=F.concat("_item_ends", heading(END_HEADING)))
+    rows = with_longest(with_longest(rows, "_s1", "_headings", "_ends"), "_s2", "_items", "_ends")
+    rows = with_linked(added(rows, _s=F.coalesce("_s1", "_s2"))).select(ID, "pieces", "_runs", "_s", "from_pos", "to_pos")
+    past = lambda c, r: F.greatest(F.lit(0), F.col("_s")[c] - r["at"])
+    cut = F.transform("_runs", lambda r: F.struct(r["bold"].alias("bold"), F.trim(F.substring(r["text"], past("lo", r) + 1, past("hi", r) - past("lo", r))).alias("text")))
+    between = F.filter("pieces", lambda p, i: (p["kind"] == "text") & (i >= F.col("from_pos")) & (F.col("to_pos").isNull() | (i < F.col("to_pos"))))
+    none = F.array().cast("array<struct<bold: boolean, text: string>>")
+    rows = added(rows, _words=F.when(F.col("_s").isNotNull(), F.filter(cut, lambda r: r["text"] != "")).otherwise(none), _between=F.when(F.col("_s").isNull() & F.col("from_pos").isNotNull(), between).otherwise(F.slice("pieces", 1, 0)))
+    rows = with_runs(rows.select(ID, "_words", "_between"), "_between", "_linked")
+    return rows.select(ID, F.concat("_words", F.transform("_linked", lambda r: F.struct(r["bold"].alias("bold"), r["text"].alias("text")))).alias("runs"))
 
 
 def by_size(lengths: Column) -> Column:
-    """Numbers of the blocks to which runs of these lengths go, when a block is closed at MERGED_BLOCK characters (with a space between runs)."""
-    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("out"))
+    """Numbers of the runs of these lengths with which blocks begin, when a block is closed at MERGED_BLOCK characters (with a space between runs)."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.array(F.lit(0)).alias("out"))
 
     def add(state, n):
         size = F.when(state["size"] > 0, state["size"] + 1 + n).otherwise(n)
         full = size >= MERGED_BLOCK
-        return F.struct((state["block"] + full.cast("int")).alias("block"), F.when(full, 0).otherwise(size).alias("size"), F.concat(state["out"], F.array(state["block"])).alias("out"))
+        return F.struct((state["i"] + 1).alias("i"), F.when(full, 0).otherwise(size).alias("size"), F.when(full, F.concat(state["out"], F.array(state["i"] + 1))).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(lengths, start, add, lambda state: state["out"])
+    return F.aggregate(lengths, start, add, lambda state: F.filter(state["out"], lambda k: k < state["i"]))
 
 
 def risk_blocks(reports: DataFrame) -> DataFrame:
@@ -160,16 +212,13 @@ def risk_blocks(reports: DataFrame) -> DataFrame:
     Blocks begin at bold runs of MIN_HEADER characters or more; with less than two of these, runs are put together by size. A report without the section, with too little or too much to be it,
     or of over MOST_BYTES has no rows; nor has one without html. Each accession number must come once.
     """
-    own = sections(pieces(reports)).withColumn("is_header", F.col("bold") & (F.length("text") >= MIN_HEADER))
-    whole = own.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("run", "text", "is_header"))).alias("r"), F.count_if("is_header").alias("headers"))
-    sized = by_size(F.transform("r", lambda x: F.length(x["text"])))
-    each = whole.withColumn("sized", F.when(F.col("headers") < 2, sized)).select(ID, "headers", "sized", F.posexplode("r").alias("k", "x"))
-    header = (F.col("headers") >= 2) & F.col("x.is_header")
-    number = F.when(F.col("headers") >= 2, F.sum(header.cast("int")).over(Window.partitionBy(ID).orderBy("k"))).otherwise(F.get("sized", F.col("k")))
-    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("x.text").alias("text")))), lambda p: p["text"])
-    blocks = each.withColumn("block", number).groupBy(ID, "block").agg(squeezed(F.max(F.when(header, F.col("x.text")))).alias("heading"), squeezed(F.array_join(parts, " ")).alias("block_text"))
-    kept = blocks.where(F.length("block_text") >= MIN_BLOCK)
-    every = Window.partitionBy(ID)
-    kept = kept.withColumn("total", F.sum(F.length("block_text")).over(every)).where(F.col("total").between(MIN_SECTION, MAX_SECTION))
-    return kept.select(ID, (F.row_number().over(every.orderBy("block")) - 1).cast("int").alias("block_index"), "heading", "block_text", F.sha2("block_text", 256).alias("block_hash"))
+    is_header = lambda r: r["bold"] & (F.length(r["text"]) >= MIN_HEADER)
+    rows = added(sections(pieces(reports)), _headers=numbers_where("runs", lambda r, i: is_header(r)))
+    split = F.size("_headers") >= 2
+    starts = F.when(split, F.when(F.get("_headers", F.lit(0)) > 0, F.concat(F.array(F.lit(0)), "_headers")).otherwise(F.col("_headers"))).otherwise(by_size(F.transform("runs", lambda r: F.length(r["text"]))))
+    rows = added(rows, _starts=starts, _split=split)
+    block = lambda p: F.struct(squeeze(F.when(F.col("_split") & is_header(F.get(p, F.lit(0))), F.get(p, F.lit(0))["text"])).alias("heading"), squeeze(joined(p)).alias("block_text"))
+    rows = added(rows, _blocks=F.filter(F.transform(sliced("runs", "_starts"), block), lambda b: F.length(b["block_text"]) >= MIN_BLOCK)).select(ID, "_blocks")
+    total = F.aggregate("_blocks", F.lit(0), lambda n, b: n + F.length(b["block_text"]))
+    each = rows.where(total.between(MIN_SECTION, MAX_SECTION)).select(ID, F.posexplode("_blocks").alias("block_index", "b"))
+    return each.select(ID, "block_index", "b.heading", "b.block_text", F.sha2("b.block_text", 256).alias("block_hash"))
