@@ -41,8 +41,8 @@ def share(raw: Column, name: str) -> Column:
 
 def listed(raw: Column, name: str, element: str) -> Column:
     """A list of records as JSON texts; empty for what isn't a list."""
-    text = field(raw, name)
-    return F.coalesce(F.when(text.startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
+    parts = lambda text: F.coalesce(F.when(text.startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
+    return F.transform(F.array(field(raw, name)), parts)[0]  # the field is taken out once
 
 
 def verdict(raw: Column, categories: tuple[str, ...]) -> Column:
@@ -78,9 +78,16 @@ def catalog(raw: Column) -> Column:
 
 
 def specificity(raw: Column) -> Column:
-    """Verdicts (change_index, 0 if it can't be read; is_specific; matched_theme, null if empty; confidence; explanation) as a list."""
-    one = lambda x: F.struct(whole(x, "change_index", 0).alias("change_index"), flag(x, "is_specific").alias("is_specific"), F.nullif(slug(F.coalesce(field(x, "matched_theme"), F.lit(""))), F.lit("")).alias("matched_theme"), share(x, "confidence").alias("confidence"), F.coalesce(field(x, "explanation"), F.lit("")).alias("explanation"))
-    return F.transform(listed(raw, "verdicts", ""), one)
+    """Verdicts (change_index, 0 if it can't be read; is_specific; matched_theme, null if empty; confidence; explanation) as a list.
+
+    Each field is taken out of a verdict's text once, each number read once: Spark evaluates what a lambda repeats as often as it stands there.
+    """
+    text = lambda x, n: F.coalesce(field(x, n), F.lit(""))
+    cut = lambda x: F.struct(field(x, "change_index").try_cast("double").alias("n"), flag(x, "is_specific").alias("is_specific"), slug(text(x, "matched_theme")).alias("theme"), field(x, "confidence").try_cast("double").alias("sure"), text(x, "explanation").alias("explanation"))
+    index = lambda n: F.coalesce(F.when(~F.isnan(n) & (F.abs(n) < 2**31), n.cast("int")), F.lit(0))  # noqa: E731  truth values aren't numbers
+    sure = lambda n: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.when(~F.isnan(n), n), F.lit(0.5))))
+    one = lambda x: F.struct(index(x["n"]).alias("change_index"), x["is_specific"].alias("is_specific"), F.nullif(x["theme"], F.lit("")).alias("matched_theme"), sure(x["sure"]).alias("confidence"), x["explanation"].alias("explanation"))
+    return F.transform(F.transform(listed(raw, "verdicts", ""), cut), one)
 
 
 def realization(raw: Column) -> Column:
