@@ -5,6 +5,7 @@ import json
 import time
 
 from pyspark.sql import functions as F
+from tidemark.plans import raw
 from tidemark.sources import listings, ownership, pages, risks
 
 INDEX = """Description:           Master Index
@@ -192,3 +193,22 @@ def test_reports_of_many_pieces(spark):
     found = blocks(spark, many=many + report() + many, plain=report())
     assert time.time() - began < 120
     assert [h for *_, h in found["many"]] == [h for *_, h in found["plain"]] and len(found["plain"]) == 5
+
+
+def test_ownership_blocks_are_cut_by_places(spark):
+    """As the pattern cuts them, without walking every character by it."""
+    a, b = "<ownershipDocument>", "</ownershipDocument>"
+    texts = [None, "", "x", a, b, b + a, f"h{a}é 1{b}t", f"{a}1{a}2{b}3{b}", f"{b}{a}1{b}{a}2{b}", f"{a}{b}", f"\n{a}\n{b}\n", f"{a}1", "<ownershipDocument >1" + b]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select(ownership.ownership_xml(F.col("text")).alias("cut"), F.nullif(F.regexp_extract("text", f"(?s){a}.*?{b}", 0), F.lit("")).alias("pattern")).collect()
+    assert [r["cut"] for r in got] == [r["pattern"] for r in got] and sum(r["cut"] is not None for r in got) == 5
+    assert "regexp_extract" not in rows.select(ownership.ownership_xml(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ownership_markup_is_made_after_the_shuffle(spark, tmp_path):
+    lines = spark.createDataFrame([(1, 1, 2.0, 3.0), (1, 2, 5.0, 7.0), (1, 3, None, 1.0), (2, 1, 4.0, None)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = raw.raw_ownership(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in out.collect()) == [("1", "0000000001", 3, 7.0, 6.0), ("2", "0000000002", 1, 4.0, None)]
+    made = [x for x in out._jdf.queryExecution().sparkPlan().toString().split("\n") if "partial_collect_list" in x]
+    assert made and "<nonDerivativeTransaction>" not in "".join(made)

@@ -66,12 +66,12 @@ def raw_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def raw_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ownership document for each order; the second line's price isn't a number."""
-    line = F.format_string(
-        "<nonDerivativeTransaction><transactionAmounts><transactionShares><value>%s</value></transactionShares><transactionPricePerShare><value>%s</value></transactionPricePerShare></transactionAmounts></nonDerivativeTransaction>",
-        F.col("l_quantity").cast("string"), F.when(F.col("l_linenumber") == 2, "n/a").otherwise(F.col("l_extendedprice").cast("string")),
-    )
-    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "").alias("lines"))
-    text = F.format_string("head <ownershipDocument><issuer><issuerCik>1</issuerCik></issuer><reportingOwner><reportingOwnerId><rptOwnerCik>%d</rptOwnerCik></reportingOwnerId></reportingOwner><nonDerivativeTable>%s</nonDerivativeTable></ownershipDocument>", "l_orderkey", "lines")
+    written = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
+    numbers = F.struct(written("l_quantity").alias("shares"), F.when(F.col("l_linenumber") == 2, "n/a").otherwise(written("l_extendedprice")).alias("price"))
+    line = lambda x: F.concat(F.lit("<nonDerivativeTransaction><transactionAmounts><transactionShares><value>"), x["shares"], F.lit("</value></transactionShares><transactionPricePerShare><value>"), x["price"], F.lit("</value></transactionPricePerShare></transactionAmounts></nonDerivativeTransaction>"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(numbers).alias("lines"))  # numbers are shuffled, markup is made where it is parsed
+    head = F.concat(F.lit("head <ownershipDocument><issuer><issuerCik>1</issuerCik></issuer><reportingOwner><reportingOwnerId><rptOwnerCik>"), F.col("l_orderkey").cast("string"), F.lit("</rptOwnerCik></reportingOwnerId></reportingOwner><nonDerivativeTable>"))
+    text = F.concat(head, F.array_join(F.transform("lines", line), ""), F.lit("</nonDerivativeTable></ownershipDocument>"))
     parsed = ownership.parsed(orders.select(F.col("l_orderkey").cast("string").alias("accession_number"), text.alias("text")))
     return ownership.transactions(parsed).groupBy("accession_number", "owner_cik").agg(F.count("*").alias("n"), F.sum("shares").alias("shares"), F.sum("transaction_value").alias("total"))
 

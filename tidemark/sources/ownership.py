@@ -32,7 +32,10 @@ SCHEMA = (
 
 def ownership_xml(text: Column) -> Column:
     """The block from the opening to the closing tag; null where a submission has none."""
-    return F.nullif(F.regexp_extract(text, r"(?s)<ownershipDocument>.*?</ownershipDocument>", 0), F.lit(""))
+    opening, closing = "<ownershipDocument>", "</ownershipDocument>"
+    tail = F.substring(text, F.locate(opening, text), F.length(text))  # by places, as a pattern walks every character
+    end = F.locate(closing, tail)
+    return F.when(F.contains(text, F.lit(opening)) & (end > 0), F.substring(tail, F.lit(1), end + len(closing) - 1))
 
 
 def value(raw: Column) -> Column:
