@@ -33,9 +33,9 @@ SCHEMA = (
 def ownership_xml(text: Column) -> Column:
     """The block from the opening to the closing tag; null where a submission has none."""
     opening, closing = "<ownershipDocument>", "</ownershipDocument>"
-    tail = F.substring(text, F.locate(opening, text), F.length(text))  # by places, as a pattern walks every character
-    end = F.locate(closing, tail)
-    return F.when(F.contains(text, F.lit(opening)) & (end > 0), F.substring(tail, F.lit(1), end + len(closing) - 1))
+    tail = F.substring(text, F.locate(opening, text), F.lit(2**31 - 1))  # by places, as a pattern walks every character
+    cut = lambda t: F.when(F.contains(text, F.lit(opening)) & F.contains(t, F.lit(closing)), F.concat(F.substring_index(t, closing, 1), F.lit(closing)))
+    return F.transform(F.array(tail), cut)[0]  # so that the tail is made once
 
 
 def value(raw: Column) -> Column:
