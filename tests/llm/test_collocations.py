@@ -91,3 +91,33 @@ def test_colliding_hashes_take_another_seed(spark, small, monkeypatch):
     words, seed = collocations.dictionary(collocations.shards(spark.createDataFrame(rows, SCHEMA)))
     assert seed == 1
     assert got(spark, rows) == plain(rows) != []
+
+
+def test_filters_do_not_pass_the_driver(spark, small, monkeypatch):
+    """The driver gets a row at most at a time and broadcasts nothing, whether filters have one part or many."""
+
+    def few(df, collect=type(spark.range(0)).collect):
+        assert len(rows := collect(df)) <= 1
+        return rows
+
+    def refused(*_, **__):
+        raise AssertionError("passes the driver")
+
+    rows = drawn(4, 150)
+    for part in (1 << 20, 1 << 10):
+        with monkeypatch.context() as m:
+            m.setattr(collocations, "PART", part)
+            m.setattr(type(spark.range(0)), "collect", few)
+            m.setattr(type(spark.range(0)), "toPandas", refused)
+            m.setattr(type(spark.sparkContext), "broadcast", refused)
+            found = mine(spark.createDataFrame(rows, SCHEMA))
+        assert sorted(tuple(r) for r in found.collect()) == plain(rows) != []
+
+
+def test_filter_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "PART", 1 << 12)
+    keys = spark.range(20_000).selectExpr("xxhash64(id) AS key")
+    made = collocations.Bloom(collocations.bloom(keys))
+    known = np.array([r["key"] for r in keys.collect()]).view(np.uint64)
+    assert len(made.bits) * 8 == 1 << 19 and made.has(known).all() and made.has(collocations.mix(known)).mean() < 0.02
+    assert not collocations.Bloom(collocations.bloom(keys.where("key is null"))).bits.any()

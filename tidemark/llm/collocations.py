@@ -5,23 +5,26 @@ don't touch. A bitmap is kept as its non-empty blocks of 32 positions. A phrase
 same blocks; the popcounts are the counts of the longer phrases. Extension is depth-first over batches of first words, and counts of a phrase are summed over shards.
 
 Words are counted before pairs, and pairs by a 64-bit key before the phrases themselves: an extension needs all its parts to be frequent, which Bloom filters of bounded size tell
-the tasks. A wrong yes of a filter, or of two pairs with one key, costs a row and changes nothing, as the sums over shards decide. In the tables between, words are named by a 64-bit hash, under a seed for which no two words of a language share one (looked up).
+the tasks. Tasks make a filter's parts and write them into the shared folder, from where executors fetch them, so that the driver holds their names alone. A wrong yes of a filter, or of two pairs with one key, costs a row and changes nothing, as the sums over shards decide. In the tables between, words are named by a 64-bit hash, under a seed for which no two words of a language share one (looked up).
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import parquet
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, materialize, mix, trim
 
-#: Words in a shard, about; positions in a block; entries that a step of the extension unfolds at once; words whose pairs are summed in one group; the largest Bloom filter, in bits.
-SHARD, BITS, AT_ONCE, RANGE, MOST_BLOOM = 1 << 18, 32, 1 << 18, 1 << 18, 1 << 28
+#: Words in a shard, about; positions in a block; entries that a step of the extension unfolds at once; words whose pairs are summed in one group; the largest Bloom filter, and a part of one, in bits.
+SHARD, BITS, AT_ONCE, RANGE, MOST_BLOOM, PART = 1 << 18, 32, 1 << 18, 1 << 18, 1 << 28, 1 << 20
 _BREAK = b"\xff"  # a byte that no UTF-8 text holds
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _BREAK * 10 + b" ")
 
@@ -88,11 +91,28 @@ def parts_of(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
     yield text[start:]
 
 
+class Filter(NamedTuple):
+    """A Bloom filter of ``size`` bits, in parts of ``part`` bits, in files that executors have by these names."""
+
+    size: int
+    part: int
+    files: list[str]
+
+    def bits(self) -> np.ndarray:
+        out = np.zeros((self.size // self.part, self.part // 8), np.uint8)  # a part without keys has no row
+        for name in self.files:
+            for batch in parquet.ParquetFile(SparkFiles.get(name)).iter_batches(16):
+                for k, own in zip(batch["part"].to_pylist(), batch["bits"]):
+                    out[k] = np.frombuffer(own.as_buffer(), np.uint8)
+        return out.reshape(-1)
+
+
 class Bloom:
     """A filter of 64-bit keys: no for what isn't there, yes for all that is and for few others."""
 
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+    def __init__(self, bits: Filter | np.ndarray) -> None:
+        self.bits = bits.bits() if isinstance(bits, Filter) else bits
+        self.mask = np.uint64(len(self.bits) * 8 - 1)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
@@ -110,24 +130,35 @@ def key_of(*hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """Bits of a filter of 64-bit keys (column key): 16 bits a key up to MOST_BLOOM in all. Tasks give 64-bit words of it, which are put together before the driver gets them."""
+def slices(x: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of x from each place to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((np.append(begin, len(x)) * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
+def bloom(keys: DataFrame) -> Filter:
+    """A filter of 64-bit keys (column key): 16 bits a key up to MOST_BLOOM in all. Its parts are made by tasks, and executors fetch them from the shared folder: nothing of them passes the driver."""
     n = keys.count()
     size = min(MOST_BLOOM, max(1 << 16, 1 << (max(1, 16 * n) - 1).bit_length()))
+    own = min(size, PART)
 
     def place(batches):
         for b in batches:
-            own = b["key"].to_numpy().view(np.uint64)
-            at = np.concatenate([mix(own + np.uint64(k)) & np.uint64(size - 1) for k in range(2)])
-            word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
-            bits = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+            key = b["key"].to_numpy().view(np.uint64)
+            at = np.sort(np.concatenate([mix(key + np.uint64(k)) & np.uint64(size - 1) for k in range(2)]))
+            part, begin = np.unique(at // np.uint64(own), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), slices((at % np.uint64(own)).astype("<u4"), begin)], names=["part", "at"])
+
+    def join(t: pa.Table) -> pa.Table:
+        bits = np.zeros(own, np.uint8)
+        for at in t["at"]:
+            bits[np.frombuffer(at.as_buffer(), "<u4")] = 1
+        return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    found = keys.mapInArrow(place, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # size / 64 rows at most
-    out = np.zeros(size // 64, np.uint64)
-    out[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out.view(np.uint8)
+    parts = materialize(keys.mapInArrow(place, "part int, at binary").groupBy("part").applyInArrow(join, "part int, bits binary").coalesce(8))  # few files
+    files = parts.inputFiles()
+    for f in files:
+        keys.sparkSession.sparkContext.addFile(f)
+    return Filter(size, own, [f.rsplit("/", 1)[-1] for f in files])
 
 
 class Bitmaps:
@@ -192,15 +223,15 @@ def word_keys(rows: DataFrame) -> DataFrame:
     return rows.select("lang_hash", "h").mapInArrow(give, "key long")
 
 
-def pair_keys(table: DataFrame, words: np.ndarray, n_words: int, least: int) -> DataFrame:
+def pair_keys(table: DataFrame, words: Filter, n_words: int, least: int) -> DataFrame:
     """Keys of pairs that may come least times, from the sums of all pairs with a key.
 
     A shard gives its counts as sorted arrays, cut at ranges of keys, a row a range; ranges are so many that each holds about RANGE words' pairs, summed in a task group of its own.
     """
-    shared, n_ranges = table.sparkSession.sparkContext.broadcast(words), max(1, -(-n_words // RANGE))
+    n_ranges = max(1, -(-n_words // RANGE))
 
     def count(batches):
-        for _, lang_hash, h, maps in each_shard(batches, Bloom(shared.value)):
+        for _, lang_hash, h, maps in each_shard(batches, Bloom(words)):
             keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
             for entries in maps.batches():
                 first, word, _, bits = maps.extended(maps.word[entries], maps.block[entries], maps.bits[entries])
@@ -212,9 +243,7 @@ def pair_keys(table: DataFrame, words: np.ndarray, n_words: int, least: int) ->
             key, n = key[order], n[order]
             part = ((key >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
             here, begin = np.unique(part, return_index=True)
-            ends = np.append(begin, len(key))
-            blob = lambda x: pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-            yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int64)), blob(key), blob(n)], names=["part", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int64)), slices(key, begin), slices(n, begin)], names=["part", "keys", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
         join = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[c]])
@@ -225,12 +254,11 @@ def pair_keys(table: DataFrame, words: np.ndarray, n_words: int, least: int) ->
     return table.mapInArrow(count, "part long, keys binary, counts binary").groupBy("part").applyInArrow(add, "key long")
 
 
-def phrases(table: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
+def phrases(table: DataFrame, words: Filter, pairs: Filter) -> DataFrame:
     """lang, hashes of the words of a phrase (h3 null for a pair) and n, its count in a shard, of phrases all of whose pairs the filter lets through."""
-    shared = table.sparkSession.sparkContext.broadcast((words, pairs))
 
     def count(batches):
-        word_filter, pair_filter = map(Bloom, shared.value)
+        word_filter, pair_filter = Bloom(words), Bloom(pairs)
         for lang, lang_hash, h, maps in each_shard(batches, word_filter):
             go = lambda x, y: pair_filter.has(key_of(np.full(len(x), lang_hash), h[x], h[y]))  # noqa: B023, E731  used within the turn
             for entries in maps.batches():
