@@ -319,7 +319,7 @@ def mine(docs: DataFrame, least: int = 10, top: int = 2000, contained: int = 50)
     words = materialize(words.where(F.col("f") >= least))
     lang_hash = F.xxhash64("lang").alias("lang_hash")
     seqs = table.select("lang", lang_hash, F.transform("words", lambda w: F.xxhash64(F.lit(seed), w)).alias("hashes"), "seq")
-    known = bloom(word_keys(words.select(lang_hash, "h")))
+    known = bloom(materialize(word_keys(words.select(lang_hash, "h"))))  # written first: two steps of Python in a task would take two workers, and these live on
     n_words = total.agg(F.sum("n")).first()[0] or 0
     with arrow_rows(docs.sparkSession, 4):
         keys = materialize(pair_keys(seqs, known, n_words, least))
